@@ -33,5 +33,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack, tokenize
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    paths = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
+    pieces = tokenize(docs, *paths).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(pieces)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import LanguageModel, held_out
+
+    docs = documents(spark, sf_dir)
+    model = LanguageModel.fit(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    out = model.predict(docs.select("doc_id", "text"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id}
 SQL = {"op7_exact_dedup": OP7_SQL}
