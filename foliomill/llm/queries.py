@@ -53,5 +53,27 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id}
-SQL = {"op7_exact_dedup": OP7_SQL}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+with d as (select doc_id, string_split(text, chr(10)) as ls from documents),
+l as (select doc_id, generate_subscripts(ls, 1) as pos, unnest(ls) as x, len(ls) as n from d where ls is not null),
+w as (select *, lead(x) over (partition by doc_id order by pos) as y from l),
+s as (select doc_id, pos, row_number() over (partition by x, y order by doc_id, pos) as nth from w
+      where pos < n and regexp_matches(x || chr(10) || y, '[^\x20\x09-\x0D]')),
+c as (select doc_id, pos from s where nth > 1 union select doc_id, pos + 1 from s where nth > 1),
+k as (select l.doc_id, count(*) as n_lines, count(c.pos) as n_removed,
+             coalesce(string_agg(x, chr(10) order by l.pos) filter (c.pos is null), '') as kept
+      from l left join c on l.doc_id = c.doc_id and l.pos = c.pos group by l.doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k on d.doc_id = k.doc_id
+"""
+
+
+QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op8_line_dedup": op8_line_dedup}
+SQL = {"op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
