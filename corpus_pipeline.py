@@ -1,12 +1,77 @@
-"""The corpus pipeline: language ID, line dedup, near-duplicate join, mixing, packing."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate join, mixing, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the
+columns of ``docs``.  ``run`` applies them to ``documents``, writing each stage's result as Parquet
+and reading it again, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from foliomill.llm.jaccard_join import jaccard_components
+from foliomill.llm.language_id import UNKNOWN, LanguageModel, held_out
+from foliomill.llm.line_dedup import dedup_lines
+from foliomill.llm.mixing import mix
+from foliomill.llm.packing import pack, tokenize
+from foliomill.llm.scratch import cut
+
+#: Documents whose language is less certain than this are rejected.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a recognisable language."""
+    model = LanguageModel.fit(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    scored = model.predict(docs, lang_out="__lang", score_out="__score")
+    return scored.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later copies of repeated line runs; a document that held nothing else goes."""
+    out = dedup_lines(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of near-duplicates."""
+    groups = jaccard_components(docs)
+    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or thins out documents so that sources meet their target weights."""
+    return mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document (and of each repeat of it) lies in the packed sequences."""
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
+    pieces = tokenize(docs.select("doc_id", "source", "text"), *paths)
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("near-duplicate join", near_duplicates),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: SQL cannot express the trained classifier and the tokenizer; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs, f"stage-{k}")
+    return docs

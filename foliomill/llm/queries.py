@@ -75,5 +75,11 @@ from d left join k on d.doc_id = k.doc_id
 """
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op8_line_dedup": op8_line_dedup}
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir))
+
+
+QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op8_line_dedup": op8_line_dedup, "op6_jaccard_join": op6_jaccard_join}
 SQL = {"op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
