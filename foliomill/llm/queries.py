@@ -81,5 +81,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op8_line_dedup": op8_line_dedup, "op6_jaccard_join": op6_jaccard_join}
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_substrings
+
+    out = dedup_substrings(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.lower(F.hex("digest")).alias("kept_sha256"))
+
+
+QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op8_line_dedup": op8_line_dedup, "op6_jaccard_join": op6_jaccard_join, "op1_substring_dedup": op1_substring_dedup}
 SQL = {"op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
