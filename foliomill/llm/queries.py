@@ -88,5 +88,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.lower(F.hex("digest")).alias("kept_sha256"))
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op8_line_dedup": op8_line_dedup, "op6_jaccard_join": op6_jaccard_join, "op1_substring_dedup": op1_substring_dedup}
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup_suffixes
+
+    out = dedup_suffixes(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("digest")).alias("kept_sha256"))
+
+
+QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op8_line_dedup": op8_line_dedup, "op6_jaccard_join": op6_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup}
 SQL = {"op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
