@@ -1,9 +1,10 @@
 """Anchors: a lossless way to bring equal windows together without moving every window.
 
-Of the ``gram``-long sub-windows of a window the one with the least Rabin-Karp hash is its anchor.
-Equal windows have equal anchors, so a window whose anchor occurs once in the corpus occurs once.
-Neighbouring windows mostly share their anchor; such a run of windows is one record, with a hash of
-the whole stretch that its windows cover.
+Of the ``gram``-long sub-windows of a window the one with the least Rabin-Karp hash, leftmost of
+several, is its anchor.  Equal windows have equal anchors at equal offsets, so a window whose anchor
+occurs once in the corpus occurs once.  Neighbouring windows mostly share their anchor; such a run
+of windows is one record, with a hash of the whole stretch that its windows cover.  Two windows of
+one record are never equal.
 """
 
 from __future__ import annotations
@@ -44,18 +45,20 @@ def runs(symbols: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> tupl
     n = len(symbols) - width + 1
     if n <= 0:
         return nothing
-    anchor = sliding_min(windows(symbols, gram), width - gram + 1)
+    grams = windows(symbols, gram)
+    low = np.uint64(0xFFFFFFFF)
+    place = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), width - gram + 1) & low
     sizes = np.diff(bounds)
     text = np.repeat(np.arange(len(sizes)), sizes)[:n]
     inside = np.arange(n) + width <= bounds[1:][text]
-    before = np.concatenate([[False], inside[:-1] & (anchor[1:] == anchor[:-1])])
+    before = np.concatenate([[False], inside[:-1] & (place[1:] == place[:-1])])
     first = np.flatnonzero(inside & ~before)
     if not len(first):
         return nothing
     ends = np.flatnonzero(inside & ~np.concatenate([before[1:] & inside[1:], [False]])) + 1
     stretch = stretch_hashes(symbols, first, ends - 1 + width)
     owner = text[first]
-    return owner, first - bounds[owner], ends - first, anchor[first], stretch
+    return owner, first - bounds[owner], ends - first, grams[place[first].astype(np.int64)], stretch
 
 
 def covered(intervals: list[tuple[int, int]], size: int) -> np.ndarray:

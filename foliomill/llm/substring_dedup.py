@@ -127,7 +127,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     whole = per_doc.filter("whole").select("doc_id", "tag", "whole").distinct()
     partial = per_doc.filter("not whole").drop("whole")
     tag = F.crc32(F.col("text").cast("binary"))
-    part = cut(rows.join(partial, (rows["doc_id"] == partial["doc_id"]) & (tag == partial["tag"])).select(partial["doc_id"], "tag", "text", "settled", "opened").distinct(), "partial")
+    part = cut(rows.join(partial.hint("merge"), (rows["doc_id"] == partial["doc_id"]) & (tag == partial["tag"])).select(partial["doc_id"], "tag", "text", "settled", "opened").distinct(), "partial")
     opened = part.filter("size(opened) > 0").select("doc_id", "tag", "text", "opened").mapInArrow(_opener(window), "a long, b long, doc_id long, tag long, p int")
     opened = cut(opened, "windows")
     earliest = opened.groupBy("a", "b").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 < d1").select("a", "b", "d0")
