@@ -95,5 +95,28 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("digest")).alias("kept_sha256"))
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op8_line_dedup": op8_line_dedup, "op6_jaccard_join": op6_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup}
-SQL = {"op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import select_quality
+
+    out = select_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "log_weight", "sampling_key", F.col("place").alias("draw"))
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_search import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+OP4_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x : floor(256 * x::double)) as v from embeddings
+           where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x : x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+"""
+
+
+QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op8_line_dedup": op8_line_dedup, "op6_jaccard_join": op6_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op2_quality": op2_quality, "op4_topk_search": op4_topk_search}
+SQL = {"op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op4_topk_search": OP4_SQL}
