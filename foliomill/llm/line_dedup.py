@@ -70,8 +70,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
         F.col("id").alias("__id"), F.col("print").alias("__print"), "starts"
     )
     kept = docs.drop("n_lines", "n_removed")
-    joined = kept.join(
-        found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__print")) & text.isNotNull(), "left"
+    joined = kept.join(  # one plan at every size: texts are dealt by id, not met by a broadcast
+        found.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__print")) & text.isNotNull(), "left"
     )
     lines = F.split(text, "\n")
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (min_lines - 1)))))
