@@ -9,13 +9,18 @@ one-deletion neighbourhoods of its segments, which count twice in the pigeonhole
 sets with ``f`` and ``g`` filled segments at least one agreement is certain if ``max(f, g) > H``
 or both index neighbourhoods and ``f + g > H``; sets that may meet neither condition share one
 further key per band (small sets whose grams fell into few segments, and any with ``2f <= H``).
+A signature that more than ``COSTLY`` sets hold is skipped in the same way by each set that has
+more than ``H`` other filled segments: two sets that agree in it both know that it is costly, so
+one of them has too few others, or they agree in another.
 
 Signatures travel as packed arrays, 8 bytes each, and are compared in their bucket; identical sets
-are one node from the start.  In a bucket, an exact bound (parity of gram hashes, and sizes) splits
-the members of a signature that cannot be linked.  What is left is verified exactly against a few
-centres per group and round, the most connected first; members already connected need no more
-checks, so a group of near copies costs one pass and not all its pairs.  Rounds end when no group
-holds two components with an unchecked pair.
+are one node from the start.  In a bucket, an exact bound (parities of gram hashes, and sizes)
+splits the members of a signature that cannot be linked.  What is left is compared with a few
+centres per group and round, the most connected first: a finer exact bound of the same kind, half a
+byte per gram, drops most pairs that are no links, and the texts of the others meet at their centre
+(a busy centre in several places) to be compared gram by gram.  Members already connected need no
+more checks, so a group of near copies costs one pass and not all its pairs.  Rounds end when no
+group holds two components with an unchecked pair.
 
 Sets and grams are identified by 64-bit hashes.
 
@@ -42,6 +47,8 @@ THRESHOLD = 80  # per cent
 SPARE_SIZE = 40  # up to this size a set with few filled segments uses the band's common key
 FLUSH = 1 << 21  # signatures held before they are packed
 BLOCK = 2048  # members of a signature that are compared at once
+COSTLY = 32  # holders beyond which a signature is skipped by sets that can do without
+BANDS = 64
 
 
 def gram_sets(texts: list[bytes], width: int = GRAM) -> list[np.ndarray]:
@@ -72,7 +79,7 @@ def schemes(size: int, threshold: int) -> tuple[tuple[int, int, int], ...]:
             segments = most + 1
             for m in range(most + 1, 2 * most + 3):
                 p = 1 - (1 - 1 / m) ** low
-                if m * p - 3 * (m * p * (1 - p)) ** 0.5 >= most + 1:
+                if m * p - 3 * (m * p * (1 - p)) ** 0.5 >= (most + 1) * 1.08 + 1:  # some to spare
                     segments = m
                     break
             else:
@@ -82,9 +89,10 @@ def schemes(size: int, threshold: int) -> tuple[tuple[int, int, int], ...]:
     return tuple(out)
 
 
-def signatures(grams: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
-    """Signatures of one set under its schemes."""
-    out = []
+def signatures(grams: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Signatures of one set under its schemes, the band in their lowest bits, and for each band how
+    many segments it can do without."""
+    out, spare = [], []
     for band, m, most in schemes(len(grams), threshold):
         segment = (mixed(grams) >> np.uint64(20)) % np.uint64(m)
         order = np.argsort(segment, kind="stable")
@@ -92,14 +100,16 @@ def signatures(grams: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
         first = np.flatnonzero(np.diff(segment, prepend=np.uint64(m)))
         sums = np.add.reduceat(values, first)
         tag = segment[first] + np.uint64((band + 1) << 40)
-        out.append(mixed(sums + mixed(tag)))
+        made = [mixed(sums + mixed(tag))]
         if len(first) <= most:
             sizes = np.diff(np.append(first, len(grams)))
             rest = np.repeat(sums, sizes) - values
-            out.append(mixed(rest + mixed(np.repeat(tag, sizes)))[np.repeat(sizes, sizes) > 1])
+            made.append(mixed(rest + mixed(np.repeat(tag, sizes)))[np.repeat(sizes, sizes) > 1])
             if len(grams) <= SPARE_SIZE or 2 * len(first) <= most:
-                out.append(mixed(np.array([(band + 1) << 50], np.uint64)))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+                made.append(mixed(np.array([(band + 1) << 50], np.uint64)))
+        out += [(x & ~np.uint64(BANDS - 1)) | np.uint64(band % BANDS) for x in made]
+        spare.append((band % BANDS, len(first) - most - 1))
+    return (np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)), spare
 
 
 def set_id(grams: np.ndarray) -> np.int64:
@@ -112,7 +122,38 @@ def sketch(grams: np.ndarray) -> np.uint64:
     return np.bitwise_xor.reduce(np.uint64(1) << (mixed(grams) >> np.uint64(58)))
 
 
-PACKED = "bucket int, sigs binary, counts binary, sets binary, sizes binary, sketches binary, docs binary, doc_sets binary, doc_sizes binary"
+def fine_sketch(grams: np.ndarray) -> bytes:
+    """Parities as in ``sketch``, four to eight bits per gram; folds to any smaller power of two."""
+    bits = max(64, 1 << int(4 * len(grams) - 1).bit_length())
+    place = (mixed(grams + np.uint64(3)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of how many grams are in one of two sets only, from their fine sketches."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+PACKED = (
+    "bucket int, sigs binary, counts binary, sets binary, sizes binary, sketches binary, "
+    "docs binary, doc_sets binary, doc_sizes binary, doc_sketches array<binary>, spare binary"
+)
+#: Rows by kind: 0 a document (id, set, size, fine sketch), 1 a member of a group (group, set),
+#: 2 what a set can do without (set, band, segments), 3 a member of a costly group (group, set,
+#: band), 4 costly signatures of a set (set, band, how many).
+GROUPED = "kind int, a long, b long, c long, sketch binary"
+GROUP_NAMES = ["kind", "a", "b", "c", "sketch"]
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    n = len(a)
+    columns = [pa.array(np.full(n, kind, np.int32)), *(pa.array(np.ascontiguousarray(x), pa.int64()) for x in (a, b, c)), pa.nulls(n, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=GROUP_NAMES)
 
 
 def _packer(buckets: int, threshold: int, width: int):
@@ -120,14 +161,14 @@ def _packer(buckets: int, threshold: int, width: int):
         from pyspark import TaskContext
 
         turn, seen = TaskContext.get().partitionId(), set()
-        docs, doc_sets, doc_sizes, sigs, sets, sizes, sketches = ([] for _ in range(7))
+        docs, doc_sets, doc_sizes, fine, spares, sigs, sets, sizes, sketches = ([] for _ in range(9))
         held = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(turn % buckets, b"", b"", b"", b"", b"", np.array(docs, "<i8").tobytes(), np.array(doc_sets, "<i8").tobytes(), np.array(doc_sizes, "<i8").tobytes())]
+            rows = [(turn % buckets, b"", b"", b"", b"", b"", np.array(docs, "<i8").tobytes(), np.array(doc_sets, "<i8").tobytes(), np.array(doc_sizes, "<i8").tobytes(), list(fine), np.array(spares, "<i8").tobytes())]
             if sigs:
                 flat, owner = np.concatenate(sigs), np.repeat(np.arange(len(sigs), dtype=np.int32), [len(s) for s in sigs])
-                bucket = (flat % np.uint64(buckets)).astype(np.int32)
+                bucket = ((flat >> np.uint64(6)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 flat, owner, bucket = flat[order], owner[order], bucket[order]
                 ids, ns, bits = np.array(sets, "<i8"), np.array(sizes, "<i4"), np.array(sketches, "<u8")
@@ -136,9 +177,9 @@ def _packer(buckets: int, threshold: int, width: int):
                     first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
                     who = owner[a:b][first]
                     count = np.diff(np.append(first, b - a)).astype("<i4")
-                    rows.append((int(bucket[a]), flat[a:b].tobytes(), count.tobytes(), ids[who].tobytes(), ns[who].tobytes(), bits[who].tobytes(), b"", b"", b""))
+                    rows.append((int(bucket[a]), flat[a:b].tobytes(), count.tobytes(), ids[who].tobytes(), ns[who].tobytes(), bits[who].tobytes(), b"", b"", b"", None, b""))
             names = [c.split()[0] for c in PACKED.split(", ")]
-            types = [pa.int32(), *[pa.binary()] * 8]
+            types = [pa.int32(), *[pa.binary()] * 8, pa.list_(pa.binary()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         for batch in batches:
@@ -148,9 +189,13 @@ def _packer(buckets: int, threshold: int, width: int):
                     docs.append(doc)
                     doc_sizes.append(len(grams))
                     doc_sets.append(key := set_id(grams) if len(grams) else np.int64(0))
-                    if len(grams) and key not in seen:
+                    fresh = bool(len(grams)) and key not in seen
+                    fine.append(fine_sketch(grams) if fresh else None)
+                    if fresh:
                         seen.add(key)
-                        sigs.append(signatures(grams, threshold))
+                        made, spare = signatures(grams, threshold)
+                        sigs.append(made)
+                        spares += [(key, *x) for x in spare]
                         sets.append(key)
                         sizes.append(len(grams))
                         sketches.append(sketch(grams))
@@ -159,7 +204,7 @@ def _packer(buckets: int, threshold: int, width: int):
                     yield flush()
                     turn += 1
                     held = 0
-                    for x in (docs, doc_sets, doc_sizes, sigs, sets, sizes, sketches):
+                    for x in (docs, doc_sets, doc_sizes, fine, spares, sigs, sets, sizes, sketches):
                         x.clear()
         if docs:
             yield flush()
@@ -198,7 +243,9 @@ def _grouper(threshold: int):
                 if len(raw := get["docs"][k].as_py()):
                     cols = [raw, get["doc_sets"][k].as_py(), get["doc_sizes"][k].as_py()]
                     arrays = [pa.array(np.frombuffer(c, "<i8")) for c in cols]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(arrays[0]), np.int32)), *arrays], names=["kind", "a", "b", "c"])
+                    drawn = pa.array(get["doc_sketches"][k].as_py(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(arrays[0]), np.int32)), *arrays, drawn], names=GROUP_NAMES)
+                    yield _rows(2, *np.frombuffer(get["spare"][k].as_py(), "<i8").reshape(-1, 3).T)
                 else:
                     count = np.frombuffer(get["counts"][k].as_py(), "<i4")
                     held[0].append(np.frombuffer(get["sigs"][k].as_py(), "<u8"))
@@ -217,71 +264,112 @@ def _grouper(threshold: int):
         new = (np.diff(sigs, prepend=~sigs[:1]) != 0) | (np.diff(ids, prepend=~ids[:1]) != 0)
         sigs, ids, sizes, bits = sigs[new], ids[new], sizes[new], bits[new]
         edges = np.flatnonzero(np.diff(sigs, prepend=~sigs[:1]))
-        seen, out, waiting = set(), [], 0
-        for a, b in zip(edges, [*edges[1:], len(sigs)]):
+        ends = np.append(edges[1:], len(sigs))
+        costly = ends - edges > COSTLY
+        held_by = np.repeat(costly, ends - edges)
+        if held_by.any():
+            pairs = np.stack([ids[held_by], (sigs[held_by] & np.uint64(BANDS - 1)).astype(np.int64)])
+            pairs, count = np.unique(pairs, axis=1, return_counts=True)
+            yield _rows(4, pairs[0], pairs[1], count)
+        seen, out, waiting = set(), {1: [], 3: []}, 0
+        for a, b, dear in zip(edges, ends, costly):
             if b - a < 2:
                 continue
-            members = ids[a:b]
-            if (whole := members.tobytes()) in seen:
+            members, band = ids[a:b], int(sigs[a] & np.uint64(BANDS - 1))
+            if (whole := (band, members.tobytes())) in seen:
                 continue
             seen.add(whole)
             big = b - a > BLOCK  # compared in rounds over the cluster, not here
             for part in [members] if big else _split(members, sizes[a:b], bits[a:b], threshold):
                 key = mixed(np.add.reduce(mixed(part.view(np.uint64) + np.uint64(9)), keepdims=True)).view(np.int64)[0]
-                if (key, len(part)) in seen:
+                if (key, len(part), dear and band) in seen:
                     continue
-                seen.add((key, len(part)))
-                out.append((np.full(len(part), key), part))
+                seen.add((key, len(part), dear and band))
+                out[3 if dear else 1].append((np.full(len(part), key), part, np.full(len(part), band)))
                 waiting += len(part)
             if waiting > 1 << 18:
-                yield _members(out)
-                out, waiting = [], 0
-        if out:
-            yield _members(out)
+                yield from _members(out)
+                out, waiting = {1: [], 3: []}, 0
+        yield from _members(out)
 
     return group
 
 
-def _members(out: list) -> pa.RecordBatch:
-    keys, ids = (np.concatenate(x) for x in zip(*out))
-    zero = pa.array(np.zeros(len(ids), np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(ids), np.int32)), pa.array(keys), pa.array(ids), zero], names=["kind", "a", "b", "c"])
+def _members(out: dict[int, list]) -> Iterator[pa.RecordBatch]:
+    for kind, parts in out.items():
+        if parts:
+            yield _rows(kind, *(np.concatenate(x) for x in zip(*parts)))
+
 
+def _pruner(threshold: int):
+    """Pairs that the fine bound and the sizes leave possible."""
 
-def _setter(width: int):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in slices(batch.column(0)):
-                sets = [g for g in gram_sets(texts, width) if len(g)]
-                ids = [int(set_id(g)) for g in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["id", "grams"])
+            centre, x, n, m, a, b = (batch.column(k) for k in range(6))
+            good = []
+            for k in range(batch.num_rows):
+                p, q = n[k].as_py(), m[k].as_py()
+                good.append(100 * min(p, q) >= threshold * max(p, q) and least_difference(a[k].as_py(), b[k].as_py()) * (100 + threshold) <= (100 - threshold) * (p + q))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([centre.filter(keep), x.filter(keep)], names=["centre", "id"])
 
-    return make
+    return prune
 
 
-def _verifier(threshold: int):
+def _verifier(threshold: int, width: int):
+    """Links of each centre with the texts that follow it."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
         for batch in batches:
-            u, v, gu, gv = (batch.column(k) for k in range(4))
-            good = []
-            for k in range(batch.num_rows):
-                x, y = np.frombuffer(gu[k].as_buffer(), "<u8"), np.frombuffer(gv[k].as_buffer(), "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                good.append(100 * common >= threshold * (len(x) + len(y) - common))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], names=["u", "v"])
+            centres, salts, roles, ids = (batch.column(k).to_pylist() for k in range(4))
+            out: list[list[int]] = [[], []]
+            for first, texts in slices(batch.column(4)):
+                for k, grams in enumerate(gram_sets(texts, width), first):
+                    if set_id(grams) != ids[k]:  # another text under the same document id
+                        continue
+                    if roles[k] == 0:
+                        at, own = (centres[k], salts[k]), grams
+                        continue
+                    if at != (centres[k], salts[k]):
+                        continue
+                    x, y = (own, grams) if len(own) < len(grams) else (grams, own)
+                    place = np.searchsorted(y, x)
+                    common = int((y[np.minimum(place, len(y) - 1)] == x).sum())
+                    if 100 * common >= threshold * (len(x) + len(y) - common):
+                        out[0].append(centres[k])
+                        out[1].append(ids[k])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["u", "v"])
 
     return verify
 
 
+#: Texts that meet a centre in one place.
+MEETING = 1000
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, representatives: DataFrame, rows: DataFrame, threshold: int, width: int, first: bool) -> DataFrame:
+    """The links among ``pairs`` (``centre, id``)."""
+    side = lambda key, n, s: sketches.select(F.col("id").alias(key), F.col("n").alias(n), F.col("sketch").alias(s))
+    both = pairs.join(side("centre", "n", "s"), "centre").join(side("id", "m", "t"), "id")
+    left = cut(both.select("centre", "id", "n", "m", "s", "t").mapInArrow(_pruner(threshold), "centre long, id long"), "possible")
+    places = left.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("places"))
+    routes = left.join(places, "centre").select("centre", F.pmod(F.xxhash64("id"), "places").cast("int").alias("salt"), F.lit(1).alias("role"), "id")
+    routes = routes.union(places.select("centre", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("centre").alias("id")))
+    routes = routes.join(representatives, "id")
+    if first:  # one plan at every size; later rounds are small, and Spark chooses
+        routes = routes.hint("merge")
+    met = rows.join(routes, "doc_id").select("centre", "salt", "role", "id", "text")
+    met = met.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
+    return cut(met.mapInArrow(_verifier(threshold, width), "u long, v long"), "verified")
+
+
 def _buckets(docs: DataFrame) -> int:
-    """As many as shuffle partitions, and one for each 8 MB of input at least."""
+    """Two for each core, and one for each 16 MB of input at least."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     spark = docs.sparkSession
-    return min(1 << 20, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 23))
+    return min(1 << 20, max(2 * spark.sparkContext.defaultParallelism, size >> 24))
 
 
 def jaccard_components(
@@ -294,52 +382,49 @@ def jaccard_components(
     found = (
         rows.mapInArrow(_packer(buckets, threshold, width), PACKED)
         .repartitionById(buckets, F.col("bucket"))
-        .mapInArrow(_grouper(threshold), "kind int, a long, b long, c long")
+        .mapInArrow(_grouper(threshold), GROUPED)
     )
     found = cut(found, "signature-groups")
     nodes = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("id"), F.col("c").alias("n_shingles"))
-    members = cut(found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id")).distinct(), "members")
-    grams = None
-    links, tested, comps = [], None, None
-    centres_each = 1
+    spare = found.filter("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("band"), F.col("c").alias("spare")).distinct()
+    costs = found.filter("kind = 4").groupBy(F.col("a").alias("id"), F.col("b").alias("band")).agg(F.sum("c").alias("costly"))
+    bound = costs.join(spare, ["id", "band"]).filter("costly > spare").select("id", "band")
+    dear = found.filter("kind = 3").select(F.col("a").alias("g"), F.col("b").alias("id"), F.col("c").alias("band"))
+    members = found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("id"))
+    members = cut(members.union(dear.join(bound, ["id", "band"], "left_semi").select("g", "id")).distinct(), "members")
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
     weight = members.join(sizes, "g").groupBy("id").agg(F.sum("members").alias("weight"))
-    members = cut(members.join(weight, "id"), "members")
+    members = cut(members.join(weight, "id").withColumn("component", F.col("id")), "members")
+    drawn = found.filter("kind = 0 and sketch is not null").select(F.col("b").alias("id"), F.col("c").alias("n"), "sketch")
+    sketches = drawn.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = cut(sketches, "sketches")
+    representatives = cut(nodes.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "representatives")
+    links, tested = [], None
+    comps = spark.createDataFrame([], "node long, component long")
+    centres_each = 1
     while not members.isEmpty():
-        if grams is None:
-            wanted = nodes.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-            texts = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-            grams = cut(texts.mapInArrow(_setter(width), "id long, grams binary"), "grams")
-            if grams.groupBy("id").count().filter("count > 1").limit(1).count():  # repeated ids
-                grams = cut(grams.groupBy("id").agg(F.first("grams").alias("grams")), "grams")
         order = Window.partitionBy("g").orderBy(F.desc("weight"), "id")
         centres = members.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= centres_each)
-        centres = cut(centres.select("g", F.col("id").alias("centre"), *([F.col("component").alias("cc")] if comps is not None else [])), "centres")
-        pairs = members.join(centres, "g").filter("id <> centre")
-        if comps is not None:
-            pairs = pairs.filter("component <> cc")
-        pairs = pairs.select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
+        centres = cut(centres.select("g", F.col("id").alias("centre"), F.col("component").alias("other")), "centres")
+        pairs = members.join(centres, "g").filter("component <> other")
+        pairs = pairs.groupBy(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).agg(F.first("centre").alias("centre"))
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = cut(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        first = grams.select(F.col("id").alias("u"), F.col("grams").alias("gu"))
-        second = grams.select(F.col("id").alias("v"), F.col("grams").alias("gv"))
-        both = pairs.join(first, "u").join(second, "v").select("u", "v", "gu", "gv")
-        links.append(cut(both.mapInArrow(_verifier(threshold), "u long, v long"), "verified"))
+        seen = pairs.select("u", "v")
+        star = pairs.select("centre", F.when(F.col("centre") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("id"))
+        links.append(_verified(star, sketches, representatives, rows, threshold, width, tested is None))
+        tested = seen if tested is None else tested.union(seen)
         all_links = links[0]
         for more in links[1:]:
             all_links = all_links.union(more)
-        comps = cut(components(all_links), "components")
-        left = members.select("g", "id", "weight").join(
-            centres.select("g", F.col("centre").alias("id")), ["g", "id"], "left_anti"
-        )
+        if not links[-1].isEmpty():
+            comps = cut(components(all_links), "components")
+        left = members.select("g", "id", "weight").join(centres.select("g", F.col("centre").alias("id")), ["g", "id"], "left_anti")
         left = left.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed_groups = left.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("g")
-        members = cut(left.join(mixed_groups, "g", "left_semi"), "members")
-        centres_each *= 4
-    if comps is None:
-        comps = spark.createDataFrame([], "node long, component long")
+        open_groups = left.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("g")
+        members = cut(left.join(open_groups, "g", "left_semi"), "members")
+        centres_each *= 16
     return _finish(nodes, comps)
 
 
