@@ -55,6 +55,7 @@ def later_copies(rows: DataFrame, min_lines: int) -> DataFrame:
     here = F.struct("id", "print", "pos")
     groups = windows.groupBy("name").agg(F.min(here).alias("first"), F.max(here).alias("last"))
     groups = groups.filter(F.col("first") < F.col("last")).select("name", "first")
+    groups = cut(groups, "repeated-windows")  # a table of its own, so that the join's hot keys can be split
     later = windows.join(groups, "name").filter(here > F.col("first"))
     return later.groupBy("id", "print").agg(F.collect_set("pos").alias("starts"))
 

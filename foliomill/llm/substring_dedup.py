@@ -112,9 +112,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     )
     records = scanned.select("doc_id", "tag", "n_words", F.explode("runs").alias("r")).select("doc_id", "tag", "n_words", "r.*")
     anchors = records.groupBy("m").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("s").alias("s0"), F.max("s").alias("s1"))
-    anchors = anchors.filter("d0 < d1").select("m", "d0", (F.col("s0") < F.col("s1")).alias("varied"))
+    anchors = anchors.filter("d0 < d1").select("m", (F.col("s0") < F.col("s1")).alias("varied"))
+    anchors = cut(anchors, "anchors")  # a table of its own, so that the join's hot keys can be split
     shared = cut(records.join(anchors, "m"), "shared-runs")
-    first = shared.groupBy("m", "s").agg(F.min("doc_id").alias("first"))
+    first = cut(shared.groupBy("m", "s").agg(F.min("doc_id").alias("first")), "first-runs")
     judged = shared.join(first, ["m", "s"])
     settled = F.col("first") < F.col("doc_id")
     run = F.struct("p", "n")
@@ -131,7 +132,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     opened = part.filter("size(opened) > 0").select("doc_id", "tag", "text", "opened").mapInArrow(_opener(window), "a long, b long, doc_id long, tag long, p int")
     opened = cut(opened, "windows")
     earliest = opened.groupBy("a", "b").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 < d1").select("a", "b", "d0")
-    single = opened.join(earliest, ["a", "b"]).filter("d0 < doc_id").groupBy("doc_id", "tag").agg(F.collect_list("p").alias("single"))
+    single = opened.join(cut(earliest, "earliest"), ["a", "b"]).filter("d0 < doc_id").groupBy("doc_id", "tag").agg(F.collect_list("p").alias("single"))
     changed = part.join(single, ["doc_id", "tag"], "left").filter("size(settled) > 0 or single is not null")
     changed = changed.select("doc_id", "tag", "text", "settled", "single").mapInArrow(
         _remover(window), "doc_id long, tag long, n_removed long, digest binary, spans array<array<bigint>>, kept string"

@@ -163,11 +163,12 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     records = scanned.select("doc_id", "tag", "n_bytes", F.explode("runs").alias("r")).select("doc_id", "tag", "n_bytes", "r.*")
     anchors = records.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1"))
     anchors = anchors.filter("c > 1").select("m", (F.col("s0") < F.col("s1")).alias("varied"))
+    anchors = cut(anchors, "byte-anchors")  # a table of its own, so that the join's hot keys can be split
     shared = cut(records.join(anchors, "m"), "shared-byte-runs")
     here = F.struct("doc_id", "tag", "p")
     kinds = shared.groupBy("m", "s").agg(F.count(F.lit(1)).alias("copies"), F.min(here).alias("chosen"))
     kinds = cut(kinds, "stretches")
-    hot = kinds.groupBy("m").agg((F.count(F.lit(1)) > HOT).alias("hot")).filter("hot")
+    hot = cut(kinds.groupBy("m").agg((F.count(F.lit(1)) > HOT).alias("hot")).filter("hot"), "hot-anchors")
     judged = shared.join(kinds, ["m", "s"]).join(hot, "m", "left")
     settled = F.col("copies") > 1
     opened = F.col("varied") & (here == F.col("chosen"))
