@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from .. import constants as K
 
@@ -42,7 +43,7 @@ def slug(c: Column, limit: int = 60) -> Column:
     return F.when(cut == "", "section").otherwise(cut)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_form(c: pd.Series) -> pd.Series:
     """Compatibility decomposition, what is left of it in ASCII."""
     plain = lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode()

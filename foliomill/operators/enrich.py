@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from .. import constants as K
 from ..functions.text import code_examples, registers, strip, summary
@@ -39,7 +40,7 @@ def baseline(sections: DataFrame, key: str = "section_id", text: str = "text", b
     return out.select(key, "summary", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "registers", "code_examples", F.lit(backend).alias("backend"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_json_object(raw: pd.Series) -> pd.Series:
     """The first balanced object in a text, minding strings and escapes; null if none closes."""
 
@@ -65,7 +66,7 @@ def first_json_object(raw: pd.Series) -> pd.Series:
     return raw.map(find)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_json(text: pd.Series) -> pd.Series:
     def parses(s):
         try:

@@ -7,6 +7,7 @@ font, top, bottom, left (of the block).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType
 
 from .. import constants as K
 from ..functions.text import classify, is_data_like, is_table_block, reflow, strip, strip_bold, word_total
@@ -119,7 +120,7 @@ def large_images(images: DataFrame, least: int = 48) -> DataFrame:
     return images.filter((F.col("width") >= least) & (F.col("height") >= least) & F.col("image").isNotNull()).withColumn("image_rel", name)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def pixel_range(samples):
     """Range of sampled pixel values; a gap below 22 is blank."""
     return samples.map(lambda b: 0 if not b else max(b[:: max(1, len(b) // 4096)]) - min(b[:: max(1, len(b) // 4096)]))
