@@ -46,9 +46,10 @@ GRAM = 5
 THRESHOLD = 80  # per cent
 SPARE_SIZE = 40  # up to this size a set with few filled segments uses the band's common key
 FLUSH = 1 << 21  # signatures held before they are packed
-BLOCK = 2048  # members of a signature that are compared at once
+BLOCK = 4096  # members of a signature that are compared at once
 COSTLY = 32  # holders beyond which a signature is skipped by sets that can do without
 BANDS = 64
+SKETCH_WORDS = 4
 
 
 def gram_sets(texts: list[bytes], width: int = GRAM) -> list[np.ndarray]:
@@ -117,9 +118,10 @@ def set_id(grams: np.ndarray) -> np.int64:
     return mixed(np.add.reduce(mixed(grams + np.uint64(5)), keepdims=True)).view(np.int64)[0]
 
 
-def sketch(grams: np.ndarray) -> np.uint64:
-    """64 parities; as many bits as differ between two sets, so many grams do at least."""
-    return np.bitwise_xor.reduce(np.uint64(1) << (mixed(grams) >> np.uint64(58)))
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """256 parities; as many bits as differ between two sets, so many grams do at least."""
+    count = np.bincount((mixed(grams) >> np.uint64(56)).astype(np.int64), minlength=256)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.uint64)
 
 
 def fine_sketch(grams: np.ndarray) -> bytes:
@@ -171,7 +173,7 @@ def _packer(buckets: int, threshold: int, width: int):
                 bucket = ((flat >> np.uint64(6)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 flat, owner, bucket = flat[order], owner[order], bucket[order]
-                ids, ns, bits = np.array(sets, "<i8"), np.array(sizes, "<i4"), np.array(sketches, "<u8")
+                ids, ns, bits = np.array(sets, "<i8"), np.array(sizes, "<i4"), np.array(sketches, "<u8").reshape(-1, SKETCH_WORDS)
                 edges = np.flatnonzero(np.diff(bucket, prepend=-1))
                 for a, b in zip(edges, [*edges[1:], len(bucket)]):
                     first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
@@ -214,55 +216,61 @@ def _packer(buckets: int, threshold: int, width: int):
 
 def _split(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, threshold: int) -> list[np.ndarray]:
     """Members of a signature in parts that the bounds on size and difference connect."""
-    label = np.arange(len(ids))
-    n = sizes.astype(np.int64)
-    for a in range(0, len(ids), BLOCK):
-        part = slice(a, a + BLOCK)
-        differ = np.bitwise_count(bits[part, None] ^ bits[None, part]).astype(np.int64)
-        total = n[part, None] + n[None, part]
-        near = (differ * (100 + threshold) <= (100 - threshold) * total) & (100 * np.minimum(n[part, None], n[None, part]) >= threshold * np.maximum(n[part, None], n[None, part]))
-        own = label[part]
-        while True:
-            least = np.where(near, own[None, :], len(ids)).min(1)
-            least = np.minimum(least, own)
-            if (least == own).all():
-                break
-            own = least
-        label[part] = own
-    order = np.argsort(label, kind="stable")
-    edges = np.flatnonzero(np.diff(label[order], prepend=-1))
-    return [ids[order[a:b]] for a, b in zip(edges, [*edges[1:], len(ids)]) if b - a > 1]
+    n, size = sizes.astype(np.int64), len(ids)
+    near = np.empty((size, size), bool)
+    for a in range(0, size, 256):
+        part = slice(a, a + 256)
+        differ = np.bitwise_count(bits[part, None] ^ bits[None]).sum(2, dtype=np.int64)
+        small, large = np.minimum(n[part, None], n[None]), np.maximum(n[part, None], n[None])
+        near[part] = (differ * (100 + threshold) <= (100 - threshold) * (small + large)) & (100 * small >= threshold * large)
+    parts, left = [], np.ones(size, bool)
+    while left.any():
+        reached = np.zeros(size, bool)
+        wave = np.flatnonzero(left)[:1]
+        while len(wave):
+            reached[wave] = True
+            wave = np.flatnonzero(near[wave].any(0) & ~reached)
+        left &= ~reached
+        if reached.sum() > 1:
+            parts.append(ids[reached])
+    return parts
 
 
 def _grouper(threshold: int):
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(4)]
+        drawings: list[np.ndarray] = []
+        drawn_so_far = 0
         for batch in batches:
             get = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             for k in range(batch.num_rows):
                 if len(raw := get["docs"][k].as_py()):
                     cols = [raw, get["doc_sets"][k].as_py(), get["doc_sizes"][k].as_py()]
                     arrays = [pa.array(np.frombuffer(c, "<i8")) for c in cols]
-                    drawn = pa.array(get["doc_sketches"][k].as_py(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(arrays[0]), np.int32)), *arrays, drawn], names=GROUP_NAMES)
+                    fine = pa.array(get["doc_sketches"][k].as_py(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(arrays[0]), np.int32)), *arrays, fine], names=GROUP_NAMES)
                     yield _rows(2, *np.frombuffer(get["spare"][k].as_py(), "<i8").reshape(-1, 3).T)
                 else:
                     count = np.frombuffer(get["counts"][k].as_py(), "<i4")
                     held[0].append(np.frombuffer(get["sigs"][k].as_py(), "<u8"))
-                    for h, name, kind in zip(held[1:], ("sets", "sizes", "sketches"), ("<i8", "<i4", "<u8")):
+                    for h, name, kind in zip(held[1:], ("sets", "sizes"), ("<i8", "<i4")):
                         h.append(np.repeat(np.frombuffer(get[name][k].as_py(), kind), count))
+                    held[3].append(np.repeat(np.arange(len(count)) + drawn_so_far, count))
+                    drawn_so_far += len(count)
+                    drawings.append(np.frombuffer(get["sketches"][k].as_py(), "<u8").reshape(-1, SKETCH_WORDS))
         if not held[0]:
             return
-        sigs, ids, sizes, bits = (np.concatenate(h) for h in held)
+        sigs, ids, sizes, drawing = (np.concatenate(h) for h in held)
+        drawn = np.concatenate(drawings)
         held.clear()
         order = np.argsort(sigs, kind="stable")
         same = np.diff(sigs[order]) == 0
         shared = order[np.append(same, False) | np.insert(same, 0, False)]
-        sigs, ids, sizes, bits = sigs[shared], ids[shared], sizes[shared], bits[shared]
+        sigs, ids, sizes, drawing = sigs[shared], ids[shared], sizes[shared], drawing[shared]
         order = np.lexsort((ids, sigs))
-        sigs, ids, sizes, bits = sigs[order], ids[order], sizes[order], bits[order]
+        sigs, ids, sizes, drawing = sigs[order], ids[order], sizes[order], drawing[order]
         new = (np.diff(sigs, prepend=~sigs[:1]) != 0) | (np.diff(ids, prepend=~ids[:1]) != 0)
-        sigs, ids, sizes, bits = sigs[new], ids[new], sizes[new], bits[new]
+        sigs, ids, sizes, drawing = sigs[new], ids[new], sizes[new], drawing[new]
         edges = np.flatnonzero(np.diff(sigs, prepend=~sigs[:1]))
         ends = np.append(edges[1:], len(sigs))
         costly = ends - edges > COSTLY
@@ -280,7 +288,7 @@ def _grouper(threshold: int):
                 continue
             seen.add(whole)
             big = b - a > BLOCK  # compared in rounds over the cluster, not here
-            for part in [members] if big else _split(members, sizes[a:b], bits[a:b], threshold):
+            for part in [members] if big else _split(members, sizes[a:b], drawn[drawing[a:b]], threshold):
                 key = mixed(np.add.reduce(mixed(part.view(np.uint64) + np.uint64(9)), keepdims=True)).view(np.int64)[0]
                 if (key, len(part), dear and band) in seen:
                     continue
@@ -358,8 +366,12 @@ def _verified(pairs: DataFrame, sketches: DataFrame, representatives: DataFrame,
     routes = left.join(places, "centre").select("centre", F.pmod(F.xxhash64("id"), "places").cast("int").alias("salt"), F.lit(1).alias("role"), "id")
     routes = routes.union(places.select("centre", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("centre").alias("id")))
     routes = routes.join(representatives, "id")
-    if first:  # one plan at every size; later rounds are small, and Spark chooses
-        routes = routes.hint("merge")
+    n = left.count()
+    if not n:
+        return rows.sparkSession.createDataFrame([], "u long, v long")
+    # The first round's texts are dealt by id at every size; later rounds are small, and up to a
+    # checked size (100,000 pairs of numbers) their texts are met where they are read.
+    routes = F.broadcast(routes) if n <= 100_000 and not first else routes.hint("merge")
     met = rows.join(routes, "doc_id").select("centre", "salt", "role", "id", "text")
     met = met.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
     return cut(met.mapInArrow(_verifier(threshold, width), "u long, v long"), "verified")
