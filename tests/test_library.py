@@ -2,6 +2,7 @@
 
 import os
 from collections import Counter
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -27,7 +28,7 @@ def sql():
 
 
 def plain(v):
-    return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    return float(v) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else v
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
