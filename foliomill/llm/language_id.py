@@ -109,9 +109,14 @@ def sample_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str,
     The ranks per language are limited before the shuffle, so a frequent language does not gather
     in a task.  Returns (language, features, counts).
     """
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
+    unit = F.shiftrightunsigned(F.xxhash64(id_col), 11) / F.lit(float(1 << 53))
+    rows = labelled.select(id_col, lang_col, unit.alias("__unit"))
+    sizes = rows.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__size"))
+    # Four times as many as are wanted, by hash, so that few of a frequent language are shuffled.
+    likely = rows.join(sizes, F.col(lang_col) == F.col("__lang")).filter(F.col("__unit") * F.col("__size") < 4 * rows_per_language)
+    order = Window.partitionBy(lang_col).orderBy("__unit", id_col)
     chosen = (
-        labelled.select(id_col, lang_col).withColumn("__nth", F.row_number().over(order))
+        likely.withColumn("__nth", F.row_number().over(order))
         .filter(F.col("__nth") <= rows_per_language).select(F.col(id_col).alias("__id")).distinct()
     )
     texts = labelled.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left_semi")

@@ -64,7 +64,7 @@ def importance(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 bucket, owner = _features(Words(texts, lower=True))
-                weight = np.bincount(owner, table.value[bucket], minlength=len(texts))
+                weight = np.bincount(owner, table.value[bucket], minlength=len(texts)).astype(float)  # of integers if empty
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(weight)], names=["doc_id", "log_weight"])
 
     return rows.mapInArrow(weigh, "doc_id long, log_weight double")
