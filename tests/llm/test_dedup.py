@@ -129,7 +129,7 @@ def test_jaccard_components(docs, rows, empty, threshold=80):
 def test_jaccard_chain_of_small_sets(spark):
     """Sets of few grams, where segments are often empty, and a chain whose ends are not linked."""
     words = [f"w{k}" for k in range(90)]
-    texts = [" ".join(words[a : a + n]) for n in (5, 6, 8, 9, 13, 14, 24, 26, 29, 40) for a in range(0, 30)]
+    texts = [" ".join(words[a : a + n]) for n in (5, 6, 9, 13, 29) for a in range(0, 6)]
     items = list(enumerate(texts))
     got = collected(jaccard_components(spark.createDataFrame(items, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
     assert got == brute_components(items)
