@@ -15,12 +15,14 @@ one of them has too few others, or they agree in another.
 
 Signatures travel as packed arrays, 8 bytes each, and are compared in their bucket; identical sets
 are one node from the start.  In a bucket, an exact bound (parities of gram hashes, and sizes)
-splits the members of a signature that cannot be linked.  What is left is compared with a few
-centres per group and round, the most connected first: a finer exact bound of the same kind, half a
-byte per gram, drops most pairs that are no links, and the texts of the others meet at their centre
-(a busy centre in several places) to be compared gram by gram.  Members already connected need no
-more checks, so a group of near copies costs one pass and not all its pairs.  Rounds end when no
-group holds two components with an unchecked pair.
+splits the members of a signature that cannot be linked.  What is left is compared with its most
+connected member: a finer exact bound of the same kind, half a byte per gram, drops most pairs that
+are no links, and the texts of the others meet at their centre (a busy centre in several places) to
+be compared gram by gram.  Members already connected need no more checks, so a group of near copies
+costs one pass and not all its pairs.  In further rounds the members outside a group's largest
+component are held, in blocks and by their fine sketches, against the others; only pairs that the
+bound leaves possible become rows, a number for each member that grows by the round.  Rounds end
+when no group holds two components with an unchecked possible pair.
 
 Sets and grams are identified by 64-bit hashes.
 
@@ -325,6 +327,67 @@ def _pruner(threshold: int):
     return prune
 
 
+def _fold(sketches: list[bytes], size: int) -> np.ndarray:
+    """Fine sketches of one length, folded to ``size`` bytes, as rows of 64-bit words."""
+    x = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    while x.shape[1] > size:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return np.ascontiguousarray(x).view(np.uint64)
+
+
+def _possible(few: list[tuple], many: list[tuple], threshold: int) -> np.ndarray:
+    """Which pairs of ``few`` and ``many`` (``id, component, n, sketch``) lie in two components and
+    may be links by the bounds on size and difference."""
+    out = np.zeros((len(few), len(many)), bool)
+    n, m = (np.array([r[2] for r in x], np.int64) for x in (few, many))
+    of, to = (np.array([r[1] for r in x], np.int64) for x in (few, many))
+    lengths, widths = (np.array([len(r[3]) for r in x]) for x in (few, many))
+    for length in np.unique(lengths):
+        for width in np.unique(widths):
+            rows, columns = np.flatnonzero(lengths == length), np.flatnonzero(widths == width)
+            least = min(length, width)
+            x, y = _fold([few[k][3] for k in rows], least), _fold([many[k][3] for k in columns], least)
+            step = max(1, (1 << 22) // y.size)
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                differ = np.bitwise_count(x[at : at + step, None] ^ y[None]).sum(2, dtype=np.int64)
+                both = n[part, None] + m[None, columns]
+                small = np.minimum(n[part, None], m[None, columns])
+                good = (differ * (100 + threshold) <= (100 - threshold) * both) & (100 * small >= threshold * (both - small))
+                out[np.ix_(part, columns)] = good & (of[part, None] != to[None, columns])
+    return out
+
+
+def _seeker(threshold: int, most: int):
+    """For each member outside its group's largest component, the first ``most`` members of other
+    components that the fine bound leaves possible; ``more`` tells whether there are others."""
+
+    def found(few: list[tuple], many: list[tuple]) -> pa.RecordBatch:
+        u, v, more = [], [], []
+        good = _possible(few, many, threshold) if few and many else np.zeros((0, 0), bool)
+        for row, partners in zip(few, good):
+            at = np.flatnonzero(partners)
+            u += [row[0]] * len(at[:most])
+            v += [many[k][0] for k in at[:most]]
+            more += [len(at) > most] * len(at[:most])
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(more, pa.bool_())], names=["centre", "id", "more"])
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, few, many = None, [], []
+        for batch in batches:
+            for h, by, i, j, few_side, *row in zip(*(batch.column(k).to_pylist() for k in range(9))):
+                if (unit := (h, by, i, j)) != now:
+                    if now is not None:
+                        yield found(few, many)
+                    now, few, many = unit, [], []
+                (few if few_side else many).append(tuple(row))
+        if now is not None:
+            yield found(few, many)
+
+    return seek
+
+
 def _verifier(threshold: int, width: int):
     """Links of each centre with the texts that follow it."""
 
@@ -353,15 +416,50 @@ def _verifier(threshold: int, width: int):
     return verify
 
 
-#: Texts that meet a centre in one place.
+#: Texts that meet a centre in one place, and about as many sketches a side that meet in a block.
 MEETING = 1000
+#: Possible partners for each member in the first round between components.
+FIRST_PARTNERS = 16
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, representatives: DataFrame, rows: DataFrame, threshold: int, width: int, first: bool) -> DataFrame:
-    """The links among ``pairs`` (``centre, id``)."""
+def _pruned(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """Those of ``pairs`` (``centre, id``) that the fine bound leaves possible."""
     side = lambda key, n, s: sketches.select(F.col("id").alias(key), F.col("n").alias(n), F.col("sketch").alias(s))
     both = pairs.join(side("centre", "n", "s"), "centre").join(side("id", "m", "t"), "id")
-    left = cut(both.select("centre", "id", "n", "m", "s", "t").mapInArrow(_pruner(threshold), "centre long, id long"), "possible")
+    return cut(both.select("centre", "id", "n", "m", "s", "t").mapInArrow(_pruner(threshold), "centre long, id long"), "possible")
+
+
+def _sought(members: DataFrame, sketches: DataFrame, threshold: int, most: int) -> DataFrame:
+    """``centre, id, more``: possible pairs between components of the groups of ``members`` (``g,
+    id, weight, component``), ``most`` for each member outside its group's largest component.
+
+    Groups with the same largest component are compared as one where that takes fewer comparisons
+    than one after another.  Sketches meet in blocks of about ``MEETING``, so no task holds a group.
+    """
+    parts = members.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
+    groups = parts.groupBy("g").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").cast("double").alias("all"))
+    groups = cut(groups.select("g", F.col("top.component").alias("major"), "all", (F.col("all") - F.col("top.n")).alias("others")), "groups")
+    told = members.join(groups.select("g", "major"), "g")
+    merged = told.groupBy("major", "id").agg(F.first("component").alias("component"))
+    merged = merged.groupBy("major").agg((F.count(F.lit(1)) * F.count_if(F.col("component") != F.col("major")).cast("double")).alias("once"))
+    apart = groups.groupBy("major").agg(F.sum(F.col("all") * F.col("others")).alias("apart"))
+    whole = merged.join(apart, "major").select("major", (F.col("once") <= F.col("apart")).alias("whole"))
+    dealt = told.join(whole, "major").select(F.when(F.col("whole"), F.col("major")).otherwise(F.col("g")).alias("h"), F.col("whole").alias("by"), "id", "weight", "component", "major")
+    dealt = cut(dealt.groupBy("h", "by", "id").agg(F.first("weight").alias("weight"), F.first("component").alias("component"), F.first("major").alias("major")), "dealt")
+    blocks = dealt.groupBy("h", "by").agg(
+        F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("wide"), F.ceil(F.count_if(F.col("component") != F.col("major")) / MEETING).cast("int").alias("high")
+    )
+    rows = dealt.join(blocks, ["h", "by"]).join(sketches, "id")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = rows.filter("component <> major").select("h", "by", at("high").alias("i"), every("wide").alias("j"), F.lit(True).alias("few"), "weight", "id", "component", "n", "sketch")
+    many = rows.filter("high > 0").select("h", "by", every("high").alias("i"), at("wide").alias("j"), F.lit(False).alias("few"), "weight", "id", "component", "n", "sketch")
+    units = few.union(many).repartition("h", "by", "i", "j").sortWithinPartitions("h", "by", "i", "j", F.desc("weight"), "id").drop("weight")
+    return units.mapInArrow(_seeker(threshold, most), "centre long, id long, more boolean")
+
+
+def _verified(left: DataFrame, representatives: DataFrame, rows: DataFrame, threshold: int, width: int, first: bool) -> DataFrame:
+    """The links among the possible pairs ``left`` (``centre, id``)."""
     places = left.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("places"))
     routes = left.join(places, "centre").select("centre", F.pmod(F.xxhash64("id"), "places").cast("int").alias("salt"), F.lit(1).alias("role"), "id")
     routes = routes.union(places.select("centre", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("centre").alias("id")))
@@ -414,32 +512,39 @@ def jaccard_components(
     sketches = drawn.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sketches = cut(sketches, "sketches")
     representatives = cut(nodes.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "representatives")
-    links, tested = [], None
-    comps = spark.createDataFrame([], "node long, component long")
-    centres_each = 1
-    while not members.isEmpty():
-        order = Window.partitionBy("g").orderBy(F.desc("weight"), "id")
-        centres = members.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= centres_each)
-        centres = cut(centres.select("g", F.col("id").alias("centre"), F.col("component").alias("other")), "centres")
-        pairs = members.join(centres, "g").filter("component <> other")
-        pairs = pairs.groupBy(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).agg(F.first("centre").alias("centre"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        seen = pairs.select("u", "v")
-        star = pairs.select("centre", F.when(F.col("centre") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("id"))
-        links.append(_verified(star, sketches, representatives, rows, threshold, width, tested is None))
-        tested = seen if tested is None else tested.union(seen)
-        all_links = links[0]
-        for more in links[1:]:
-            all_links = all_links.union(more)
-        if not links[-1].isEmpty():
-            comps = cut(components(all_links), "components")
-        left = members.select("g", "id", "weight").join(centres.select("g", F.col("centre").alias("id")), ["g", "id"], "left_anti")
-        left = left.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_groups = left.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("g")
-        members = cut(left.join(open_groups, "g", "left_semi"), "members")
-        centres_each *= 16
+    if members.isEmpty():
+        return _finish(nodes, spark.createDataFrame([], "node long, component long"))
+
+    # First, every member meets the most connected one of its group.
+    order = Window.partitionBy("g").orderBy(F.desc("weight"), "id")
+    centres = members.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    centres = cut(centres.select("g", F.col("id").alias("centre")), "centres")
+    pairs = members.join(centres, "g").filter("id <> centre")
+    pairs = pairs.groupBy(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).agg(F.first("centre").alias("centre"))
+    star = pairs.select("centre", F.when(F.col("centre") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("id"))
+    tested = _pruned(star, sketches, threshold)
+    links = _verified(tested, representatives, rows, threshold, width, True)
+    comps = cut(components(links), "components")
+    left = cut(members.join(centres.select("g", F.col("centre").alias("id")), ["g", "id"], "left_anti").select("g", "id", "weight"), "left")
+
+    # Then what is possible between the components of a group, ever more for each member.
+    most, more = FIRST_PARTNERS, True
+    while more:
+        state = left.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        split = state.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("last")).filter("least <> last").select("g")
+        state = cut(state.join(split, "g", "left_semi"), "members")
+        sought = cut(_sought(state, sketches, threshold, most), "sought")
+        more = not sought.filter("more").isEmpty()
+        known = tested.select(F.least("centre", "id").alias("u"), F.greatest("centre", "id").alias("v"))
+        pairs = sought.groupBy(F.least("centre", "id").alias("u"), F.greatest("centre", "id").alias("v")).agg(F.first("centre").alias("centre"))
+        pairs = pairs.join(known, ["u", "v"], "left_anti")
+        pairs = cut(pairs.select("centre", F.when(F.col("centre") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("id")), "pairs")
+        fresh = _verified(pairs, representatives, rows, threshold, width, False)
+        tested = tested.union(pairs)
+        if not fresh.isEmpty():
+            links = links.union(fresh)
+            comps = cut(components(links), "components")
+        most *= 16
     return _finish(nodes, comps)
 
 

@@ -1,6 +1,7 @@
 """Operators 1, 3, 6, 7 and 8 against brute force."""
 
 import hashlib
+import random
 import re
 import uuid
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliomill.llm import suffix_dedup
+from foliomill.llm import jaccard_join, suffix_dedup
 from foliomill.llm.exact_dedup import DigestIndex
 from foliomill.llm.jaccard_join import jaccard_components
 from foliomill.llm.line_dedup import dedup_lines
@@ -135,6 +136,22 @@ def test_jaccard_chain_of_small_sets(spark):
     assert got == brute_components(items)
 
 
+def test_jaccard_family_near_the_threshold(spark, monkeypatch):
+    """Many near copies of which few are linked: small blocks, and several rounds with few partners."""
+    monkeypatch.setattr(jaccard_join, "MEETING", 5)
+    monkeypatch.setattr(jaccard_join, "FIRST_PARTNERS", 1)
+    rng, base = random.Random(3), [f"w{k}" for k in range(160)]
+    items = []
+    for k in range(70):
+        copy = list(base)
+        for _ in range(k % 7):
+            copy[rng.randrange(len(copy))] = f"x{rng.random()}"
+        items.append((k, " ".join(copy)))
+    got = collected(jaccard_components(spark.createDataFrame(items, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(items)
+    assert 5 < len({c for _, _, c in got}) < 65
+
+
 def test_exact_dedup(spark, docs, rows, empty):
     index = DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=3)
     groups = defaultdict(list)
