@@ -47,7 +47,8 @@ from .words import Words, mixed, slices, windows
 GRAM = 5
 THRESHOLD = 80  # per cent
 SPARE_SIZE = 40  # up to this size a set with few filled segments uses the band's common key
-FLUSH = 1 << 21  # signatures held before they are packed
+FLUSH = 1 << 20  # signatures held before they are packed
+BATCH_BYTES = 1 << 22  # packed rows leave Python in batches of about this size
 BLOCK = 4096  # members of a signature that are compared at once
 COSTLY = 32  # holders beyond which a signature is skipped by sets that can do without
 BANDS = 64
@@ -168,24 +169,36 @@ def _packer(buckets: int, threshold: int, width: int):
         docs, doc_sets, doc_sizes, fine, spares, sigs, sets, sizes, sketches = ([] for _ in range(9))
         held = 0
 
-        def flush() -> pa.RecordBatch:
-            rows = [(turn % buckets, b"", b"", b"", b"", b"", np.array(docs, "<i8").tobytes(), np.array(doc_sets, "<i8").tobytes(), np.array(doc_sizes, "<i8").tobytes(), list(fine), np.array(spares, "<i8").tobytes())]
-            if sigs:
-                flat, owner = np.concatenate(sigs), np.repeat(np.arange(len(sigs), dtype=np.int32), [len(s) for s in sigs])
-                bucket = ((flat >> np.uint64(6)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                flat, owner, bucket = flat[order], owner[order], bucket[order]
-                ids, ns, bits = np.array(sets, "<i8"), np.array(sizes, "<i4"), np.array(sketches, "<u8").reshape(-1, SKETCH_WORDS)
-                edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for a, b in zip(edges, [*edges[1:], len(bucket)]):
-                    first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
-                    who = owner[a:b][first]
-                    count = np.diff(np.append(first, b - a)).astype("<i4")
-                    rows.append((int(bucket[a]), flat[a:b].tobytes(), count.tobytes(), ids[who].tobytes(), ns[who].tobytes(), bits[who].tobytes(), b"", b"", b"", None, b""))
-            names = [c.split()[0] for c in PACKED.split(", ")]
-            types = [pa.int32(), *[pa.binary()] * 8, pa.list_(pa.binary()), pa.binary()]
+        names = [c.split()[0] for c in PACKED.split(", ")]
+        types = [pa.int32(), *[pa.binary()] * 8, pa.list_(pa.binary()), pa.binary()]
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            own = (np.array(x, "<i8").tobytes() for x in (docs, doc_sets, doc_sizes))
+            yield packed([(turn % buckets, b"", b"", b"", b"", b"", *own, list(fine), np.array(spares, "<i8").tobytes())])
+            if not sigs:
+                return
+            flat, owner = np.concatenate(sigs), np.repeat(np.arange(len(sigs), dtype=np.int32), [len(s) for s in sigs])
+            bucket = ((flat >> np.uint64(6)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            flat, owner, bucket = flat[order], owner[order], bucket[order]
+            ids, ns, bits = np.array(sets, "<i8"), np.array(sizes, "<i4"), np.array(sketches, "<u8").reshape(-1, SKETCH_WORDS)
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+            rows, waiting = [], 0
+            for a, b in zip(edges, [*edges[1:], len(bucket)]):
+                first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+                who = owner[a:b][first]
+                count = np.diff(np.append(first, b - a)).astype("<i4")
+                rows.append((int(bucket[a]), flat[a:b].tobytes(), count.tobytes(), ids[who].tobytes(), ns[who].tobytes(), bits[who].tobytes(), b"", b"", b"", None, b""))
+                waiting += sum(len(x) for x in rows[-1][1:6])
+                if waiting > BATCH_BYTES:
+                    yield packed(rows)
+                    rows, waiting = [], 0
+            if rows:
+                yield packed(rows)
+
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, texts in slices(batch.column(1)):
@@ -205,13 +218,13 @@ def _packer(buckets: int, threshold: int, width: int):
                         sketches.append(sketch(grams))
                         held += len(sigs[-1])
                 if held > FLUSH or len(docs) > 100_000:
-                    yield flush()
+                    yield from flush()
                     turn += 1
                     held = 0
                     for x in (docs, doc_sets, doc_sizes, fine, spares, sigs, sets, sizes, sketches):
                         x.clear()
         if docs:
-            yield flush()
+            yield from flush()
 
     return pack
 
