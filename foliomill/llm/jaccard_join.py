@@ -41,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .components import components
-from .scratch import cut
+from .scratch import batches_of, cut
 from .words import Words, mixed, slices, windows
 
 GRAM = 5
 THRESHOLD = 80  # per cent
 SPARE_SIZE = 40  # up to this size a set with few filled segments uses the band's common key
-FLUSH = 1 << 20  # signatures held before they are packed
+FLUSH = 1 << 18  # signatures held before they are packed
+TEXT_ROWS = 256  # texts that reach Python at once
+TEXT_BYTES = 1 << 18  # texts hashed at once, but for longer ones
 BATCH_BYTES = 1 << 22  # packed rows leave Python in batches of about this size
 BLOCK = 4096  # members of a signature that are compared at once
 COSTLY = 32  # holders beyond which a signature is skipped by sets that can do without
@@ -201,7 +203,7 @@ def _packer(buckets: int, threshold: int, width: int):
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, texts in slices(batch.column(1)):
+            for first, texts in slices(batch.column(1), TEXT_BYTES):
                 for doc, grams in zip(ids[first:], gram_sets(texts, width)):
                     docs.append(doc)
                     doc_sizes.append(len(grams))
@@ -510,7 +512,8 @@ def jaccard_components(
         .repartitionById(buckets, F.col("bucket"))
         .mapInArrow(_grouper(threshold), GROUPED)
     )
-    found = cut(found, "signature-groups")
+    with batches_of(spark, TEXT_ROWS):
+        found = cut(found, "signature-groups")
     nodes = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("id"), F.col("c").alias("n_shingles"))
     spare = found.filter("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("band"), F.col("c").alias("spare")).distinct()
     costs = found.filter("kind = 4").groupBy(F.col("a").alias("id"), F.col("b").alias("band")).agg(F.sum("c").alias("costly"))

@@ -254,5 +254,6 @@ class LanguageModel:
                     batch = whole.slice(at, 256)
                     lang, p = model.value.scores(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(p)], names=[f.name for f in schema])
+            pa.default_memory_pool().release_unused()  # the worker is kept
 
         return kept.mapInArrow(score, schema)
