@@ -255,9 +255,8 @@ def _split(ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, threshold: int)
 
 def _grouper(threshold: int):
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(4)]
-        drawings: list[np.ndarray] = []
-        drawn_so_far = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # signatures, and how many each set has
+        entries: list[list[np.ndarray]] = [[], [], []]  # id, size and sketch of those sets
         for batch in batches:
             get = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             for k in range(batch.num_rows):
@@ -268,22 +267,28 @@ def _grouper(threshold: int):
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(arrays[0]), np.int32)), *arrays, fine], names=GROUP_NAMES)
                     yield _rows(2, *np.frombuffer(get["spare"][k].as_py(), "<i8").reshape(-1, 3).T)
                 else:
-                    count = np.frombuffer(get["counts"][k].as_py(), "<i4")
-                    held[0].append(np.frombuffer(get["sigs"][k].as_py(), "<u8"))
-                    for h, name, kind in zip(held[1:], ("sets", "sizes"), ("<i8", "<i4")):
-                        h.append(np.repeat(np.frombuffer(get[name][k].as_py(), kind), count))
-                    held[3].append(np.repeat(np.arange(len(count)) + drawn_so_far, count))
-                    drawn_so_far += len(count)
-                    drawings.append(np.frombuffer(get["sketches"][k].as_py(), "<u8").reshape(-1, SKETCH_WORDS))
-        if not held[0]:
+                    held.append((np.frombuffer(get["sigs"][k].as_py(), "<u8"), np.frombuffer(get["counts"][k].as_py(), "<i4")))
+                    for part, name, kind in zip(entries, ("sets", "sizes", "sketches"), ("<i8", "<i4", "<u8")):
+                        part.append(np.frombuffer(get[name][k].as_py(), kind))
+        if not held:
             return
-        sigs, ids, sizes, drawing = (np.concatenate(h) for h in held)
-        drawn = np.concatenate(drawings)
+        flat = np.concatenate([x for x, _ in held])
+        flat.sort()
+        repeated = np.unique(flat[1:][flat[1:] == flat[:-1]])
+        del flat
+        if not len(repeated):
+            return
+        kept, owners, before = [], [], 0
+        for x, count in held:
+            hit = np.flatnonzero(repeated[np.minimum(np.searchsorted(repeated, x), len(repeated) - 1)] == x)
+            kept.append(x[hit])
+            owners.append(np.repeat(np.arange(before, before + len(count)), count)[hit])
+            before += len(count)
         held.clear()
-        order = np.argsort(sigs, kind="stable")
-        same = np.diff(sigs[order]) == 0
-        shared = order[np.append(same, False) | np.insert(same, 0, False)]
-        sigs, ids, sizes, drawing = sigs[shared], ids[shared], sizes[shared], drawing[shared]
+        sigs, drawing = np.concatenate(kept), np.concatenate(owners)
+        ids, sizes, drawn = (np.concatenate(x) for x in entries)
+        drawn = drawn.reshape(-1, SKETCH_WORDS)
+        ids, sizes = ids[drawing], sizes[drawing]
         order = np.lexsort((ids, sigs))
         sigs, ids, sizes, drawing = sigs[order], ids[order], sizes[order], drawing[order]
         new = (np.diff(sigs, prepend=~sigs[:1]) != 0) | (np.diff(ids, prepend=~ids[:1]) != 0)
