@@ -496,13 +496,13 @@ def _verified(left: DataFrame, representatives: DataFrame, rows: DataFrame, thre
 
 
 def _buckets(docs: DataFrame) -> int:
-    """Two for each core, and one for each 16 MB of input at least; where Spark does not know the
+    """Four for each core, and one for each 16 MB of input at least; where Spark does not know the
     input's size, as many as shuffle partitions."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     spark = docs.sparkSession
     if size >= 1 << 56:
         size = int(spark.conf.get("spark.sql.shuffle.partitions")) << 24
-    return min(1 << 20, max(2 * spark.sparkContext.defaultParallelism, size >> 24))
+    return min(1 << 20, max(4 * spark.sparkContext.defaultParallelism, size >> 24))
 
 
 def jaccard_components(
