@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliomill.llm.jaccard_join import jaccard_components
 from foliomill.llm.language_id import UNKNOWN, LanguageModel, held_out
-from foliomill.llm.line_dedup import dedup_lines
+from foliomill.llm.line_dedup import LONG_WORDS, dedup_lines
 from foliomill.llm.mixing import mix
 from foliomill.llm.packing import pack, tokenize
 from foliomill.llm.scratch import cut
@@ -28,8 +28,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated line runs; a document that held nothing else goes."""
-    out = dedup_lines(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Deletes later copies of repeated line runs and of long lines; a document that held nothing
+    else goes."""
+    out = dedup_lines(docs, long_words=LONG_WORDS).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -9,6 +9,11 @@ hot line costs no more than a rare one); the earliest window of a name stays and
 later windows cover are deleted, judged on the input.  Merged windows are the maximal runs.
 DataFrame functions only.
 
+With ``long_words`` a single line of at least so many words is a run of its own, so that a long
+passage between lines of other documents, or a one-line document, goes too while short common
+lines stay.  The pipeline uses ``LONG_WORDS``; ``op8_line_dedup`` counts runs of ``MIN_LINES`` only,
+as its SQL does.
+
 Edge cases: a null text stays null, with no lines; an empty text is one empty line; windows of
 nothing but blank lines do not count; rows that share id and text are one document and share the
 outcome, rows that share only the id are ordered by text fingerprint; an empty table gives an empty
@@ -22,6 +27,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .scratch import cut
 
 MIN_LINES = 2
+#: Words from which a line counts as a run by itself.
+LONG_WORDS = 50
 
 
 def _name(*parts: Column) -> Column:
@@ -36,8 +43,9 @@ def _doubled(names: Column, step: int, size: Column) -> Column:
     return F.zip_with(near, ahead, lambda x, y: _name(x["a"], x["b"], y["a"], y["b"]))
 
 
-def suffix_windows(rows: DataFrame, min_lines: int) -> DataFrame:
-    """``id, print, pos, name`` for every window of ``min_lines`` lines that is not all blank."""
+def suffix_windows(rows: DataFrame, min_lines: int, long_words: int | None = None) -> DataFrame:
+    """``id, print, pos, span, name`` for every window of ``min_lines`` lines that is not all blank,
+    and for every line of ``long_words`` words or more."""
     lines = rows.select("id", "print", "lines", F.transform("lines", lambda x: _name(x)).alias("names"))
     length = 1
     while length < min_lines:
@@ -46,28 +54,35 @@ def suffix_windows(rows: DataFrame, min_lines: int) -> DataFrame:
         length += step
     windows = lines.select("id", "print", "lines", F.posexplode("names").alias("pos", "name"))
     filled = F.exists(F.slice("lines", F.col("pos") + 1, F.lit(min_lines)), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return windows.filter(filled).select("id", "print", "pos", "name")
+    windows = windows.filter(filled).select("id", "print", "pos", F.lit(min_lines).alias("span"), "name")
+    if long_words is None:
+        return windows
+    single = rows.select("id", "print", F.posexplode("lines").alias("pos", "line"))
+    single = single.filter(F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")) >= long_words)
+    return windows.union(single.select("id", "print", "pos", F.lit(1).alias("span"), _name(F.col("line")).alias("name")))
 
 
-def later_copies(rows: DataFrame, min_lines: int) -> DataFrame:
-    """``id, print, starts``: where windows start that also start earlier."""
-    windows = suffix_windows(rows, min_lines)
+def later_copies(rows: DataFrame, min_lines: int, long_words: int | None = None) -> DataFrame:
+    """``id, print, starts``: where windows start that also start earlier, and their lines."""
+    windows = suffix_windows(rows, min_lines, long_words)
     here = F.struct("id", "print", "pos")
     groups = windows.groupBy("name").agg(F.min(here).alias("first"), F.max(here).alias("last"))
     groups = groups.filter(F.col("first") < F.col("last")).select("name", "first")
     groups = cut(groups, "repeated-windows")  # a table of its own, so that the join's hot keys can be split
     later = windows.join(groups, "name").filter(here > F.col("first"))
-    return later.groupBy("id", "print").agg(F.collect_set("pos").alias("starts"))
+    return later.groupBy("id", "print").agg(F.collect_set(F.struct("pos", "span")).alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None
+) -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from the text, and the counts
     ``n_lines`` (of the input) and ``n_removed``."""
     text = F.col(text_col)
     rows = docs.filter(text.isNotNull()).select(
         F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), F.split(text, "\n").alias("lines")
     )
-    found = cut(later_copies(rows, min_lines), "line-runs").select(
+    found = cut(later_copies(rows, min_lines, long_words), "line-runs").select(
         F.col("id").alias("__id"), F.col("print").alias("__print"), "starts"
     )
     kept = docs.drop("n_lines", "n_removed")
@@ -75,7 +90,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
         found.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__print")) & text.isNotNull(), "left"
     )
     lines = F.split(text, "\n")
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (min_lines - 1)))))
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["pos"], s["pos"] + s["span"] - 1))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__covered"))
     joined = joined.withColumn("__covered", covered).withColumn("__lines", lines)
     rest = F.array_join(F.transform(stay, lambda i: F.element_at("__lines", i + 1)), "\n")
