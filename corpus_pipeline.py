@@ -37,10 +37,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates."""
-    groups = jaccard_components(docs)
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one row of each group of near-duplicates: the least by id, then text fingerprint.
+
+    Rows without id take no part and are kept.  A document is an id with a text (a 64-bit hash of
+    both): rows that share both count once, the least of their other columns; of an id's several
+    texts each is judged in its own group.
+    """
+    named = docs.filter("doc_id is not null").withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = jaccard_components(named, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    keys = named.groupBy("__key").agg(F.min("doc_id").alias("id"), F.min(F.xxhash64("text")).alias("print"), F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct("id", "print", "__key", "n")).alias("least")
+    stay = cut(groups.join(keys, "__key").groupBy("component_id").agg(least).select("least.__key", "least.n"), "near-kept")
+    out = named.join(stay.filter("n = 1"), "__key", "left_semi").select(*docs.columns)
+    if not (several := stay.filter("n > 1")).isEmpty():
+        rows = named.join(several, "__key", "left_semi").groupBy("__key")
+        out = out.union(rows.agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+    return out.union(docs.filter("doc_id is null"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

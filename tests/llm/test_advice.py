@@ -52,3 +52,26 @@ def test_pipeline_deletes_long_single_lines(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in long_line_rows()], SCHEMA)
     out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert out[1] == "d\ne" and 2 not in out and 5 not in out and out[4] == words("v", 49)
+
+
+def test_near_duplicates_without_or_with_repeated_id(spark):
+    a, b, c = words("a", 60), words("b", 60), words("c", 60)
+    near = a + " tail"
+    rows = [
+        (1, a, "en", "t", None), (1, a, "en", "s", None), (1, a, "en", "s", None),  # one document, three rows
+        (2, near, "en", "s", None), (2, c, "en", "s", None),  # one text goes with 1, the other stays
+        (3, b, "en", "s", None), (4, b, "en", "s", None), (4, c, "en", "s", None),
+        (None, a, "en", "s", None), (None, None, None, None, None),
+        (5, "", "en", "s", None), (6, "", "en", "s", None), (6, "", "en", "s", None),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(1, a, "en", "s", None), (2, c, "en", "s", None), (3, b, "en", "s", None), rows[8], rows[9], rows[10], rows[11]]
+    assert Counter(map(tuple, out.collect())) == Counter(want)
+
+
+def test_near_duplicates_of_one_id(spark):
+    a = words("a", 60)
+    docs = spark.createDataFrame([(7, a, "en", "s", None), (7, a + " tail", "en", "s", None)], SCHEMA)
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 1
