@@ -1,8 +1,8 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a catalog table bucketed and sorted by digest.  A batch is reduced to one row per
-digest before any shuffle (partial aggregation), then anti-joined with the index by sort-merge;
-what is new is appended bucket for bucket, so the index itself is never shuffled.
+digest before any shuffle (partial aggregation), then anti-joined with the index by sort-merge,
+which alone decides what is new; ids that stay are looked up for the other digests only.  What is new is appended bucket for bucket, so the index itself is never shuffled.
 DataFrame functions only.
 
 Edge cases: a null text counts as empty; empty and very long texts are ordinary values; repeated
@@ -67,19 +67,17 @@ class DigestIndex:
         groups = rows.groupBy("digest").agg(
             F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("group_size")
         )
-        before = self.rows()
-        known = (
-            groups.hint("merge").join(before.hint("merge"), "digest", "left")
-            .withColumnRenamed("keep_id", "known_id")
-        )
         from .scratch import cut
 
-        known = cut(known, "digest-groups")
-        fresh = known.filter(F.col("known_id").isNull()).select("digest", "last_id", "group_size")
-        self._append(self.unseen(fresh).select("digest", F.col("last_id").alias("keep_id")))
+        groups = cut(groups, "digest-groups")
+        fresh = self.unseen(groups).withColumn("known_id", F.lit(None).cast("long")).withColumn("fresh", F.lit(True))
+        old = groups.hint("merge").join(self.rows().withColumnRenamed("keep_id", "known_id").hint("merge"), "digest")
+        known = cut(fresh.unionByName(old.withColumn("fresh", F.lit(False))), "digests-judged")
+        added = known.filter("fresh").repartition(self.buckets, "digest")  # a bucket a task
+        self._append(added.select("digest", F.col("last_id").alias("keep_id")))
         return (
             rows.join(known, "digest")
-            .withColumn("keep_id", F.coalesce("known_id", "last_id"))
-            .withColumn("kept", F.col("known_id").isNull() & F.col("doc_id").eqNullSafe(F.col("last_id")))
+            .withColumn("keep_id", F.when(F.col("fresh"), F.col("last_id")).otherwise(F.col("known_id")))
+            .withColumn("kept", F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("last_id")))
             .select("digest", "doc_id", "keep_id", "group_size", "kept")
         )

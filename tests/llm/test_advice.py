@@ -1,11 +1,10 @@
 """Findings of the review: each of these failed before."""
 
+import uuid
 from collections import Counter
 
-import pytest
-from pyspark.sql import functions as F
-
 import corpus_pipeline
+from foliomill.llm.exact_dedup import DigestIndex
 from foliomill.llm.line_dedup import dedup_lines
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,3 +74,13 @@ def test_near_duplicates_of_one_id(spark):
     a = words("a", 60)
     docs = spark.createDataFrame([(7, a, "en", "s", None), (7, a + " tail", "en", "s", None)], SCHEMA)
     assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 1
+
+
+def test_anti_join_decides_what_is_new(spark):
+    """A digest that the index has stays known even where the document that stays has no id."""
+    index = DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=3)
+    schema = "doc_id long, text string"
+    index.add(spark.createDataFrame([(None, "Seen"), (1, "other")], schema))
+    got = {tuple(r) for r in index.add(spark.createDataFrame([(5, "seen"), (6, "Other"), (7, "new")], schema)).select("doc_id", "keep_id", "kept").collect()}
+    assert got == {(5, None, False), (6, 1, False), (7, 7, True)}
+    assert index.rows().count() == index.rows().select("digest").distinct().count() == 3
