@@ -1,9 +1,9 @@
-"""Line dedup: repeated runs of lines, found by prefix doubling; later copies are deleted.
+"""Line dedup: repeated runs of lines, found by grouped window names; later copies are deleted.
 
 A suffix is a line position; its line ID is a 128-bit fingerprint of the line.  Doubling names the
 first 2, 4, ... lines of every suffix by the pair of names half as long, and stops at the shortest
-run that counts, ``min_lines``: suffixes that share that name form one interval of the suffix array
-whose longest common prefix is at least ``min_lines``, and every longer repeated run is the union
+run that counts, ``min_lines``: suffixes that share that name would form one interval of a suffix array
+(none is built) whose longest common prefix is at least ``min_lines``, and every longer repeated run is the union
 of such windows.  Names are grouped across the cluster (one row per name and task is shuffled, so a
 hot line costs no more than a rare one); the earliest window of a name stays and the lines that its
 later windows cover are deleted, judged on the input.  Merged windows are the maximal runs.
