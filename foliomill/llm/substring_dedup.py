@@ -1,9 +1,10 @@
-"""Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
+"""Substring dedup: fixed-length word windows, compared by Rabin-Karp hashes and counted in Spark.
 
 A word goes if a window that covers it also starts in a document with a smaller id; windows are
-judged on the input.  Every window is hashed where its text is read.  Windows travel as runs with a
-common anchor (see ``anchors``): a run whose whole stretch starts in an earlier document is settled
-at once; runs whose anchor recurs with other stretches are opened into their windows, whose hashes
+judged on the input.  Sub-windows and whole stretches are hashed where the text is read, windows
+themselves only in runs that are opened.  Windows travel as runs with a common anchor (see
+``anchors``): a run whose whole stretch starts in an earlier document is settled at once; runs whose
+anchor recurs with other stretches are opened into their windows, whose hashes
 are grouped for the earliest document.  Windows with an anchor seen once need not move.  All
 groupings are partial aggregates followed by joins whose hot keys Spark splits.
 
