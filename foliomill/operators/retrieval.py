@@ -42,8 +42,9 @@ def jump(entries: DataFrame, query: str, top: int = 30) -> DataFrame:
 
 def page_search(manifest: DataFrame, query: str, top: int = 40) -> DataFrame:
     """Pages that hold every token, in page order, with a snippet around the first token (whose
-    place is that in section title and text together)."""
+    place is that in section title and text together).  A page without a section has an empty title."""
     found = re.findall("[a-z0-9_]+", query.strip().lower())
+    manifest = manifest.withColumn("sec", F.coalesce("sec", F.lit("")))
     text = F.coalesce("t", F.lit(""))
     hay = F.lower(F.concat("sec", F.lit(" "), text))
     if not found:

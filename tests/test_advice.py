@@ -1,0 +1,8 @@
+"""Findings of the review on the library: each of these failed before."""
+
+from foliomill.operators import retrieval as V
+
+
+def test_page_search_without_section(spark):
+    m = spark.createDataFrame([(1, None, "the src1 page"), (2, "Part src1", "the other"), (3, None, None)], "n long, sec string, t string")
+    assert [(r.n, r.sec, r.snippet) for r in V.page_search(m, "The src1").collect()] == [(1, "", "the src1 page"), (2, "Part src1", "the other")]
