@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,6 +11,7 @@ from ..functions.html import render_blocks, render_body
 from ..functions.registers import c_header, svd_document
 from ..operators import enrich as E, search as S, structure as T
 from ..operators.layout import page_blocks, table_note_images
+from ..operators.vectors import embed, section_chunks
 
 
 @dataclass(frozen=True)
@@ -92,8 +94,13 @@ def rendered_sections(sections: DataFrame, blocks: DataFrame | None = None) -> D
     return rows.join(own, ["doc", "id"], "left").select("doc", "id", F.coalesce(F.nullif(body, F.lit("")), render_body(F.col("text"), F.col("numbers"), F.col("pages"))).alias("html"))
 
 
-def build(outline: DataFrame, pages: DataFrame, spans: DataFrame | None = None, images: DataFrame | None = None, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    """All tables of a build by name; nothing runs before they are written or read."""
+def build(
+    outline: DataFrame, pages: DataFrame, spans: DataFrame | None = None, images: DataFrame | None = None, settings: Settings = Settings(),
+    svd: DataFrame | None = None, embedder: Callable | None = None,
+) -> dict[str, DataFrame]:
+    """All tables of a build by name; nothing runs before they are written or read, but that ``svd``
+    (register groups, see ``sources.svd``) is looked at for rows.  ``semantic`` settings add
+    ``chunks``, and with an ``embedder`` (the factory of ``vectors.embed``) their ``vectors``."""
     if settings.max_pages:
         pages = pages.filter(F.col("page") < settings.max_pages)
     counts = pages.groupBy("doc").agg((F.max("page") + 1).cast("int").alias("n_pages"))
@@ -107,8 +114,12 @@ def build(outline: DataFrame, pages: DataFrame, spans: DataFrame | None = None,
         "postings": S.postings(searched, "section_id"), "search_docs": S.index_docs(searched),
         "page_manifest": page_manifest(pages, sections, images, settings.page_text_chars),
         "xrefs": T.xrefs(sections.select("doc", F.col("id").alias("src"), "text"), sections),
-        "stats": site_stats(sections, enrichments, counts), "register_map": register_map(sections, enrichments),
+        "stats": site_stats(sections, enrichments, counts), "register_map": register_map(sections, enrichments, svd),
     }
+    if settings.semantic:
+        out["chunks"] = section_chunks(sections, "section_id", limit=settings.chunk_chars)
+        if embedder is not None:
+            out["vectors"] = embed(out["chunks"], embedder)
     blocks = None
     if spans is not None:
         blocks = page_blocks(spans, pages)

@@ -1,8 +1,25 @@
 """Findings of the review on the library: each of these failed before."""
 
+import numpy as np
+
 from foliomill.operators import retrieval as V
+from foliomill.plans.build import Settings, build
 
 
 def test_page_search_without_section(spark):
     m = spark.createDataFrame([(1, None, "the src1 page"), (2, "Part src1", "the other"), (3, None, None)], "n long, sec string, t string")
     assert [(r.n, r.sec, r.snippet) for r in V.page_search(m, "The src1").collect()] == [(1, "", "the src1 page"), (2, "Part src1", "the other")]
+
+
+def test_build_makes_chunks_vectors_and_svd_groups(spark):
+    o = spark.createDataFrame([("d", 0, 1, "1 Overview", 0)], "doc string, ord int, level int, title string, page int")
+    p = spark.createDataFrame([("d", 0, "DDRB - Port B Register\nBit 7 - DDB7: x\nline")], "doc string, page int, text string")
+    svd = spark.createDataFrame([("PORTB", [])], "title string, registers array<struct<name:string,description:string,address:string,fields:array<struct<bits:string,name:string,access:string,description:string>>>>")
+    settings = Settings.of("medium", backend="none", chunk_chars=25)
+    out = build(o, p, settings=settings, svd=svd, embedder=lambda: lambda texts: np.array([[3.0, 4.0]] * len(texts)))
+    assert [(r.title, r.register_source) for r in out["register_map"].collect()] == [("PORTB", "svd")]
+    chunks = out["chunks"].collect()
+    assert len(chunks) > 1 and {r.section_id for r in chunks} == {"d/1-overview"}
+    assert {tuple(round(x, 3) for x in r.vec) for r in out["vectors"].collect()} == {(0.6, 0.8)} and out["vectors"].count() == len(chunks)
+    small = build(o, p)
+    assert "chunks" not in small and "vectors" not in small
