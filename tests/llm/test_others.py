@@ -261,7 +261,8 @@ def test_mixing_meets_targets(spark):
 # --- pipeline -----------------------------------------------------------------------------------
 def test_pipeline(spark, unique_docs, tmp_path):
     import corpus_pipeline as P
-    from test_dedup import WORD, brute_components, brute_lines
+    from test_advice import brute_long_lines
+    from test_dedup import WORD, brute_components
 
     unique_docs.drop("digest", "runs", "size", "n", "id", "tag", "n_removed").write.parquet(str(tmp_path / "documents.parquet"))
     table = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -271,7 +272,7 @@ def test_pipeline(spark, unique_docs, tmp_path):
     kept = {r.doc_id: r.text for r in spoken.collect()}
     assert all(any(c.isalpha() for c in t) for t in kept.values())
     lines = stages[1](spark, spoken, str(tmp_path))
-    want = {i: t for (i, t, _, gone) in brute_lines(list(kept.items()), 2) if not gone or WORD.search(t)}
+    want = {i: t for (i, t, gone) in brute_long_lines(list(kept.items()), 2, P.LONG_WORDS) if not gone or WORD.search(t)}
     got = {r.doc_id: r.text for r in lines.collect()}
     assert lines.columns == table.columns and got == want
     near = stages[2](spark, lines, str(tmp_path))
