@@ -13,13 +13,16 @@ clash with those it adds, which it replaces.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .scratch import cut
+from .scratch import batches_of, cut
+from .words import give_back
 
 CAPACITY = 2048
 END_ID = 0
@@ -64,18 +67,25 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
+#: Ids held before a batch of pieces leaves Python.
+FLUSH_IDS = 1 << 18
+
+
 def tokenize(
     docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, capacity: int = CAPACITY,
-    end_id: int = END_ID, text_col: str = "text",
+    end_id: int = END_ID, text_col: str = "text", keep_ids: bool = True,
 ) -> DataFrame:
-    """Pieces of every row: its columns but the text, and ``piece, start, length, ids``.
+    """Pieces of every row: its columns but the text, and ``piece, start, length, ids``, or
+    ``ids_crc32`` (of the bytes of ``ids``) instead of ``ids`` unless ``keep_ids``.
 
     ``ids`` are little-endian unsigned 32-bit numbers.  Only documents longer than ``capacity`` are
     cut, into pieces of that length; the first takes what is left over.
     """
-    made = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType())]
+    last = ("ids", T.BinaryType()) if keep_ids else ("ids_crc32", T.LongType())
+    made = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), last]
     carried = [f for f in docs.schema if f.name != text_col and f.name not in dict(made)]
     schema = T.StructType([*carried, *(T.StructField(n, t) for n, t in made)])
+    digest = bytes if keep_ids else zlib.crc32
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (tokenizer_path, ranks_path)
@@ -86,8 +96,8 @@ def tokenize(
 
             def flush():
                 keep = batch.select([f.name for f in carried]).take(pa.array(rows, pa.int32()))
-                arrays = [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())]
-                return pa.RecordBatch.from_arrays([*keep.columns, *arrays], names=[f.name for f in schema])
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary() if keep_ids else pa.int64()]
+                return pa.RecordBatch.from_arrays([*keep.columns, *map(pa.array, out, kinds)], names=[f.name for f in schema])
 
             for at in range(batch.num_rows):
                 text = texts[at].as_py() or ""
@@ -96,14 +106,15 @@ def tokenize(
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
                     rows.append(at)
-                    for column, value in zip(out, (k, a, b - a, ids[a:b].tobytes())):
+                    for column, value in zip(out, (k, a, b - a, digest(ids[a:b].tobytes()))):
                         column.append(value)
                 held += len(ids)
-                if held > 1 << 21:
+                if held > FLUSH_IDS:
                     yield flush()
                     rows, out, held = [], ([], [], [], []), 0
             if rows:
                 yield flush()
+        give_back()
 
     return docs.select(text_col, *[f.name for f in carried]).mapInArrow(cut_up, schema)
 
@@ -162,7 +173,8 @@ def reduce_instance(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[
                     if partner >= total:
                         fix(pairs(partner), s, partner)
                     elif partner == a and (len(larger) < 2 or sum(larger) > room):
-                        fix(1, s, a, b)
+                        # All that was asked is which sizes are there at least three times besides j.
+                        fix(max(1, min((int(counts[x]) - 4) // k for x, k in Counter((s, a, b)).items())), s, a, b)
                     else:
                         break
                 else:
@@ -195,9 +207,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     counts = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
         counts[size] += n
-    bins = reduce_instance(counts, capacity) + best_fit(counts, capacity)
+    bins: Counter[tuple[int, ...]] = Counter()  # of one pattern together, so that slots are few
+    for times, sizes in reduce_instance(counts, capacity) + best_fit(counts, capacity):
+        bins[tuple(sorted(sizes, reverse=True))] += times
     slots, used, sequence = [], np.zeros(capacity + 1, np.int64), 0
-    for times, sizes in bins:
+    for sizes, times in bins.items():
         offset = 0
         for s in dict.fromkeys(sizes):
             each = sizes.count(s)
@@ -209,8 +223,27 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return slots
 
 
+#: Slots up to this number (5 MB) are broadcast.
+FEW_SLOTS = 100_000
+#: Ranges into which the ranks of a length are divided beyond that.
+RANGES = 1024
+
+
+def spread(slots: list[tuple[int, ...]], histogram: dict[int, int]) -> list[tuple[int, ...]]:
+    """``slots``, each once for every range of ranks of its length that it meets, with that range."""
+    out = []
+    for slot in slots:
+        width = -(-histogram[slot[0]] // RANGES)
+        out += [(*slot, at) for at in range(slot[1] // width, (slot[2] - 1) // width + 1)]
+    return out
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; sequences hold at most ``capacity``."""
+    """``pieces`` with ``sequence_id`` and ``offset``; sequences hold at most ``capacity``.
+
+    A piece meets the slots of its length whose range of ranks is its own: by broadcast while the
+    slots are few, else by an equi-join whose keys hold a ``RANGES``-th of a length each.
+    """
     spark = pieces.sparkSession
     kept = pieces.drop("sequence_id", "offset")
     schema = T.StructType([*kept.schema, T.StructField("__task", T.LongType()), T.StructField("__local", T.LongType())])
@@ -229,7 +262,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
             columns = [*batch.columns, pa.array(np.full(len(sizes), task)), pa.array(local)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    table = cut(kept.mapInArrow(number, schema), "pieces")
+    with batches_of(spark):
+        made = cut(kept, "pieces")  # so that what makes the pieces and what numbers them never run side by side
+    table = cut(made.mapInArrow(number, schema), "numbered")
     counts = table.groupBy("__task", F.col(length_col).alias("__length")).agg(F.count(F.lit(1)).alias("__n"))
     counts = cut(counts, "lengths")
     histogram = {r["__length"]: r["n"] for r in counts.groupBy("__length").agg(F.sum("__n").alias("n")).collect()}
@@ -238,15 +273,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
         F.col("__task").alias("__t"), "__length", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")
     )
     slots = plan(histogram, capacity)
+    few = len(slots) <= FEW_SLOTS
+    ranges = 1 if few else RANGES
+    rows = [(*x, 0) for x in slots] if few else spread(slots, histogram)
     where = spark.createDataFrame(
-        slots or [(0, 0, 0, 1, 0, 0)], "__size long, __from long, __to long, __each long, __sequence long, __offset long"
+        rows or [(0, 0, 0, 1, 0, 0, 0)], "__size long, __from long, __to long, __each long, __sequence long, __offset long, __range long"
     )
-    if len(slots) <= 100_000:  # 5 MB; beyond that Spark sorts and merges
-        where = F.broadcast(where)
+    where = F.broadcast(where) if few else where.hint("merge")
+    wide = spark.createDataFrame([(s, -(-n // ranges)) for s, n in histogram.items()] or [(0, 1)], "__of long, __width long")  # a row a length
     table = table.join(starts, (F.col("__task") == F.col("__t")) & (F.col(length_col) == F.col("__length")))
     table = table.withColumn("__rank", F.col("__first") + F.col("__local"))
+    table = table.join(F.broadcast(wide), F.col(length_col) == F.col("__of"))
+    table = table.withColumn("__at", F.lit(0).cast("long") if few else F.expr("__rank div __width"))
     table = table.join(
-        where, (F.col(length_col) == F.col("__size")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
+        where,
+        (F.col(length_col) == F.col("__size")) & (F.col("__at") == F.col("__range")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")),
     )
     nth = F.col("__rank") - F.col("__from")
     return table.select(

@@ -1,14 +1,15 @@
 """Tables that cut lineage, and exact ranks without a single-task sort.
 
 Everything is written below ``spark.checkpoint.dir`` (shared by driver and executors); only
-where that is unset, as in tests, a folder under the warehouse is used.
+where that is unset in local mode, as in tests, a folder under the warehouse is used.
 """
 
 from __future__ import annotations
 
 import atexit
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,7 +19,10 @@ _written: list[str] = []
 
 def root(spark: SparkSession) -> str:
     """The folder for intermediate tables of this application."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/foliomill-{spark.sparkContext.applicationId}"
 
 
@@ -59,30 +63,55 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(put(df, name))
 
 
+#: Rows, and about how many bytes, that reach Python at once where memory is bounded by ``batches_of``.
+BATCH_ROWS, BATCH_BYTES = 1024, 1 << 20
+
+
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What is planned and run inside sends at most so many rows to Python at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+def batches_of(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[None]:
+    """What is planned and run inside sends at most so many rows and about ``size`` bytes to Python
+    at once; a longer text is a batch of its own."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in keys}
+    for key, value in keys.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def only(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` describes, written; the tables that it wrote on the way are deleted."""
+    before = set(_written)
+    df = build()
+    path = put(df, name)
+    for other in [x for x in _written if x not in before and x != path]:
+        forget(other)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, order: list[Column], rank: str, name: str) -> DataFrame:
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver, of plain numbers and texts, as a table that no Python worker makes."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    kind = f"array<struct<{', '.join(':'.join(c.split()) for c in schema.split(', '))}>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
+
+
+def ranked(df: DataFrame, order: list[Column], rank: str, name: str, distinct: list[str] | None = None) -> DataFrame:
     """``df`` with ``rank``: 0, 1, 2, ... in the total order ``order``.
 
     Rows are dealt into key ranges and sorted there; only the row counts of the ranges, one
-    number each, go to the driver.  No task sees more than its range.
+    number each, go to the driver.  No task sees more than its range.  Of rows that agree in the
+    columns ``distinct``, which must be those of ``order``, one is kept.
     """
     spark = df.sparkSession
-    split = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("__at", F.monotonically_increasing_id())
-    )
+    split = df.repartitionByRange(*order)
+    if distinct:
+        split = split.dropDuplicates(distinct)
+    split = split.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     table = cut(split, name)
     shift = F.shiftright("__at", 33)
     counts = table.groupBy(shift.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -90,7 +119,7 @@ def ranked(df: DataFrame, order: list[Column], rank: str, name: str) -> DataFram
     for part, n in sorted((r["part"], r["n"]) for r in counts):
         starts.append((part, total))
         total += n
-    first = spark.createDataFrame(starts or [(-1, 0)], "__part long, __first long")
+    first = small(spark, starts or [(-1, 0)], "__part long, __first long")
     return (
         table.join(F.broadcast(first), shift == F.col("__part"))
         .withColumn(rank, F.col("__first") + F.col("__at").bitwiseAND((1 << 33) - 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,14 @@ _BYTE = (_odd(11, 256), _odd(12, 256))
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps a Python worker for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n - 1) modulo 2**64."""
     out = np.full(n, np.uint64(base))
