@@ -96,4 +96,11 @@ BULLET_SPLIT = r"(?U)\s+(?=[•·–—*▪◦‣]\s|\(\d+\)\s|\d+[.)]\s|-\s)"
 BLANK_LINE = r"(?U)\n\s*\n"
 SENTENCE_END = r"(?U)(?<=[.!?])\s+"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+EMPTY_BODY = '<p class="muted">No extractable text on these pages — see the page images below.</p>'
+HEADER_WARNING = (
+    " * Heuristic extraction: VERIFY every address, width and bit position against",
+    " * the datasheet before using in production. */",
+)
+SVD_WARNING = "Heuristic — verify against the datasheet."
+SVD_DEVICE = '<device schemaVersion="1.3" xmlns:xs="http://www.w3.org/2001/XMLSchema-instance" xs:noNamespaceSchemaLocation="CMSIS-SVD.xsd">'
 # ------------------------------------------------------------------------------------------------

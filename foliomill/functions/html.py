@@ -84,14 +84,11 @@ def render_blocks(blocks: Column, numbers: Column, pages: Column, root: str = ""
     return F.array_join(F.filter(F.transform(blocks, one), lambda x: x != ""), "\n")
 
 
-EMPTY_BODY = '<p class="muted">No extractable text on these pages — see the page images below.</p>'
-
-
 def render_body(text: Column, numbers: Column, pages: Column, root: str = "") -> Column:
     """Paragraphs of raw section text."""
     parts = F.filter(F.transform(F.split(text, K.BLANK_LINE), strip), lambda x: x != "")
     made = F.transform(parts, lambda p: F.concat(F.lit("<p>"), F.replace(linkify(p, numbers, pages, root), F.lit("\n"), F.lit("<br>")), F.lit("</p>")))
-    return F.when(strip(text) == "", EMPTY_BODY).otherwise(F.array_join(made, "\n"))
+    return F.when(strip(text) == "", K.EMPTY_BODY).otherwise(F.array_join(made, "\n"))
 
 
 def badge(backend: Column, model: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .. import constants as K
 from .text import escape, strip
 
 
@@ -102,8 +103,7 @@ def c_header(groups: Column, device: Column, source: Column) -> Column:
     guard = F.concat(ident(device), F.lit("_H"))
     head = F.array(
         F.concat(F.lit("/* "), device, F.lit(" register definitions, generated from "), source, F.lit(".")),
-        F.lit(" * Heuristic extraction: VERIFY every address, width and bit position against"),
-        F.lit(" * the datasheet before using in production. */"),
+        *map(F.lit, K.HEADER_WARNING),
         F.concat(F.lit("#ifndef "), guard), F.concat(F.lit("#define "), guard),
         F.lit(""), F.lit("#include <stdint.h>"), F.lit(""),
     )
@@ -186,7 +186,7 @@ def svd_document(groups: Column, device: Column, source: Column) -> Column:
     name = escape(ident(device, upper=False))
     return F.when(F.size(made) > 0, F.concat(
         F.lit('<?xml version="1.0" encoding="utf-8"?>\n<!-- Generated from '), escape(source),
-        F.lit('. Heuristic — verify against the datasheet. -->\n<device schemaVersion="1.3" xmlns:xs="http://www.w3.org/2001/XMLSchema-instance" xs:noNamespaceSchemaLocation="CMSIS-SVD.xsd">\n  <name>'),
+        F.lit(f". {K.SVD_WARNING} -->\n{K.SVD_DEVICE}\n  <name>"),
         name, F.lit("</name>\n  <version>1.0</version>\n  <description>"), name,
         F.lit(" (generated)</description>\n  <addressUnitBits>8</addressUnitBits>\n  <width>32</width>\n  <size>32</size>\n  <peripherals>\n"),
         F.array_join(made, "\n"), F.lit("\n  </peripherals>\n</device>\n"),

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 from .. import constants as K
 from ..functions.text import code_examples, registers, strip, summary
@@ -66,45 +66,53 @@ def first_json_object(raw: pd.Series) -> pd.Series:
     return raw.map(find)
 
 
-@F.pandas_udf(BooleanType())
-def is_json(text: pd.Series) -> pd.Series:
-    def parses(s):
+@F.pandas_udf(StringType())
+def first_valid_object(raw: pd.Series) -> pd.Series:
+    """The first balanced object in a text, if it is valid JSON."""
+
+    def valid(blob: str | None) -> str | None:
         try:
-            return s is not None and isinstance(json.loads(s), dict)
+            return blob if blob is not None and isinstance(json.loads(blob), dict) else None
         except ValueError:
-            return False
+            return None
 
-    return text.map(parses)
+    return first_json_object.func(raw).map(valid)
 
 
-ANSWER = (
-    "summary string, keywords string, registers array<struct<name:string,description:string,address:string,"
-    "fields:array<struct<bits:string,name:string,access:string,description:string>>>>, code_examples array<struct<title:string,language:string,code:string>>"
-)
+#: Values that may be anything come as their JSON text; what is in a list is looked at one by one.
+ANSWER = "summary string, keywords string, registers string, code_examples string"
+REGISTER = "name string, description string, address string, fields string"
+FIELD = "bits string, name string, access string, description string"
+EXAMPLE = "title string, language string, code string"
+
+
+def _objects(text: Column, schema: str) -> Column:
+    """The objects of a JSON list, whatever else it holds; empty where there is no list."""
+    items = F.coalesce(F.from_json(text, "array<variant>"), F.array().cast("array<variant>"))
+    objects = F.filter(items, lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
+    return F.transform(objects, lambda v: F.from_json(F.to_json(v), schema))
 
 
 def merge_answer(raw: Column, base: Column, backend: Column) -> Column:
     """An answer of a language model laid over the baseline; what is missing or malformed keeps the
     baseline, whole if there is no valid object (its provenance too)."""
-    blob = first_json_object(raw)
+    blob = first_valid_object(raw)
     data = F.from_json(blob, ANSWER)
     text = lambda c: strip(F.coalesce(c, F.lit("")))
     given = data["keywords"]
     as_list = F.from_json(given, "array<string>")
     split = F.filter(F.transform(F.split(given, ","), strip), lambda x: x != "")
     words = F.when(F.coalesce(given, F.lit("")).isin("", "[]"), base["keywords"]).when(given.startswith("["), as_list).otherwise(split)
-    none = F.array().cast("array<struct<bits:string,name:string,access:string,description:string>>")
     field = lambda f: F.struct(*[text(f[n]).alias(n) for n in ("bits", "name", "access", "description")])
     regs = F.transform(
-        F.filter(data["registers"], lambda r: r.isNotNull() & (F.coalesce(r["name"], F.lit("")) != "")),
+        F.filter(_objects(data["registers"], REGISTER), lambda r: F.coalesce(r["name"], F.lit("")) != ""),
         lambda r: F.struct(
-            *[text(r[n]).alias(n) for n in ("name", "description", "address")],
-            F.transform(F.coalesce(F.filter(r["fields"], lambda f: f.isNotNull()), none), field).alias("fields"),
+            *[text(r[n]).alias(n) for n in ("name", "description", "address")], F.transform(_objects(r["fields"], FIELD), field).alias("fields")
         ),
     )
     either = lambda c, default: F.coalesce(F.nullif(text(c), F.lit("")), F.lit(default))
     code = F.transform(
-        F.filter(data["code_examples"], lambda c: c.isNotNull() & (text(c["code"]) != "")),
+        F.filter(_objects(data["code_examples"], EXAMPLE), lambda c: text(c["code"]) != ""),
         lambda c: F.struct(
             either(F.coalesce(c["title"], F.lit("Example")), "Example").alias("title"), either(F.coalesce(c["language"], F.lit("c")), "c").alias("language"),
             F.regexp_replace(c["code"], r"(?U)\s+\z", "").alias("code"),
@@ -113,11 +121,11 @@ def merge_answer(raw: Column, base: Column, backend: Column) -> Column:
     merged = F.struct(
         F.coalesce(F.nullif(text(data["summary"]), F.lit("")), base["summary"]).alias("summary"),
         F.slice(words, 1, 16).alias("keywords"),
-        F.when(F.size(F.coalesce(regs, F.array())) > 0, regs).otherwise(base["registers"]).alias("registers"),
-        F.when(F.size(F.coalesce(code, F.array())) > 0, code).otherwise(base["code_examples"]).alias("code_examples"),
+        F.when(F.size(regs) > 0, regs).otherwise(base["registers"]).alias("registers"),
+        F.when(F.size(code) > 0, code).otherwise(base["code_examples"]).alias("code_examples"),
         backend.alias("backend"),
     )
-    return F.when(is_json(blob), merged).otherwise(base)
+    return F.when(blob.isNotNull(), merged).otherwise(base)
 
 
 #: Language model backends by name: a factory ``model -> (title, text) -> answer``.  A client is made

@@ -126,6 +126,17 @@ def pixel_range(samples):
     return samples.map(lambda b: 0 if not b else max(b[:: max(1, len(b) // 4096)]) - min(b[:: max(1, len(b) // 4096)]))
 
 
+def figure_blocks(images: DataFrame, crops: DataFrame | None = None) -> DataFrame:
+    """Blocks of kind ``figure``, from embedded images (``large_images``; the text over them with
+    them) and crops of gaps (``sources.pdf.crop_gaps``), to be laid among those of ``page_blocks``."""
+    block = lambda at, text: (
+        *PAGE, F.struct(F.col("top").cast("double").alias("top"), at.cast("int").alias("block_no")).alias("at"), F.lit("figure").alias("kind"), text.alias("text"),
+        F.lit(0).alias("level"), F.array().cast("array<string>").alias("items"), F.lit("").alias("summary"), "image_rel",
+    )
+    out = images.select(*block(F.col("number"), F.coalesce("text", F.lit(""))))
+    return out if crops is None else out.unionByName(crops.select(*block(F.lit(0), F.lit(""))))
+
+
 def table_note_images(blocks: DataFrame, images: DataFrame) -> DataFrame:
     """Blocks with the page image that a table note points to."""
     shown = images.select(*PAGE, F.concat(F.lit("images/"), "image").alias("__rel"))

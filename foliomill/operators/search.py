@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import snippet, tokens
 
 WEIGHTS = (("title", 3), ("summary", 2), ("text", 1))
 
 
-def postings(docs: DataFrame, key: str = "doc", weights: tuple[tuple[str, int], ...] = WEIGHTS) -> DataFrame:
-    """``term, doc, tf``: weighted term frequencies.  One pass over the rows: the fields' tokens are
-    concatenated with their weights before they are exploded."""
+def postings(docs: DataFrame, key: str = "doc", weights: tuple[tuple[str, int], ...] = WEIGHTS, prefixes: list[str] | None = None) -> DataFrame:
+    """``term, doc, tf``: weighted term frequencies, of terms with one of ``prefixes`` if given.  One
+    pass over the rows: the fields' tokens are sifted and concatenated with their weights before they
+    are exploded."""
     def with_weight(column: str, weight: int) -> Column:
         found = tokens(F.coalesce(F.col(column), F.lit("")))
+        if prefixes is not None:
+            found = F.filter(found, lambda t: reduce(or_, [t.startswith(p) for p in sorted(set(prefixes))], F.lit(False)))
         return F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
     weighed = F.concat(*[with_weight(c, w) for c, w in weights])
@@ -53,3 +58,9 @@ def search(index: DataFrame, n_docs: int | Column, query: str, top: int = 40) ->
     idf = F.log(1 + total / F.col("df"))
     scored = rows.join(df, "term").groupBy("doc").agg(F.sum(F.col("tf") * weight * idf).alias("raw"))
     return scored.select("doc", F.round("raw", 6).alias("score")).orderBy(F.desc("score"), "doc").limit(top)
+
+
+def search_index(spark: SparkSession, path: str, query: str, top: int = 40) -> DataFrame:
+    """``search`` over an index that ``sinks.write_index`` has written, sorted by term: only row groups
+    that may hold a query's prefixes are read."""
+    return search(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs").count(), query, top)

@@ -6,6 +6,7 @@ document, whose outline has thousands of entries at most; documents are independ
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import slug, strip
@@ -48,28 +49,45 @@ def fallback_sections(page_counts: DataFrame, group: int = 4) -> DataFrame:
     return out.select("doc", "ord", "id", "title", F.lit(1).alias("level"), "start_page", "end_page", F.lit(None).cast("string").alias("parent_id"), F.lit("").alias("number"))
 
 
+def _tree(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one document's entries the parent and the page of the next entry that starts no earlier."""
+    frame = frame.sort_values("ord", ignore_index=True)
+    pages, levels, ids = (frame[c].tolist() for c in ("page", "level", "id"))
+    parents, following, open_, ahead = [], [None] * len(pages), [], []
+    for level, name in zip(levels, ids):
+        while open_ and open_[-1][0] >= level:
+            open_.pop()
+        parents.append(open_[-1][1] if open_ else None)
+        open_.append((level, name))
+    for k in range(len(pages) - 1, -1, -1):  # pages ahead, each before a larger one
+        while ahead and ahead[-1] < pages[k]:
+            ahead.pop()
+        following[k] = ahead[-1] if ahead else None
+        ahead.append(pages[k])
+    return frame.assign(parent_id=parents, next_page=pd.array(following, "Int32"))
+
+
 def build_sections(outline: DataFrame, page_counts: DataFrame, max_pages: int = 0) -> DataFrame:
     """``doc, ord, id, title, level, start_page, end_page, parent_id, number``.
 
     A section ends before the next entry that starts on a later page, whatever its level, and on its
     own page if the next entry starts there too.  Its parent is the nearest earlier entry of a lower
-    level.  Documents without entries in range get page groups instead.
+    level.  Both are found in one fold with a stack, linear in a document's outline.  Documents
+    without entries in range get page groups instead.
     """
     counts = page_counts.select("doc", F.least("n_pages", F.lit(max_pages)).alias("n_pages") if max_pages else F.col("n_pages"))
-    items = outline.join(counts, "doc").filter(F.col("page") < F.col("n_pages"))
-    by_doc = Window.partitionBy("doc").orderBy("ord")
-    earlier = by_doc.rowsBetween(Window.unboundedPreceding, -1)
-    later = by_doc.rowsBetween(1, Window.unboundedFollowing)
-    items = unique_ids(items.withColumn("slug", slug("title")))
-    items = items.withColumn("__next", F.collect_list("page").over(later)).withColumn("__before", F.collect_list(F.struct("ord", "level", "id")).over(earlier))
-    nxt = F.try_element_at(F.filter("__next", lambda p: p >= F.col("page")), F.lit(1))
+    items = outline.select("doc", "ord", "level", "title", "page").join(counts, "doc").filter(F.col("page") < F.col("n_pages"))
+    items = unique_ids(items.withColumn("slug", slug("title"))).drop("slug")
+    schema = ", ".join(f"{n} {t}" for n, t in items.dtypes)
+    items = items.groupBy("doc").applyInPandas(_tree, f"{schema}, parent_id string, next_page int")
+    nxt = F.col("next_page")
     end = F.when(nxt.isNull(), F.col("n_pages") - 1).when(nxt == F.col("page"), nxt).otherwise(nxt - 1)
-    parent = F.array_max(F.filter("__before", lambda b: b["level"] < F.col("level")))["id"]
     built = items.select(
         "doc", "ord", "id", "title", "level", F.col("page").alias("start_page"), F.greatest(end, F.col("page")).alias("end_page"),
-        parent.alias("parent_id"), parse_number(F.col("title")).alias("number"),
+        "parent_id", parse_number(F.col("title")).alias("number"),
     )
-    return built.unionByName(fallback_sections(counts.join(items.select("doc").distinct(), "doc", "left_anti")))
+    covered = outline.select("doc", "page").join(counts, "doc").filter(F.col("page") < F.col("n_pages")).select("doc").distinct()
+    return built.unionByName(fallback_sections(counts.join(covered, "doc", "left_anti")))
 
 
 def section_pages(sections: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -98,17 +116,31 @@ def children(sections: DataFrame) -> DataFrame:
     return found.select("doc", "id", F.transform("c", lambda x: x["child"]).alias("children"))
 
 
+def _crumbs(frame: pd.DataFrame) -> pd.DataFrame:
+    paths: dict[str, tuple[str, int]] = {}
+    out = []
+    for name, parent, title in frame.sort_values("ord")[["id", "parent_id", "title"]].itertuples(index=False):
+        path, depth = paths.get(parent, ("", 0))
+        paths[name] = (f"{path} › {title}" if depth else title, depth + 1)
+        out.append((name, *paths[name]))
+    return pd.DataFrame(out, columns=["id", "breadcrumb", "depth"]).assign(doc=frame["doc"].iloc[0])[["doc", "id", "breadcrumb", "depth"]]
+
+
 def breadcrumbs(sections: DataFrame) -> DataFrame:
-    """``doc, id, breadcrumb, depth``: titles from the root down, by a recursive query."""
-    name = "foliomill_sections_for_breadcrumbs"
-    sections.select("doc", "id", "parent_id", "title").createOrReplaceTempView(name)
-    return sections.sparkSession.sql(f"""
-        with recursive up(doc, id, breadcrumb, depth) as (
-            select doc, id, title, 1 from {name} where parent_id is null
-            union all
-            select s.doc, s.id, concat(up.breadcrumb, ' › ', s.title), up.depth + 1
-            from up join {name} s on s.doc = up.doc and s.parent_id = up.id)
-        select doc, id, breadcrumb, depth from up""")
+    """``doc, id, breadcrumb, depth``: titles from the root down, by one pass over each document's
+    sections in order, in which parents come before their children."""
+    kind = dict(sections.dtypes)["doc"]
+    return sections.select("doc", "ord", "id", "parent_id", "title").groupBy("doc").applyInPandas(_crumbs, f"doc {kind}, id string, breadcrumb string, depth int")
+
+
+def info(title: str, n_pages: int, outline: DataFrame, limit: int = 60) -> list[str]:
+    """What a document holds, line by line: title, pages, and the first ``limit`` outline entries
+    (``outline_rows`` of one document)."""
+    n = outline.count()
+    rows = outline.orderBy("ord").limit(limit).collect()
+    out = [f"Title:    {title}", f"Pages:    {n_pages}", f"Outline:  {n} entries"]
+    out += [f"  {'  ' * (r['level'] - 1)}{r['title']}  (p.{r['page'] + 1})" for r in rows]
+    return out + [f"  … {n - limit} more (use --limit)"] * (n > limit)
 
 
 def neighbours(sections: DataFrame) -> DataFrame:

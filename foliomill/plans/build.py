@@ -96,11 +96,12 @@ def rendered_sections(sections: DataFrame, blocks: DataFrame | None = None) -> D
 
 def build(
     outline: DataFrame, pages: DataFrame, spans: DataFrame | None = None, images: DataFrame | None = None, settings: Settings = Settings(),
-    svd: DataFrame | None = None, embedder: Callable | None = None,
+    svd: DataFrame | None = None, embedder: Callable | None = None, figures: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All tables of a build by name; nothing runs before they are written or read, but that ``svd``
     (register groups, see ``sources.svd``) is looked at for rows.  ``semantic`` settings add
-    ``chunks``, and with an ``embedder`` (the factory of ``vectors.embed``) their ``vectors``."""
+    ``chunks``, and with an ``embedder`` (the factory of ``vectors.embed``) their ``vectors``.
+    ``figures`` (``layout.figure_blocks``) lie among the blocks of pages that are no tables."""
     if settings.max_pages:
         pages = pages.filter(F.col("page") < settings.max_pages)
     counts = pages.groupBy("doc").agg((F.max("page") + 1).cast("int").alias("n_pages"))
@@ -125,6 +126,9 @@ def build(
         blocks = page_blocks(spans, pages)
         none = pages.select("doc", "page", F.lit(None).cast("string").alias("image")).limit(0)
         blocks = table_note_images(blocks, images if images is not None else none)
+        if figures is not None:
+            tables = blocks.filter("kind = 'table_note'").select("doc", "page").distinct()
+            blocks = blocks.unionByName(figures.join(tables, ["doc", "page"], "left_anti"))
         out["blocks"] = blocks
     out["sections_html"] = rendered_sections(sections, blocks)
     return out

@@ -92,7 +92,7 @@ sc as (select doc_id as doc, sum(tf * case when p.term = q then 1 else 0.5 end *
 select doc, round(s, 6) as score from sc order by score desc, doc limit 40""")
 def tfidf_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    index = S.postings(docs, "doc_id", (("text", 1),))
+    index = S.postings(docs, "doc_id", (("text", 1),), S.query_terms(SEARCH_TERMS))
     return S.search(index, docs.count(), SEARCH_TERMS)
 
 
@@ -477,7 +477,19 @@ def svd_registers(spark, sf_dir):
     return lifted_registers(spark, sf_dir).select("p_partkey", R.svd_register_xml(F.col("r")).alias("xml")).filter("xml is not null")
 
 
-@query()
+_HEADERS, _ELEMENTS = SQL["c_header_lines"], SQL["svd_registers"]
+
+
+@query(f"""
+with h as (select p_brand as id, string_agg(header, chr(10) order by p_partkey) as t from ({_HEADERS}) join part using (p_partkey) group by 1),
+e as (select p_brand as id, string_agg(xml, chr(10) order by p_partkey) as t from ({_ELEMENTS}) join part using (p_partkey) group by 1)
+select '/* PART-1 register definitions, generated from part table.' || chr(10) || '{chr(10).join(K.HEADER_WARNING)}' || chr(10) || '#ifndef PART_1_H' || chr(10) || '#define PART_1_H' || chr(10) || chr(10) ||
+  '#include <stdint.h>' || chr(10) || chr(10) || (select string_agg('/* ===== ' || id || ' ===== */' || chr(10) || t, chr(10) order by id) from h) || chr(10) || '#endif /* PART_1_H */' || chr(10) as c_header,
+  '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<!-- Generated from part table. {K.SVD_WARNING} -->' || chr(10) || '{K.SVD_DEVICE}' || chr(10) || '  <name>PART_1</name>' || chr(10) ||
+  '  <version>1.0</version>' || chr(10) || '  <description>PART_1 (generated)</description>' || chr(10) || '  <addressUnitBits>8</addressUnitBits>' || chr(10) || '  <width>32</width>' || chr(10) ||
+  '  <size>32</size>' || chr(10) || '  <peripherals>' || chr(10) ||
+  (select string_agg('    <peripheral>' || chr(10) || '      <name>' || regexp_replace(id, '[^A-Za-z0-9_]+', '_', 'g') || '</name>' || chr(10) || '      <baseAddress>0x0</baseAddress>' || chr(10) ||
+     '      <registers>' || chr(10) || t || chr(10) || '      </registers>' || chr(10) || '    </peripheral>', chr(10) order by id) from e) || chr(10) || '  </peripherals>' || chr(10) || '</device>' || chr(10) as svd""")
 def register_exports(spark, sf_dir):
     groups = lifted_registers(spark, sf_dir).groupBy(F.col("p_brand").alias("id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "r"))).alias("rs"))
     groups = groups.select("id", F.col("id").alias("title"), F.transform("rs", lambda x: x["r"]).alias("registers"))
@@ -584,7 +596,10 @@ def folded_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", H.codefold(F.col("text"), F.lit(""), "fig").alias("html"))
 
 
-@query()
+@query("with " + PAGES_SQL + rf""",
+t as (select s.doc, s.ord, s.id, regexp_replace(string_agg(text, chr(10) order by pg.page), '^\s+|\s+$', '', 'g') as t from sec s join pg on pg.doc = s.doc and pg.page between s.start_page and s.end_page group by 1, 2, 3),
+p as (select doc, ord, id, t, list_filter(list_transform(string_split_regex(t, '\n\s*\n'), lambda x : regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x : x <> '') as ps from t)
+select doc, id, case when t = '' then '{K.EMPTY_BODY}' else array_to_string(list_transform(ps, lambda x : '<p>' || replace(replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), chr(10), '<br>') || '</p>'), chr(10)) end as html from p""")
 def rendered_sections(spark, sf_dir):
     sections, pages = lifted_sections(spark, sf_dir)
     return B.rendered_sections(T.attach_text(sections, pages))
@@ -615,7 +630,20 @@ def cosine_top_k(spark, sf_dir):
     return vectors.cosine_top_k(vectors_, list(q))
 
 
-@query()
+@query(r"""
+with recursive t as (select doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as t from documents),
+l as (select doc_id, generate_subscripts(ls, 1) as i, unnest(ls) as line from (select doc_id, string_split(t, chr(10)) as ls from t where t <> '')),
+r(doc_id, i, cur, done) as (
+  select doc_id, 0::bigint, '', null::varchar from t where t <> ''
+  union all
+  select r.doc_id, l.i, case when length(cur) + length(line) > 1200 and cur <> '' then '' else cur end || line || chr(10),
+         case when length(cur) + length(line) > 1200 and cur <> '' then cur end
+  from r join l on l.doc_id = r.doc_id and l.i = r.i + 1),
+c as (select doc_id, i, done as chunk from r where done is not null
+      union all select doc_id, i + 1, cur from r where i = (select max(i) from l where l.doc_id = r.doc_id)),
+s as (select doc_id, i, regexp_replace(chunk, '^\s+|\s+$', '', 'g') as chunk, row_number() over (partition by doc_id order by i desc) as back from c),
+k as (select doc_id, i, chunk from s where back > 1 or chunk <> '')
+select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as pos, chunk, replace(substr(chunk, 1, 160), chr(10), ' ') as snippet from k""")
 def section_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return vectors.section_chunks(docs, "doc_id")
@@ -626,3 +654,6 @@ def section_chunks(spark, sf_dir):
 def human_sizes(spark, sf_dir):
     n = F.expr("l_partkey * l_suppkey * l_linenumber * (1 + l_orderkey % 900)")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.human_size(n).alias("size"))
+
+
+from . import build_queries  # noqa: E402,F401  adds its own

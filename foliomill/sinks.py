@@ -2,7 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import atexit
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .operators.incremental import missing_files
+from .sources.pdf import render_pages
+
+
+_temporary: list[str] = []
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A folder for this session's use below ``spark.checkpoint.dir`` (or else the warehouse), deleted at the end."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    _temporary.append(f"{base.rstrip('/')}/foliomill-library-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    return _temporary[-1]
+
+
+@atexit.register
+def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in _temporary if spark is not None else ():
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM may be gone; the folder carries the application's id
+            return
 
 
 def write_table(df: DataFrame, path: str, sort: str | None = None) -> None:
@@ -24,3 +52,30 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 def write_pages(sections_html: DataFrame, path: str) -> None:
     """Rendered sections, replacing the earlier ones, stale ones too."""
     write_table(sections_html, path)
+
+
+def write_vectors(vectors: DataFrame, docs: DataFrame, path: str, model: str, key: str = "section_id") -> int:
+    """An embedding index: ``chunks`` (``key``, place, snippet, vector), ``docs`` and ``about`` (model,
+    dimension, number of chunks).  Without chunks nothing is written; returns their number."""
+    n, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    if n:
+        write_table(vectors.select(key, "pos", "snippet", "vec"), f"{path}/chunks")
+        write_table(docs, f"{path}/docs")
+        write_table(docs.sparkSession.range(1).select(F.lit(model).alias("model"), F.lit(dim).alias("dim"), F.lit(n).alias("chunks")), f"{path}/about")
+    return n
+
+
+def write_page_images(wanted: DataFrame, path: str, dpi: int = 120, resume: bool = True) -> None:
+    """Renders what ``wanted`` (``sources.pdf.wanted_images``) names into a table of images at
+    ``path``.  With ``resume`` pages whose image is there and not empty are left as they are."""
+    spark = wanted.sparkSession
+    if resume:
+        try:
+            there = spark.read.parquet(path).select(F.concat_ws("#", "doc", "image").alias("path"), F.length("bytes").alias("length"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            named = wanted.withColumn("path", F.concat_ws("#", "doc", "image"))
+            wanted = missing_files(named, there).drop("path")
+    render_pages(wanted, dpi).write.mode("append" if resume else "overwrite").parquet(path)

@@ -3,20 +3,29 @@
     spark.dataSource.register(PdfSource)
     spark.read.format("folio_pdf").option("table", "pages").load("/docs/*.pdf")
 
-Tables: ``pages`` (doc, page, width, height, text), ``outline`` (doc, ord, level, title, page),
-``links`` (doc, src_page, dest_page, left, top, right, bottom, text) and ``spans`` (see
-``operators.layout``).  A page that cannot be laid out gives no spans.  One partition per file;
+Tables: ``docs`` (doc, title, n_pages; the title is the file's own or else its stem), ``pages`` (doc,
+page, width, height, text), ``outline`` (doc, ord, level, title, page), ``links`` (doc, src_page,
+dest_page, left, top, right, bottom, text), ``spans`` (see ``operators.layout``) and ``figures``
+(embedded images: doc, page, number, ext, width, height, top, bottom, image, text that lies over
+them).  A page that cannot be laid out gives no spans or figures.  One partition per file;
 ``max_pages`` stops the scan early.
+
+Page images and crops are rendered from rows that name them, so that only what is missing is made.
 """
 
 from __future__ import annotations
 
 import glob
 from collections.abc import Iterator
+from pathlib import PurePath
 
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TABLES = {
+    "docs": "doc string, title string, n_pages int",
+    "figures": "doc string, page int, number int, ext string, width int, height int, top double, bottom double, image binary, text string",
     "pages": "doc string, page int, width double, height double, text string",
     "outline": "doc string, ord int, level int, title string, page int",
     "links": "doc string, src_page int, dest_page int, left double, top double, right double, bottom double, text string",
@@ -51,7 +60,9 @@ class PdfReader(DataSourceReader):
             if self.table == "outline":
                 for k, (level, title, page) in enumerate(pdf.get_toc(simple=True)):
                     yield partition.path, k, level, title, page
-            for n in pages if self.table != "outline" else ():
+            if self.table == "docs":
+                yield partition.path, ((pdf.metadata or {}).get("title") or "").strip() or PurePath(partition.path).stem, len(pdf)
+            for n in pages if self.table not in ("outline", "docs") else ():
                 yield from getattr(self, self.table)(partition.path, n, pdf[n])
 
     def pages(self, doc: str, n: int, page) -> Iterator[tuple]:
@@ -75,6 +86,20 @@ class PdfReader(DataSourceReader):
                     yield doc, n, b, i, s, block["type"], span["text"], float(span["size"]), span["flags"], span["font"], top, bottom, left
 
 
+    def figures(self, doc: str, n: int, page) -> Iterator[tuple]:
+        import fitz
+
+        try:
+            blocks = page.get_text("dict")["blocks"]
+        except Exception:
+            return
+        for block in blocks:
+            if block["type"] == 1:
+                box = block["bbox"]
+                over = page.get_textbox(fitz.Rect(box)).strip()
+                yield doc, n, block.get("number", 0), block.get("ext", "png"), block.get("width", 0), block.get("height", 0), box[1], box[3], block.get("image"), over
+
+
 class PdfSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -85,3 +110,46 @@ class PdfSource(DataSource):
 
     def reader(self, schema) -> PdfReader:
         return PdfReader(self.options)
+
+
+def wanted_images(pages: DataFrame, ext: str = "png") -> DataFrame:
+    """``doc, page, image``: the name of every page's image."""
+    return pages.select("doc", "page", F.concat(F.lit("page-"), F.lpad((F.col("page") + 1).cast("string"), 4, "0"), F.lit(f".{ext}")).alias("image"))
+
+
+def _rendered(frames: Iterator[pd.DataFrame], matrix: float, clip) -> Iterator[pd.DataFrame]:
+    import fitz
+
+    for frame in frames:
+        made = []
+        for doc, rows in frame.groupby("doc", sort=False):
+            with fitz.open(doc) as pdf:
+                for at, row in rows.iterrows():
+                    options = {"clip": clip(pdf[row["page"]], row)} if clip else {}
+                    pix = pdf[row["page"]].get_pixmap(matrix=fitz.Matrix(matrix, matrix), alpha=False, **options)
+                    made.append((at, pix.tobytes("png"), bytes(pix.samples) if clip else None))
+        made = pd.DataFrame(made, columns=["at", "bytes", "samples"]).set_index("at")
+        yield frame.assign(bytes=made["bytes"], samples=made["samples"])
+
+
+def render_pages(wanted: DataFrame, dpi: int = 120) -> DataFrame:
+    """``doc, page, image, bytes`` of the pages of ``wanted`` (see ``wanted_images``)."""
+    rows = wanted.select("doc", "page", "image")
+    return rows.mapInPandas(lambda x: (f.drop(columns="samples") for f in _rendered(x, dpi / 72, None)), "doc string, page int, image string, bytes binary")
+
+
+def crop_gaps(gaps: DataFrame, dpi: int = 110, least_range: int = 22) -> DataFrame:
+    """Drawings in vertical gaps (``layout.vertical_gaps``): ``doc, page, image_rel, top, bytes``; gaps
+    whose sampled pixels hardly differ are blank and go."""
+    from ..operators.layout import pixel_range
+
+    def clip(page, row):
+        import fitz
+
+        return fitz.Rect(page.rect.x0 + 36, row["gap_top"] + 2, page.rect.x1 - 36, row["gap_bottom"] - 2)
+
+    rows = gaps.select("doc", "page", F.col("gap_top").cast("double"), F.col("gap_bottom").cast("double"))
+    made = rows.mapInPandas(lambda x: _rendered(x, dpi / 72, clip), "doc string, page int, gap_top double, gap_bottom double, bytes binary, samples binary")
+    name = F.format_string("figures/fig-p%04d-gap%d.png", F.col("page") + 1, F.col("gap_top").cast("long"))
+    kept = made.filter(pixel_range(F.col("samples")) >= least_range)
+    return kept.select("doc", "page", name.alias("image_rel"), ((F.col("gap_top") + F.col("gap_bottom")) / 2).alias("top"), "bytes")
