@@ -1,102 +1,224 @@
-"""Line dedup: repeated runs of lines, found by grouped window names; later copies are deleted.
-
-A suffix is a line position; its line ID is a 128-bit fingerprint of the line.  Doubling names the
-first 2, 4, ... lines of every suffix by the pair of names half as long, and stops at the shortest
-run that counts, ``min_lines``: suffixes that share that name would form one interval of a suffix array
-(none is built) whose longest common prefix is at least ``min_lines``, and every longer repeated run is the union
-of such windows.  Names are grouped across the cluster (one row per name and task is shuffled, so a
-hot line costs no more than a rare one); the earliest window of a name stays and the lines that its
-later windows cover are deleted, judged on the input.  Merged windows are the maximal runs.
-DataFrame functions only.
+"""Line dedup by a suffix array over sequences of line IDs; later copies of repeated runs are deleted.
+
+The text is all documents' lines, in the order of their documents; a line's ID is a 128-bit
+fingerprint, a suffix starts at a line and ends with its document.  The array is built by prefix
+doubling over the cluster.  Ranks of one line are the IDs themselves.  In the round of step ``k`` a
+suffix's new rank is the place of the pair (its rank, the rank ``k`` lines later) among all such
+pairs, found by a range-partitioned sort of the distinct pairs.  Suffixes whose rank has become
+unique take no further part, nor do those whose documents end alike, so a round only moves suffixes
+whose first ``k`` lines recur; rounds end when there are none.  A suffix's *path*, its ranks of 2,
+4, 8, ... lines, compares in the order of the array.
+
+Neighbours in the array share at least as many lines as their paths' common ranks say, and fewer
+than twice as many.  Where a suffix and its neighbour are followed, one line on, by neighbours again,
+the common prefix is one longer than theirs (the permuted common prefixes); only at the end of such a
+chain lines are compared, no more of them than are already known to be equal.  Neighbours with at
+least ``min_lines`` common lines form an interval: its first suffix in document order stays, and the
+first ``min_lines`` lines of every other are deleted.  Because every suffix of a longer repeated run
+lies in such an interval, what goes is the union of the maximal runs that occur earlier, judged on
+the input.
+
+Pairs are counted before they are shuffled, and what joins with them is written first, so that a hot
+line costs no more than a rare one.  DataFrame functions only.
 
 With ``long_words`` a single line of at least so many words is a run of its own, so that a long
 passage between lines of other documents, or a one-line document, goes too while short common
 lines stay.  The pipeline uses ``LONG_WORDS``; ``op8_line_dedup`` counts runs of ``MIN_LINES`` only,
 as its SQL does.
 
-Edge cases: a null text stays null, with no lines; an empty text is one empty line; windows of
-nothing but blank lines do not count; rows that share id and text are one document and share the
-outcome, rows that share only the id are ordered by text fingerprint; an empty table gives an empty
-result; other columns are carried along, and columns named ``n_lines`` or ``n_removed`` replaced.
+Edge cases: a null text stays null, with no lines; an empty text is one empty line; runs whose first
+``min_lines`` lines are all blank do not count from there; rows that share id and text are one
+document and share the outcome, rows that share only the id are ordered by text fingerprint, rows
+without id come first; an empty table gives an empty result; other columns are carried along, and
+columns named like the two added ones are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .scratch import cut
+from .scratch import cut, only, ranked
 
 MIN_LINES = 2
 #: Words from which a line counts as a run by itself.
 LONG_WORDS = 50
+#: Neighbours whose interval is found in one task: two to the power of this.
+CHUNK = 16
 
+_NO_LINE = "cast(array() as array<bigint>)"
 
-def _name(*parts: Column) -> Column:
+
+def _name(x: Column) -> Column:
     """128 bits in two words."""
-    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(0x5BD1E995), *parts).alias("b"))
-
-
-def _doubled(names: Column, step: int, size: Column) -> Column:
-    """Names of windows that join the window at each place with that ``step`` lines later."""
-    ahead = F.slice(names, F.lit(step + 1), F.greatest(size - step, F.lit(0)))
-    near = F.slice(names, F.lit(1), F.greatest(size - step, F.lit(0)))
-    return F.zip_with(near, ahead, lambda x, y: _name(x["a"], x["b"], y["a"], y["b"]))
-
-
-def suffix_windows(rows: DataFrame, min_lines: int, long_words: int | None = None) -> DataFrame:
-    """``id, print, pos, span, name`` for every window of ``min_lines`` lines that is not all blank,
-    and for every line of ``long_words`` words or more."""
-    lines = rows.select("id", "print", "lines", F.transform("lines", lambda x: _name(x)).alias("names"))
-    length = 1
-    while length < min_lines:
-        step = min(length, min_lines - length)
-        lines = lines.withColumn("names", _doubled(F.col("names"), step, F.size("names")))
-        length += step
-    windows = lines.select("id", "print", "lines", F.posexplode("names").alias("pos", "name"))
-    filled = F.exists(F.slice("lines", F.col("pos") + 1, F.lit(min_lines)), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    windows = windows.filter(filled).select("id", "print", "pos", F.lit(min_lines).alias("span"), "name")
-    if long_words is None:
-        return windows
-    single = rows.select("id", "print", F.posexplode("lines").alias("pos", "line"))
-    single = single.filter(F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")) >= long_words)
-    return windows.union(single.select("id", "print", "pos", F.lit(1).alias("span"), _name(F.col("line")).alias("name")))
-
-
-def later_copies(rows: DataFrame, min_lines: int, long_words: int | None = None) -> DataFrame:
-    """``id, print, starts``: where windows start that also start earlier, and their lines."""
-    windows = suffix_windows(rows, min_lines, long_words)
-    here = F.struct("id", "print", "pos")
-    groups = windows.groupBy("name").agg(F.min(here).alias("first"), F.max(here).alias("last"))
-    groups = groups.filter(F.col("first") < F.col("last")).select("name", "first")
-    groups = cut(groups, "repeated-windows")  # a table of its own, so that the join's hot keys can be split
-    later = windows.join(groups, "name").filter(here > F.col("first"))
-    return later.groupBy("id", "print").agg(F.collect_set(F.struct("pos", "span")).alias("starts"))
+    return F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(0x5BD1E995), x).alias("b"))
+
+
+def line_names(docs: DataFrame, min_lines: int, long_words: int | None, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: ``d`` (its place), ``id, print, n``, and by line ``names``, ``filled``
+    (one of ``min_lines`` lines from here is not blank) and ``long``."""
+    text = F.col(text_col)
+    rows = docs.filter(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), F.split(text, "\n").alias("lines"))
+    words = lambda x: F.length(x) >= 2 * long_words - 1 if long_words else F.lit(False)
+    long = lambda x: F.when(words(x), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= (long_words or 0)).otherwise(False)
+    rows = rows.select(
+        "id", "print", F.transform("lines", _name).alias("names"),
+        F.transform("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("filled"), F.transform("lines", long).alias("long"),
+    )
+    rows = ranked(cut(rows, "line-names"), [F.col("id"), F.col("print")], "d", "line-documents", distinct=["id", "print"])
+    some = F.transform("filled", lambda x, i: F.exists(F.slice("filled", i + 1, F.lit(min_lines)), lambda y: y))
+    return rows.select("d", "id", "print", F.size("names").alias("n"), "names", some.alias("filled"), "long")
+
+
+def _doubled(rows: DataFrame, by: list[str], path: Column, name: str) -> DataFrame:
+    """A round: ``rows`` with the place of (``by``, ``s``) appended to the path, whether it is
+    shared (``kept``), and whether it has to be refined (``live``)."""
+    pairs = rows.groupBy(*by, "s").agg((F.count(F.lit(1)) > 1).alias("kept"))
+    pairs = ranked(pairs, [F.col(c) for c in (*by, "s")], "place", "rank-pairs")
+    joined = rows.drop("kept").join(pairs, [*by, "s"])
+    return cut(
+        joined.select("d", "n", "pos", "filled", F.concat(path, F.array("place")).alias("path"), "kept", (F.col("kept") & (F.size("s") > 0)).alias("live")), name
+    )
+
+
+def suffixes(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``places`` (``d, n, pos, a, b, na, nb, filled`` where a repeated line stands, and the next
+    line's ID) the suffixes whose first two lines recur, and those whose don't: ``d, n, pos, filled,
+    path``."""
+    no_line = F.expr(_NO_LINE)
+    rows = places.withColumn("s", F.when(F.col("na").isNull(), no_line).otherwise(F.array("na", "nb"))).drop("na", "nb")
+    now, done, k = _doubled(rows, ["a", "b"], no_line, "ranks"), [], 2
+    alone = now.filter("not kept")
+    while not (live := now.filter("live")).isEmpty():
+        done.append(now.filter("not live"))
+        every = reduce(DataFrame.union, [*done, live])
+        ahead = every.select(F.col("d").alias("of"), (F.col("pos") - k).alias("before"), F.col("path").alias("after"))
+        later = F.when(F.col("pos") + k >= F.col("n"), no_line)
+        # A line that occurs once has no path: its suffix is unlike any other.
+        later = later.otherwise(F.coalesce("after", F.array(-1 - F.col("d"), F.col("pos").cast("long"))))
+        rows = live.join(ahead, (F.col("d") == F.col("of")) & (F.col("pos") == F.col("before")), "left")
+        rows = cut(rows.select("d", "n", "pos", "filled", "path", F.element_at("path", -1).alias("g"), later.alias("s")), "later-ranks")
+        now, k = _doubled(rows, ["g"], F.col("path"), "ranks"), 2 * k
+    columns = ["d", "n", "pos", "filled", "path"]
+    # Of those done in the first round only the shared ones are wanted; later ones shared two lines before.
+    first, rest = (done or [now])[0], [*done[1:], *([now] if done else [])]
+    shared = reduce(DataFrame.union, [first.filter("kept"), *rest]).select(columns)
+    return shared, alone.select(columns)
+
+
+def suffix_array(docs: DataFrame, places: DataFrame, min_lines: int) -> DataFrame:
+    """``d, n, pos, filled, r, lcp``: place in the suffix array, and lines in common with the suffix
+    before it (0 if fewer than ``min_lines`` and two), of the suffixes that share a run with another."""
+    shared, alone = suffixes(places)
+    rows = shared if min_lines > 1 else shared.union(alone)
+    rows = ranked(rows, [F.col("path"), F.col("d"), F.col("pos")], "r", "suffix-array")
+    before = rows.select((F.col("r") + 1).alias("r"), F.col("d").alias("bd"), F.col("pos").alias("bp"), F.col("path").alias("bpath"))
+    tied = F.coalesce(F.col("path") == F.col("bpath"), F.lit(False))
+    levels = F.size(F.filter(F.zip_with("path", "bpath", lambda x, y: x.eqNullSafe(y)), lambda x: x))
+    known = F.when(F.col("bpath").isNull() | (levels == 0), 0).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), levels))
+    near = rows.join(before, "r", "left").select("d", "n", "pos", "filled", "r", "bd", "bp", tied.alias("tied"), known.alias("known"))
+    follow = Window.partitionBy("d").orderBy("pos")
+    firm = F.col("tied") | (F.col("known") > 0)
+    step = lambda c, by: F.lead(c).over(follow) == F.col(c) + by
+    linked = firm & F.lead(firm).over(follow) & step("pos", 1) & step("bd", 0) & step("bp", 1)
+    near = near.withColumn("last", ~F.coalesce(linked, F.lit(False)))
+    upto = follow.rowsBetween(0, Window.unboundedFollowing)
+    near = cut(near.withColumn("end", F.first(F.when(F.col("last"), F.col("pos")), True).over(upto)), "neighbours")
+    # What the ends of chains have in common beyond what is known to be equal.
+    ends = near.filter("last and not tied and bd is not null").filter("known > 0" if min_lines > 1 else "true")
+    names = docs.select("d", "names")
+    ends = ends.join(names, "d").join(names.select(F.col("d").alias("bd"), F.col("names").alias("others")), "bd")
+    size = F.greatest("known", F.lit(2)).cast("int")
+    part = lambda c, at: F.slice(c, (F.col(at) + F.col("known") + 1).cast("int"), size)
+    same = F.zip_with(part("names", "pos"), part("others", "bp"), lambda x, y: x["a"].eqNullSafe(y["a"]) & x["b"].eqNullSafe(y["b"]))
+    ends = ends.select(F.col("d").alias("of"), F.col("pos").alias("at"), "known", same.alias("same"))
+    more = F.array_position("same", False)
+    ends = ends.select("of", "at", (F.col("known") + F.when(more > 0, more - 1).otherwise(F.size("same"))).alias("common"))
+    lcp = F.when(F.col("tied"), F.col("n") - F.col("pos")).otherwise(F.coalesce(F.col("common") + F.col("end") - F.col("pos"), F.lit(0)))
+    # A chain may end in a tie, too.
+    tail = near.filter("last and tied").select(F.col("d").alias("of"), F.col("pos").alias("at"), (F.col("n") - F.col("pos")).cast("long").alias("common"))
+    found = near.join(ends.union(tail), (F.col("d") == F.col("of")) & (F.col("end") == F.col("at")), "left")
+    return cut(found.select("d", "n", "pos", "filled", "r", lcp.cast("long").alias("lcp")), "common-prefixes")
+
+
+def intervals(array: DataFrame, min_lines: int) -> DataFrame:
+    """``array`` with ``interval``: the place where its run of neighbours with at least ``min_lines``
+    common lines begins.  A task sees a chunk of the array; chunks hand on one number each."""
+    chunk = F.shiftright("r", CHUNK)
+    begin = F.when(F.col("lcp") < min_lines, F.col("r"))
+    rows = array.withColumn("chunk", chunk)
+    inside = F.max(begin).over(Window.partitionBy("chunk").orderBy("r"))
+    heads = rows.groupBy("chunk").agg(F.max(begin).alias("head"))
+    heads = heads.select(F.col("chunk").alias("of"), F.max("head").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    rows = rows.withColumn("inside", inside).join(heads, F.col("chunk") == F.col("of"))
+    return rows.withColumn("interval", F.coalesce("inside", "carried")).drop("chunk", "of", "inside", "carried")
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """Where lines stand that occur more than once: ``d, n, pos, a, b, na, nb, filled, long, first``
+    (the earliest place of the line)."""
+    after = lambda i, c: F.get(F.col("names"), i + 1)[c]
+    items = F.transform("names", lambda x, i: F.struct(
+        x["a"].alias("a"), x["b"].alias("b"), after(i, "a").alias("na"), after(i, "b").alias("nb"),
+        F.get("filled", i).alias("filled"), F.get("long", i).alias("long"),
+    ))
+    lines = docs.select("d", "n", F.posexplode(items).alias("pos", "x")).select("d", "n", "pos", "x.*")
+    counts = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "pos")).alias("first"))
+    counts = cut(counts.filter("c > 1").select("a", "b", "first"), "repeated-lines")
+    return cut(lines.join(counts, ["a", "b"]), "repeated-places")
+
+
+def later_copies(docs: DataFrame, min_lines: int, long_words: int | None) -> DataFrame:
+    """``id, print, starts``: where runs start that also start earlier, and how many lines of them go."""
+    places = _places(docs)
+    array = cut(intervals(suffix_array(docs, places.drop("long", "first"), min_lines), min_lines), "intervals")
+    here = F.struct("d", "pos")
+    firsts = cut(array.groupBy("interval").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first < last").select("interval", "first"), "firsts")
+    later = array.filter("filled").join(firsts, "interval").filter(here > F.col("first")).select("d", "pos", F.lit(min_lines).alias("span"))
+    if long_words is not None:
+        later = later.union(places.filter("long").filter(here > F.col("first")).select("d", "pos", F.lit(1).alias("span")))
+    later = later.groupBy("d").agg(F.collect_set(F.struct("pos", "span")).alias("starts"))
+    return later.join(docs.select("d", "id", "print"), "d").select("id", "print", "starts")
+
+
+def maximal_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, print, pos, lines``: every run of at least ``min_lines`` lines that also starts elsewhere,
+    is as long as it can be, and is not the rest of the run a line before."""
+    named = line_names(docs, min_lines, None, id_col, text_col)
+    array = suffix_array(named, _places(named).drop("long", "first"), min_lines)
+    after = array.select((F.col("r") - 1).alias("r"), F.col("lcp").alias("next"))
+    rows = array.join(after, "r", "left").select("d", "pos", F.greatest("lcp", F.coalesce("next", F.lit(0))).alias("lines")).filter(F.col("lines") >= min_lines)
+    follow = Window.partitionBy("d").orderBy("pos")
+    rest = (F.lag("pos").over(follow) == F.col("pos") - 1) & (F.lag("lines").over(follow) == F.col("lines") + 1)
+    rows = rows.withColumn("rest", F.coalesce(rest, F.lit(False))).filter("not rest")
+    return rows.join(named.select("d", "id", "print"), "d").select("id", "print", "pos", "lines")
 
 
 def dedup_lines(
-    docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None
+    docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None,
+    lines_out: str = "n_lines", removed_out: str = "n_removed",
 ) -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from the text, and the counts
     ``n_lines`` (of the input) and ``n_removed``."""
     text = F.col(text_col)
-    rows = docs.filter(text.isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), F.split(text, "\n").alias("lines")
-    )
-    found = cut(later_copies(rows, min_lines, long_words), "line-runs").select(
-        F.col("id").alias("__id"), F.col("print").alias("__print"), "starts"
-    )
-    kept = docs.drop("n_lines", "n_removed")
+
+    def found() -> DataFrame:
+        return later_copies(line_names(docs, min_lines, long_words, id_col, text_col), min_lines, long_words)
+
+    found = only(found, "line-runs").select(F.col("id").alias("__id"), F.col("print").alias("__print"), F.col("starts").alias("__starts"))
+    kept = docs.drop(lines_out, removed_out)
     joined = kept.join(  # one plan at every size: texts are dealt by id, not met by a broadcast
         found.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__print")) & text.isNotNull(), "left"
     )
     lines = F.split(text, "\n")
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["pos"], s["pos"] + s["span"] - 1))))
+    covered = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s["pos"], s["pos"] + s["span"] - 1))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__covered"))
     joined = joined.withColumn("__covered", covered).withColumn("__lines", lines)
     rest = F.array_join(F.transform(stay, lambda i: F.element_at("__lines", i + 1)), "\n")
     out = [F.when(F.col("__covered").isNull(), text).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in kept.columns]
     return joined.select(
         *out,
-        F.when(text.isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
-        F.when(F.col("__covered").isNull(), 0).otherwise(F.size("__covered")).cast("long").alias("n_removed"),
+        F.when(text.isNull(), 0).otherwise(F.size("__lines")).cast("long").alias(lines_out),
+        F.when(F.col("__covered").isNull(), 0).otherwise(F.size("__covered")).cast("long").alias(removed_out),
     )
