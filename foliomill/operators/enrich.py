@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from .. import constants as K
 from ..functions.text import code_examples, registers, strip, summary
+from .clients import cloud_available, cloud_client, local_available, local_client
 
 ENRICHMENT = (
     "summary string, keywords array<string>, registers array<struct<name:string,description:string,address:string,"
@@ -129,8 +130,10 @@ def merge_answer(raw: Column, base: Column, backend: Column) -> Column:
 
 
 #: Language model backends by name: a factory ``model -> (title, text) -> answer``.  A client is made
-#: once per partition.  None comes with the library; register one to use it.
-BACKENDS: dict[str, Callable] = {}
+#: once per partition.  Register another to use it.
+BACKENDS: dict[str, Callable] = {"ollama": local_client(), "anthropic": cloud_client()}
+#: What tells whether a backend that comes with the library can be reached.
+PROBES: dict[Callable, Callable[[], bool]] = {BACKENDS["ollama"]: local_available, BACKENDS["anthropic"]: cloud_available}
 ALIASES = {"none": "none", "ollama": "ollama", "anthropic": "anthropic", "claude": "anthropic"}
 
 
@@ -143,7 +146,7 @@ def get_backend(name: str) -> str:
 
 def available(name: str) -> bool:
     name = get_backend(name)
-    return name == "none" or name in BACKENDS
+    return name == "none" or (name in BACKENDS and PROBES.get(BACKENDS[name], lambda: True)())
 
 
 def enrich(sections: DataFrame, backend: str = "none", model: str | None = None, key: str = "section_id") -> DataFrame:

@@ -72,7 +72,7 @@ class PdfReader(DataSourceReader):
         for link in page.get_links():
             if link.get("kind") == 1 and link.get("page", -1) >= 0:
                 r = link["from"]
-                yield doc, n, link["page"], r.x0, r.y0, r.x1, r.y1, page.get_textbox(r).strip()
+                yield doc, n, link["page"], *map(float, (r.x0, r.y0, r.x1, r.y1)), page.get_textbox(r).strip()
 
     def spans(self, doc: str, n: int, page) -> Iterator[tuple]:
         try:
@@ -80,7 +80,7 @@ class PdfReader(DataSourceReader):
         except Exception:  # a broken page has no layout
             return
         for b, block in enumerate(blocks):
-            left, top, _, bottom = block["bbox"]
+            left, top, _, bottom = map(float, block["bbox"])
             for i, line in enumerate(block.get("lines", [])):
                 for s, span in enumerate(line["spans"]):
                     yield doc, n, b, i, s, block["type"], span["text"], float(span["size"]), span["flags"], span["font"], top, bottom, left
@@ -97,7 +97,7 @@ class PdfReader(DataSourceReader):
             if block["type"] == 1:
                 box = block["bbox"]
                 over = page.get_textbox(fitz.Rect(box)).strip()
-                yield doc, n, block.get("number", 0), block.get("ext", "png"), block.get("width", 0), block.get("height", 0), box[1], box[3], block.get("image"), over
+                yield doc, n, block.get("number", 0), block.get("ext", "png"), block.get("width", 0), block.get("height", 0), float(box[1]), float(box[3]), block.get("image"), over
 
 
 class PdfSource(DataSource):
