@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.html import render_blocks, render_body
 from ..functions.registers import c_header, svd_document
@@ -75,11 +75,13 @@ def site_stats(sections: DataFrame, enrichments: DataFrame, page_counts: DataFra
     return out.join(page_counts.select("doc", F.col("n_pages").cast("long").alias("pages")), "doc")
 
 
-def exports(groups: DataFrame, device: str, source: str) -> DataFrame:
-    """``c_header, svd``: one row for all groups, in order of their id."""
-    packed = groups.agg(F.array_sort(F.collect_list(F.struct("id", "title", "registers"))).alias("g"))
+def exports(groups: DataFrame, device: str | Column, source: str | Column, by: str | None = None) -> DataFrame:
+    """``c_header, svd``: one row for all groups, in order of their id, or one for each device of the
+    column ``by``, which ``device`` and ``source`` may use."""
+    packed = (groups.groupBy(by) if by else groups).agg(F.array_sort(F.collect_list(F.struct("id", "title", "registers"))).alias("g"))
     items = F.transform("g", lambda x: F.struct(x["title"].alias("title"), x["registers"].alias("registers")))
-    return packed.select(c_header(items, F.lit(device), F.lit(source)).alias("c_header"), svd_document(items, F.lit(device), F.lit(source)).alias("svd"))
+    of = [x if isinstance(x, Column) else F.lit(x) for x in (device, source)]
+    return packed.select(*[by] * bool(by), c_header(items, *of).alias("c_header"), svd_document(items, *of).alias("svd"))
 
 
 def rendered_sections(sections: DataFrame, blocks: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import html as H, text as X
 from ..operators import enrich as E, incremental as I, layout as L, search as S, structure as T, vectors
 from ..sources.cache import append_json_cache, read_json_cache
 from . import build as B
-from .queries import PAGES_SQL, SEARCH_TERMS, SQL, lifted_outline, lifted_pages, query, table
+from .queries import PAGES_SQL, SEARCH_TERMS, SQL, lifted_outline, lifted_pages, lifted_registers, query, table
 
 
 # --- answers ------------------------------------------------------------------------------------
@@ -70,6 +70,19 @@ def register_sources(spark, sf_dir):
     return shown(B.register_map(sections, E.baseline(sections))).union(shown(B.register_map(sections, E.baseline(sections), svd)))
 
 
+_LINES = SQL["c_header_lines"]
+
+
+@query(f"""
+with h as (select p_brand, p_partkey, '/* ===== g' || p_partkey || ' ===== */' || chr(10) || header as t from ({_LINES}) join part using (p_partkey))
+select p_brand, '/* ' || p_brand || ' register definitions, generated from parts.' || chr(10) || '{chr(10).join(H.K.HEADER_WARNING)}' || chr(10) || '#ifndef ' || upper(replace(p_brand, '#', '_')) || '_H' || chr(10) ||
+  '#define ' || upper(replace(p_brand, '#', '_')) || '_H' || chr(10) || chr(10) || '#include <stdint.h>' || chr(10) || chr(10) || string_agg(t, chr(10) order by cast(p_partkey as varchar)) || chr(10) ||
+  '#endif /* ' || upper(replace(p_brand, '#', '_')) || '_H */' || chr(10) as c_header from h group by p_brand""")
+def device_headers(spark, sf_dir):
+    groups = lifted_registers(spark, sf_dir).select("p_brand", F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("g"), "p_partkey").alias("title"), F.array("r").alias("registers"))
+    return B.exports(groups, F.col("p_brand"), "parts", "p_brand").select("p_brand", "c_header")
+
+
 @query("""select p_partkey, least(p_size, 30)::int as n_registers, 'R' || least(p_size, 30) || '_X' as last, least(p_size, 16)::int as n_fields,
   string_agg from (select p_partkey, p_size, (select string_agg((i % 32) || '=F' || i, ',' order by i) from range(1, least(p_size, 16)::bigint + 1) r(i)) as string_agg from part)""".replace("string_agg from (", "fields from (").replace("as string_agg from part", "as fields from part"))
 def register_caps(spark, sf_dir):
