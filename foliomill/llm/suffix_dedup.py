@@ -4,9 +4,14 @@ Texts are read once as bytes; their 400-byte windows travel as runs with a commo
 ``anchors``).  A run whose whole stretch occurs twice is settled.  Where an anchor recurs with
 different stretches, one copy of each stretch goes to the anchor's shard; a shard sorts its suffixes
 by induced sorting (see ``suffix_array``) and the permuted common prefixes tell which of its windows
-recur.  An anchor always lies whole in one shard, so no match is lost between shards.  An anchor
-with more different stretches than ``HOT`` would not fit one task: its windows are hashed (128 bits)
-and counted over the cluster instead, equal ones first within each task.
+recur.  A group always lies whole in one shard, so no match is lost between shards.
+
+An anchor with more than ``HOT`` different stretches would not fit a shard.  Its stretches are
+divided again by a second anchor, the least of longer sub-windows under another hash: equal windows
+share that anchor, too, so they stay together, and what recurs whole is settled as before.  Groups
+that are still too large are divided by ever longer sub-windows; at the length of a window itself all
+windows of a group are equal, so this ends after four steps at most.  What has to be compared is
+always judged by a suffix array.
 
 Edge cases: a null text is empty; texts shorter than a window lose nothing; all copies of a string
 go, the first too; repeated rows are copies of each other; rows without id take no part; rows that
@@ -19,20 +24,24 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .anchors import covered, runs
-from .scratch import cut
+from .scratch import cut, only
 from .substring_dedup import _RUN
 from .suffix_array import repeated_starts
-from .words import _BYTE, slices, windows
+from .words import _BYTE, mixed, slices
 
 WIDTH = 400
+#: Different stretches (of less than two windows each) that a group may hold in a shard.
 HOT = 2000
 SHARD_BYTES = 1 << 19
+#: Stretches that a task sorts, so that its time doesn't grow with the input; tasks at most.
+TASK_BYTES, MOST_TASKS = 1 << 22, 1 << 17
 
 
 def _symbols(texts: list[bytes], family: int = 0) -> np.ndarray:
@@ -64,17 +73,17 @@ def _scanner(width: int, gram: int):
     return scan
 
 
-def _stretches(width: int):
-    """One row per stretch that a shard needs."""
+def _stretches(width: int, hot: bool):
+    """One row per stretch of an anchor that is ``hot``, or is not."""
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["m", "doc_id", "tag", "p", "bytes"]
+        names = ["g", "doc_id", "tag", "p", "bytes"]
         for batch in batches:
             ids, tags, texts, opened = (batch.column(k) for k in range(4))
             out = []
             for k in range(batch.num_rows):
                 raw = texts[k].as_py()
-                out += [(r["m"], ids[k].as_py(), tags[k].as_py(), r["p"], raw[r["p"] : r["p"] + r["n"] + width - 1]) for r in opened[k].as_py() if not r["hot"]]
+                out += [(r["m"], ids[k].as_py(), tags[k].as_py(), r["p"], raw[r["p"] : r["p"] + r["n"] + width - 1]) for r in opened[k].as_py() if r["hot"] == hot]
             if out:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
@@ -112,23 +121,44 @@ def _shards(width: int):
     return sort
 
 
-def _hot_windows(width: int):
-    def hash_them(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, tags, texts, opened = (batch.column(k) for k in range(4))
-            for k in range(batch.num_rows):
-                raw = texts[k].as_py()
-                for r in opened[k].as_py():
-                    if r["hot"]:
-                        piece = [raw[r["p"] : r["p"] + r["n"] + width - 1]]
-                        a, b = (windows(_symbols(piece, f), width, f).view(np.int64) for f in (0, 1))
-                        n = len(a)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(a), pa.array(b), pa.array(np.full(n, ids[k].as_py())), pa.array(np.full(n, tags[k].as_py())), pa.array(np.arange(r["p"], r["p"] + n, dtype=np.int32))],
-                            names=["a", "b", "doc_id", "tag", "p"],
-                        )
+def _divider(width: int, gram: int):
+    """The runs of each stretch by its group and its least sub-window of length ``gram``."""
 
-    return hash_them
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [x.as_py() for x in batch.column(4)]
+            owner, start, n, anchor, stretch = runs(_symbols(raw, 1), np.cumsum([0, *map(len, raw)]), width, gram)
+            groups = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)[owner]
+            pieces = [raw[k][a : a + b + width - 1] for k, a, b in zip(owner, start, n)]
+            places = (batch.column(3).to_numpy()[owner] + start).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(mixed(anchor + mixed(groups)).view(np.int64)), pa.array(stretch.view(np.int64)), *(batch.column(c).take(pa.array(owner)) for c in (1, 2)),
+                    pa.array(places), pa.array(n.astype(np.int32)), pa.array(pieces, pa.binary()),
+                ],
+                names=["g", "s", "doc_id", "tag", "p", "n", "bytes"],
+            )
+
+    return divide
+
+
+def _divided(pieces: DataFrame, width: int, gram: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Of the stretches ``g, doc_id, tag, p, bytes`` of large groups: those of groups that fit a
+    shard, and runs that are settled (``doc_id, tag, p, n``)."""
+    light, settled, step = [], [], 1
+    while True:
+        step = min(step + 1, -(-width // gram))
+        parts = cut(pieces.mapInArrow(_divider(width, min(width, gram * step)), "g long, s long, doc_id long, tag long, p int, n int, bytes binary"), "divided")
+        here = F.struct("doc_id", "tag", "p")
+        kinds = cut(parts.groupBy("g", "s").agg(F.count(F.lit(1)).alias("copies"), F.min(here).alias("chosen")), "kinds")
+        groups = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"))
+        groups = cut(groups.filter("kinds > 1").select("g", (F.col("kinds") > HOT).alias("large")), "large-groups")
+        settled.append(parts.join(kinds.filter("copies > 1"), ["g", "s"]).select("doc_id", "tag", "p", "n"))
+        open_ = parts.join(kinds, ["g", "s"]).filter(here == F.col("chosen")).join(groups, "g").select("g", "doc_id", "tag", "p", "bytes", "large")
+        light.append(open_.filter("not large").drop("large"))
+        if groups.filter("large").isEmpty():
+            return reduce(DataFrame.union, light), settled
+        pieces = open_.filter("large").drop("large")
 
 
 def _remover(width: int):
@@ -178,16 +208,18 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         F.collect_list(F.when(opened, F.struct("m", "p", "n", F.coalesce("hot", F.lit(False)).alias("hot")))).alias("opened"),
     )
     per_doc = cut(per_doc, "byte-judged")
+    size = per_doc.agg(F.sum(F.aggregate("opened", F.lit(0).cast("long"), lambda a, r: a + r["n"] + (width - 1)))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, -(-size // TASK_BYTES)))
     partial = per_doc.filter("size(opened) > 0 or (not whole and size(settled) > 0)")
     part = cut(rows.join(partial.hint("merge"), (rows["doc_id"] == partial["doc_id"]) & (F.crc32("text") == partial["tag"])).select(partial["doc_id"], "tag", "text", "whole", "settled", "opened").distinct(), "byte-partial")
     need = part.filter("size(opened) > 0").select("doc_id", "tag", "text", "opened")
-    pieces = need.mapInArrow(_stretches(width), "m long, doc_id long, tag long, p int, bytes binary")
-    found = pieces.repartition("m").sortWithinPartitions("m").mapInArrow(_shards(width), "doc_id long, tag long, p int, n int")
+    cut_out = lambda large: need.mapInArrow(_stretches(width, large), "g long, doc_id long, tag long, p int, bytes binary")
+    pieces, more = cut_out(False), []
     if not hot.isEmpty():
-        single = need.filter(F.exists("opened", lambda r: r["hot"])).mapInArrow(_hot_windows(width), "a long, b long, doc_id long, tag long, p int")
-        single = cut(single, "hot-windows")
-        again = single.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b")
-        found = found.union(single.join(again, ["a", "b"]).select("doc_id", "tag", "p", F.lit(1).alias("n")))
+        light, more = _divided(cut_out(True), width, gram)
+        pieces = pieces.union(light)
+    found = pieces.repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(_shards(width), "doc_id long, tag long, p int, n int")
+    found = reduce(DataFrame.union, more, found)
     found = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("p", "n")).alias("found"))
     changed = part.filter("not whole").join(found, ["doc_id", "tag"], "left").filter("size(settled) > 0 or found is not null")
     changed = changed.select("doc_id", "tag", "text", "settled", "found").mapInArrow(
@@ -200,6 +232,10 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
 def dedup_suffixes(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, digest``: SHA-256 of the bytes that stay."""
+    return only(lambda: _judged(docs, width, id_col, text_col), "suffix-dedup")
+
+
+def _judged(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     every, changed = repeated_bytes(docs, width, id_col, text_col)
     changed = changed.select("doc_id", "tag", "n_removed", F.size("spans").alias("spans"), F.unhex(F.sha2("kept", 256)).alias("rest"))
     nothing = F.unhex(F.sha2(F.lit("").cast("binary"), 256))

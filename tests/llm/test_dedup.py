@@ -83,6 +83,19 @@ def test_suffix_dedup(docs, rows, width, hot, monkeypatch):
     assert collected(dedup_suffixes(docs, width), *BYTES) == brute_bytes(pairs(rows), width)
 
 
+@pytest.mark.parametrize("hot", [40, 2000])
+def test_suffix_dedup_of_a_large_family(spark, hot, monkeypatch):
+    """Thousands of near copies, all with one anchor: groups are divided until they fit a shard."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(9)
+    core = "".join(rng.choice("abcdefghij ") for _ in range(40))
+    letter = lambda: rng.choice("klmnopqrst")
+    items = [(k, "".join(letter() for _ in range(k % 37)) + "xy" * (k % 5) + core + "".join(letter() for _ in range(k % 3)) + "z" * (20 + k % 23)) for k in range(2500)]
+    items += [(3000 + k, items[k * 7][1]) for k in range(40)]
+    got = collected(dedup_suffixes(spark.createDataFrame(items, "doc_id long, text string"), 60), *BYTES)
+    assert got == brute_bytes(items, 60)
+
+
 def test_suffix_dedup_empty(empty):
     assert dedup_suffixes(empty).count() == 0
 
