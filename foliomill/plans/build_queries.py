@@ -6,14 +6,14 @@ Each writes what it has to below the session's checkpoint folder and reads it ag
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from .. import sinks
 from ..functions import html as H, text as X
 from ..operators import enrich as E, incremental as I, layout as L, search as S, structure as T, vectors
 from ..sources.cache import append_json_cache, read_json_cache
 from . import build as B
-from .queries import PAGES_SQL, SEARCH_TERMS, SQL, lifted_outline, lifted_pages, lifted_registers, query, table
+from .queries import _SPAN_SQL, PAGES_SQL, SEARCH_TERMS, SQL, lifted_outline, lifted_pages, lifted_registers, lifted_spans, query, table
 
 
 # --- answers ------------------------------------------------------------------------------------
@@ -171,6 +171,21 @@ def gaps_beside_images(spark, sf_dir):
     return L.vertical_gaps(blocks, sizes, images)
 
 
+@query(_SPAN_SQL + """, z as (select page, size, sum(length(text)) as n, min(block_no * 100 + line_no * 10 + span_no) as place from s group by 1, 2),
+body as (select page, size as body from (select *, row_number() over (partition by page order by n desc, place) as k from z) where k = 1),
+b as (select page, block_no, min(top) as top, max(size) as size, sum(case when bold then length(text) else 0 end) / sum(length(text)) as bold, trim(string_agg(line, ' ' order by line_no)) as text from (
+  select page, block_no, line_no, top, size, bold, text, case when span_no = 0 then trim(text || coalesce(lead(text) over w, '')) end as line
+  from s window w as (partition by page, block_no, line_no order by span_no)) group by 1, 2),
+h as (select *, length(text) <= 90 and (size >= body * 1.18 or bold > 0.6) as heading from b join body using (page))
+select page, row_number() over (partition by page order by top, block_no) as place, case when heading then 'heading' else 'para' end as kind,
+  case when not heading then 0 when size >= body * 1.6 then 2 when size >= body * 1.18 then 3 else 4 end as level, text from h""")
+def ordered_blocks(spark, sf_dir):
+    spans = lifted_spans(spark, sf_dir)
+    pages = spans.select("doc", "page").distinct().withColumn("text", F.lit("raw"))
+    place = F.row_number().over(Window.partitionBy("page").orderBy("at"))
+    return L.page_blocks(spans, pages).select("page", place.cast("long").alias("place"), "kind", "level", X.collapse(X.strip_bold(F.col("text"))).alias("text"))
+
+
 # --- what is written ----------------------------------------------------------------------------
 @query(SQL["tfidf_search"])
 def search_on_disk(spark, sf_dir):
