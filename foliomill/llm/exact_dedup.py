@@ -2,7 +2,8 @@
 
 The index is a catalog table bucketed and sorted by digest.  A batch is reduced to one row per
 digest before any shuffle (partial aggregation), then anti-joined with the index by sort-merge,
-which alone decides what is new; ids that stay are looked up for the other digests only.  What is new is appended bucket for bucket, so the index itself is never shuffled.
+which alone decides what is new; ids that stay are looked up for the other digests only.  What is
+new is appended bucket for bucket, so the index itself is never shuffled.
 DataFrame functions only.
 
 Edge cases: a null text counts as empty; empty and very long texts are ordinary values; repeated
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .scratch import cut, small
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,7 +41,7 @@ class DigestIndex:
         self.spark, self.table = spark, table
         if not spark.catalog.tableExists(table):
             self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-            self._append(spark.createDataFrame([], "digest binary, keep_id long"))
+            self._append(small(spark, [], "digest binary, keep_id long"))
         else:
             rows = spark.sql(f"describe formatted {table}").filter("col_name = 'Num Buckets'").collect()
             self.buckets = int(rows[0]["data_type"])
@@ -59,16 +62,15 @@ class DigestIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Adds a batch; returns ``digest, doc_id, keep_id, group_size, kept`` for each of its rows.
 
-        A digest that the index has keeps the earlier document, so none of the batch stays; a new
-        digest keeps the batch's largest id.  ``group_size`` counts the batch's rows.  The join of
-        rows with their groups is between two plain shuffles, whose hot digests Spark splits.
+        A digest that the index has keeps the earlier document, so none of the batch stays but that
+        document itself, if it comes again: a batch may be added again after a crash.  A new digest
+        keeps the batch's largest id.  ``group_size`` counts the batch's rows.  Texts are read once;
+        the join of rows with their groups is between two plain shuffles, whose hot digests Spark splits.
         """
-        rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"))
+        rows = cut(docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest")), "digests")
         groups = rows.groupBy("digest").agg(
             F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("group_size")
         )
-        from .scratch import cut
-
         groups = cut(groups, "digest-groups")
         fresh = self.unseen(groups).withColumn("known_id", F.lit(None).cast("long")).withColumn("fresh", F.lit(True))
         old = groups.hint("merge").join(self.rows().withColumnRenamed("keep_id", "known_id").hint("merge"), "digest")
@@ -78,6 +80,6 @@ class DigestIndex:
         return (
             rows.join(known, "digest")
             .withColumn("keep_id", F.when(F.col("fresh"), F.col("last_id")).otherwise(F.col("known_id")))
-            .withColumn("kept", F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("last_id")))
+            .withColumn("kept", F.coalesce(F.when(F.col("fresh"), F.col("doc_id").eqNullSafe(F.col("last_id"))).otherwise(F.col("doc_id") == F.col("known_id")), F.lit(False)))
             .select("digest", "doc_id", "keep_id", "group_size", "kept")
         )
