@@ -25,6 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .scratch import cut
+from .words import give_back
+
 DIM = 1 << 16
 ORDERS = (1, 2, 3)
 SLICE = 1 << 19
@@ -106,12 +109,12 @@ def document_frequencies(texts: DataFrame, text_col: str) -> tuple[np.ndarray, i
 def sample_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int) -> list:
     """At most ``rows_per_language`` labelled rows of each language, least hash of id first.
 
-    The ranks per language are limited before the shuffle, so a frequent language does not gather
-    in a task.  Returns (language, features, counts).
+    Rows are thinned where they are read, by a hash and the counts of the languages, so that a frequent
+    language does not gather in a task.  Returns (language, features, counts).
     """
     unit = F.shiftrightunsigned(F.xxhash64(id_col), 11) / F.lit(float(1 << 53))
     rows = labelled.select(id_col, lang_col, unit.alias("__unit"))
-    sizes = rows.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = cut(rows.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__size")), "languages")  # its size is known
     # Four times as many as are wanted, by hash, so that few of a frequent language are shuffled.
     likely = rows.join(sizes, F.col(lang_col) == F.col("__lang")).filter(F.col("__unit") * F.col("__size") < 4 * rows_per_language)
     order = Window.partitionBy(lang_col).orderBy("__unit", id_col)
@@ -254,6 +257,6 @@ class LanguageModel:
                     batch = whole.slice(at, 256)
                     lang, p = model.value.scores(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(p)], names=[f.name for f in schema])
-            pa.default_memory_pool().release_unused()  # the worker is kept
+            give_back()
 
         return kept.mapInArrow(score, schema)
