@@ -20,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import ranked
+from .scratch import cut, ranked
 from .words import Words, mixed, slices, windows
 
 BUCKETS = 1 << 16
+#: Ids of target documents up to this number (8 MB) are broadcast, so that no other text is shuffled.
+FEW_IDS = 1_000_000
 
 
 def _features(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +75,7 @@ def importance(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_
 def gumbel_top_k(weighted: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """The ``k`` rows with the largest ``log_weight`` plus Gumbel noise, as ``sampling_key``."""
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    weighted = cut(weighted, "weights")  # ranges are found by a sample, which would weigh every text once more
     keyed = weighted.withColumn("sampling_key", F.col("log_weight") - F.log(-F.log(unit)))
     return ranked(keyed, [F.desc("sampling_key"), F.col("doc_id")], "place", "gumbel").filter(F.col("place") < k)
 
@@ -81,8 +84,9 @@ def select_quality(docs: DataFrame, labels: DataFrame, seed: int = 1) -> DataFra
     """The sample of ``docs`` whose size is the share of good labels among all labels; the target is
     text labelled good and not toxic."""
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("good_id")).distinct()
-    target = docs.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi")
     n_good, n_labels = labels.agg(F.count(F.when(F.col("quality") == 1, 1)), F.count("quality")).first()
+    good = F.broadcast(good) if n_good <= FEW_IDS else good.hint("merge")
+    target = docs.join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
     n = docs.filter(F.col("doc_id").isNotNull()).count()
     k = round(n * n_good / n_labels) if n_labels else n
     return gumbel_top_k(importance(docs, target), k, seed)
