@@ -16,6 +16,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     index = DigestIndex(spark, f"foliomill_digests_{uuid.uuid4().hex}")
     out = index.add(documents(spark, sf_dir))
+    spark.sql(f"drop table {index.table}")  # of this call alone; the result does not read it
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -33,6 +34,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+#: Water-filling in closed form: sources in the order in which they reach their cap.
+OP10_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                  ('0x' || substr(md5('1:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint >> 28 as coin from documents),
+s as (select source, sum(size)::bigint as n from d group by source),
+w as (select source, n, 3.0::double * n as most, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double as weight from s),
+h as (select *, (sum(n) over ())::double as total, most / weight as cap,
+             coalesce(sum(most) over (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as held,
+             sum(weight) over (order by most / weight, source nulls last rows between current row and unbounded following) as open_weight from w),
+l as (select coalesce(arg_min((total - held) / open_weight, held) filter ((total - held) / open_weight <= cap), 0) as level from h),
+t as (select source, n, least(weight * level, most) as target from w, l),
+b as (select *, case when n > 0 then floor(least(target / n, 3.0::double)) else 0 end as base from t),
+e as (select d.source, coin + 1 as cut, sum(sum(size)) over (partition by d.source order by coin) as upto from d group by d.source, coin
+      union all select source, 0, 0 from s),
+c as (select b.source, arg_min(e.cut, (abs(e.upto - (b.target - b.base * b.n)), e.cut)) as cut
+      from b join e on b.source is not distinct from e.source group by b.source)
+select doc_id, size, b.n as source_size, b.target, (size * (b.base + case when coin < c.cut then 1 else 0 end))::bigint as taken
+from d join b on d.source is not distinct from b.source join c on d.source is not distinct from c.source
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,8 +62,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
     paths = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
-    pieces = tokenize(docs, *paths).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(pieces)
+    return pack(tokenize(docs, *paths, keep_ids=False))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +102,20 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+OP6_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+                          else list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)]) end as gs from w),
+e as (select doc_id, unnest(gs) as x from g),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by all),
+k as (select u, v from p join g a on u = a.doc_id join g b on v = b.doc_id where 100 * c >= 80 * (len(a.gs) + len(b.gs) - c)),
+sym as (select u, v from k union all select v, u from k),
+reach(node, other) as (select u, v from sym union select r.node, b.v from reach r join sym b on r.other = b.u),
+least_of as (select node, min(other) as other from reach group by node)
+select doc_id, len(gs)::bigint as n_shingles, least(doc_id, coalesce(other, doc_id)) as component_id from g left join least_of on doc_id = node
+"""
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
 
@@ -88,6 +123,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.lower(F.hex("digest")).alias("kept_sha256"))
 
 
+OP1_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w as (select doc_id, generate_subscripts(ws, 1) as pos, unnest(ws) as word, len(ws) as n, ws from d),
+k as (select doc_id, pos, word, case when pos + 49 <= n then sha256(array_to_string(ws[pos:pos + 49], ' ')) end as x from w),
+f as (select *, x is not null and min(doc_id) over (partition by x) < doc_id as again from k),
+c as (select doc_id, pos, word, max(again::int) over (partition by doc_id order by pos rows between 49 preceding and current row) as gone from f),
+r as (select doc_id, count(*) as n_words, sum(gone)::bigint as n_removed, string_agg(word, ' ' order by pos) filter (gone = 0) as kept from c group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join r on d.doc_id = r.doc_id
+"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import dedup_suffixes
 
@@ -119,4 +166,4 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 
 
 QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op8_line_dedup": op8_line_dedup, "op6_jaccard_join": op6_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op2_quality": op2_quality, "op4_topk_search": op4_topk_search}
-SQL = {"op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op4_topk_search": OP4_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op4_topk_search": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
