@@ -160,3 +160,20 @@ def test_cloud_model():
 def test_vectors_without_chunks(spark, tmp_path):
     none = spark.createDataFrame([], "section_id string, pos int, snippet string, vec array<float>")
     assert sinks.write_vectors(none, none, str(tmp_path / "v"), "m") == 0 and not (tmp_path / "v").exists()
+
+
+def test_commands(spark, folder, capsys):
+    from foliomill.__main__ import main
+
+    assert main(["info", f"{folder}/one.pdf", "--limit", "1"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["Title:    The Title", "Pages:    3", "Outline:  3 entries", "  1 Start  (p.1)", "  … 2 more (use --limit)"]
+    assert main(["build", f"{folder}/one.pdf", "-o", f"{folder}/out", "--dpi", "72"]) == 0
+    names = capsys.readouterr().out.split()
+    assert {"sections", "sections_html", "index", "figures", "images", "stats", "page_manifest"} <= set(names)
+    read = lambda name: spark.read.parquet(f"{folder}/out/{name}")
+    assert {r.id for r in read("sections").collect()} == {"1-start", "1-1-more", "lost"}
+    assert sorted(bytes(r.bytes) for r in read("images").collect()) == [b"png:first@1.00", b"png:second@1.00", b"png:third@1.00"]
+    assert {r.img for r in read("page_manifest").collect()} == {f"images/page-000{k}.png" for k in (1, 2, 3)}
+    assert {(r.image_rel, bytes(r.bytes)) for r in read("figures").collect()} == {("figures/fig-p0001-4.jpeg", b"JPEG")}
+    with pytest.raises(SystemExit):
+        main(["nothing"])
