@@ -1,13 +1,15 @@
 """Exact top-k inner product search with KD-trees per shard.
 
-Vectors are packed where they are read into shards of a bounded number of rows; queries, a stated
-subset, into blocks.  Each block meets every shard in one row.  A shard becomes a KD-tree by median
+Vectors are packed where they are read into shards of a bounded number of rows, dealt to lanes of a
+bounded number of shards; queries, a stated subset, into blocks.  A block meets a lane in one task: its
+queries come first, once, then the lane's shards, one at a time.  A shard becomes a KD-tree by median
 splits of the widest dimension, with the tight bounding box of each leaf.  For a query, the largest
 inner product that a box allows bounds its leaf; leaves are visited best first until the bound falls
-below the query's k-th score, which is carried on from shard to shard of a lane.  Lanes, the unit of
-parallel work for a block, are merged by a window over k rows per query and lane.
+below the query's k-th score, which is carried on from shard to shard of a lane.  Lanes are merged by a
+window over k rows per query and lane.
 
-Vectors are of whole numbers and scored in double precision, which is exact up to 2**53.
+Vectors are of whole numbers and scored in double precision, which is exact up to 2**53.  Components
+or scores beyond the range of a long are taken as its limits.
 
 Edge cases: vectors that are null, empty or hold null or non-finite numbers take no part; rows
 without id neither; only vectors of equal length are compared; rows that share the query's id are
@@ -26,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
 LEAF_ROWS = 256
+#: Shards that a task goes through for a block, at every number of rows.
+LANE_SHARDS = 32
 
 
 def quantised(vector: Column, factor: float = 256.0) -> Column:
@@ -113,20 +117,19 @@ def _searcher(k: int):
 
         def emit() -> pa.RecordBatch:
             q, place = np.nonzero(best.score > -np.inf)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(best.ids[q]), pa.array(best.found[q, place]), pa.array(best.score[q, place].astype(np.int64))], names=["query_id", "vec_id", "score"]
-            )
+            score = np.clip(best.score[q, place], -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(best.ids[q]), pa.array(best.found[q, place]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             for n in range(batch.num_rows):
                 row = {name: batch.column(c)[n].as_py() for c, name in enumerate(batch.schema.names)}
-                width = row["width"]
-                if (key := (width, row["block"], row["lane"])) != at:
+                width, key = row["width"], (row["width"], row["block"], row["lane"])
+                if row["queries"] is not None:  # before the shards of its block and lane
                     if best:
                         yield emit()
-                    at = key
-                    best = Best(np.array([r["vec_id"] for r in row["queries"]]), np.array([r["v"] for r in row["queries"]]), k)
-                best.search(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, width))
+                    at, best = key, Best(np.array([r["vec_id"] for r in row["queries"]]), np.array([r["v"] for r in row["queries"]]), k)
+                elif key == at:
+                    best.search(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, width))
         if best:
             yield emit()
 
@@ -142,14 +145,18 @@ def top_k(
         F.col(id_col).cast("long").alias("vec_id"), is_query.alias("is_query"), quantised(F.col(vector_col)).alias("v")
     ).filter(F.col("v").isNotNull())
     queries = rows.filter("is_query").select("vec_id", "v")
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    n_rows, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(F.col("is_query"))).first()
+    blocks = max(1, -(-n_queries // BLOCK_QUERIES))
+    lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks, -(-n_rows // (SHARD_ROWS * LANE_SHARDS)))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     packed = queries.distinct().groupBy(F.size("v").alias("width"), block.alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
+    asked = packed.select("width", "block", every(lanes).alias("lane"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("vectors"), "queries")
     shards = rows.select("vec_id", "v").mapInArrow(_pack, "width int, ids binary, vectors binary")
     shards = shards.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-    shards = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    work = shards.join(packed, ["width", "block"]).repartition("width", "block", "lane").sortWithinPartitions("width", "block", "lane")
-    found = work.select("width", "block", "lane", "ids", "vectors", "queries").mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
+    shards = shards.select("width", every(blocks).alias("block"), "lane", "ids", "vectors", F.lit(None).cast(asked.schema["queries"].dataType).alias("queries"))
+    keys = ["width", "block", "lane"]
+    work = asked.union(shards).repartition(*keys).sortWithinPartitions(*keys, F.col("queries").isNull())
+    found = work.mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
