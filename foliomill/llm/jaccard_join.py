@@ -7,8 +7,8 @@ segment.  Allocation goes by cost: a segment that is empty would meet everyone,
 all others are indexed as they are; and only a set with too few filled segments also indexes the
 one-deletion neighbourhoods of its segments, which count twice in the pigeonhole argument.  Of two
 sets with ``f`` and ``g`` filled segments at least one agreement is certain if ``max(f, g) > H``
-or both index neighbourhoods and ``f + g > H``; sets that may meet neither condition share one
-further key per band (small sets whose grams fell into few segments, and any with ``2f <= H``).
+or both index neighbourhoods and ``f + g > H``; as pairs of two sets with ``f <= H`` may meet neither
+condition, all such sets (few but for small ones) share one further key per band.  So no link is missed.
 A signature that more than ``COSTLY`` sets hold is skipped in the same way by each set that has
 more than ``H`` other filled segments: two sets that agree in it both know that it is costly, so
 one of them has too few others, or they agree in another.
@@ -41,12 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .components import components
-from .scratch import batches_of, cut
+from .scratch import batches_of, cut, only
 from .words import Words, mixed, slices, windows
 
 GRAM = 5
 THRESHOLD = 80  # per cent
-SPARE_SIZE = 40  # up to this size a set with few filled segments uses the band's common key
 FLUSH = 1 << 18  # signatures held before they are packed
 TEXT_ROWS = 256  # texts that reach Python at once
 TEXT_BYTES = 1 << 18  # texts hashed at once, but for longer ones
@@ -54,6 +53,7 @@ BATCH_BYTES = 1 << 22  # packed rows leave Python in batches of about this size
 BLOCK = 4096  # members of a signature that are compared at once
 COSTLY = 32  # holders beyond which a signature is skipped by sets that can do without
 BANDS = 64
+BUCKET_BYTES = 1 << 25  # text whose signatures share a bucket, at every size of the input
 SKETCH_WORDS = 4
 
 
@@ -111,8 +111,7 @@ def signatures(grams: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarra
             sizes = np.diff(np.append(first, len(grams)))
             rest = np.repeat(sums, sizes) - values
             made.append(mixed(rest + mixed(np.repeat(tag, sizes)))[np.repeat(sizes, sizes) > 1])
-            if len(grams) <= SPARE_SIZE or 2 * len(first) <= most:
-                made.append(mixed(np.array([(band + 1) << 50], np.uint64)))
+            made.append(mixed(np.array([(band + 1) << 50], np.uint64)))
         out += [(x & ~np.uint64(BANDS - 1)) | np.uint64(band % BANDS) for x in made]
         spare.append((band % BANDS, len(first) - most - 1))
     return (np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)), spare
@@ -459,12 +458,14 @@ def _sought(members: DataFrame, sketches: DataFrame, threshold: int, most: int)
     parts = members.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
     groups = parts.groupBy("g").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").cast("double").alias("all"))
     groups = cut(groups.select("g", F.col("top.component").alias("major"), "all", (F.col("all") - F.col("top.n")).alias("others")), "groups")
-    told = members.join(groups.select("g", "major"), "g")
-    merged = told.groupBy("major", "id").agg(F.first("component").alias("component"))
+    merged = members.join(groups.select("g", "major"), "g").groupBy("major", "id").agg(F.first("component").alias("component"))
     merged = merged.groupBy("major").agg((F.count(F.lit(1)) * F.count_if(F.col("component") != F.col("major")).cast("double")).alias("once"))
     apart = groups.groupBy("major").agg(F.sum(F.col("all") * F.col("others")).alias("apart"))
     whole = merged.join(apart, "major").select("major", (F.col("once") <= F.col("apart")).alias("whole"))
-    dealt = told.join(whole, "major").select(F.when(F.col("whole"), F.col("major")).otherwise(F.col("g")).alias("h"), F.col("whole").alias("by"), "id", "weight", "component", "major")
+    # Decided for groups, a row each; members, of which a component may have any number, meet that table by their group.
+    places = groups.select("g", "major").join(whole, "major")
+    places = cut(places.select("g", "major", F.when(F.col("whole"), F.col("major")).otherwise(F.col("g")).alias("h"), F.col("whole").alias("by")), "places")
+    dealt = members.join(places, "g").select("h", "by", "id", "weight", "component", "major")
     dealt = cut(dealt.groupBy("h", "by", "id").agg(F.first("weight").alias("weight"), F.first("component").alias("component"), F.first("major").alias("major")), "dealt")
     blocks = dealt.groupBy("h", "by").agg(
         F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("wide"), F.ceil(F.count_if(F.col("component") != F.col("major")) / MEETING).cast("int").alias("high")
@@ -495,20 +496,20 @@ def _verified(left: DataFrame, representatives: DataFrame, rows: DataFrame, thre
     return cut(met.mapInArrow(_verifier(threshold, width), "u long, v long"), "verified")
 
 
-def _buckets(docs: DataFrame) -> int:
-    """Four for each core, and one for each 16 MB of input at least; where Spark does not know the
-    input's size, as many as shuffle partitions."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    spark = docs.sparkSession
-    if size >= 1 << 56:
-        size = int(spark.conf.get("spark.sql.shuffle.partitions")) << 24
-    return min(1 << 20, max(4 * spark.sparkContext.defaultParallelism, size >> 24))
+def _buckets(rows: DataFrame) -> int:
+    """One for each ``BUCKET_BYTES`` of text, whose signatures take about as much; four for each core at least."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(1 << 20, max(4 * rows.sparkSession.sparkContext.defaultParallelism, size // BUCKET_BYTES))
 
 
 def jaccard_components(
     docs: DataFrame, threshold: int = THRESHOLD, width: int = GRAM, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs`` that has an id."""
+    return only(lambda: _components(docs, threshold, width, id_col, text_col), "jaccard-components")
+
+
+def _components(docs: DataFrame, threshold: int, width: int, id_col: str, text_col: str) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = _buckets(rows)
@@ -545,7 +546,7 @@ def jaccard_components(
     star = pairs.select("centre", F.when(F.col("centre") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("id"))
     tested = _pruned(star, sketches, threshold)
     links = _verified(tested, representatives, rows, threshold, width, True)
-    comps = cut(components(links), "components")
+    comps = only(lambda: components(links), "components")
     left = cut(members.join(centres.select("g", F.col("centre").alias("id")), ["g", "id"], "left_anti").select("g", "id", "weight"), "left")
 
     # Then what is possible between the components of a group, ever more for each member.
@@ -564,7 +565,7 @@ def jaccard_components(
         tested = tested.union(pairs)
         if not fresh.isEmpty():
             links = links.union(fresh)
-            comps = cut(components(links), "components")
+            comps = only(lambda links=links: components(links), "components")
         most *= 16
     return _finish(nodes, comps)
 
