@@ -30,8 +30,11 @@ def info(spark: SparkSession, path: str, limit: int = 60) -> list[str]:
 
 def build_all(spark: SparkSession, path: str, out: str, settings: Settings, svd: str | None = None, images: bool = True) -> list[str]:
     """Builds and writes every table below ``out``, replacing earlier ones but page images, which are
-    completed; returns the tables' names."""
-    pdf = tables(spark, path, settings.max_pages)
+    completed; returns the tables' names.  Files are read once, into the tables of ``scan``."""
+    pdf = {}
+    for name, table in tables(spark, path, settings.max_pages).items():
+        sinks.write_table(table, f"{out}/scan/{name}")
+        pdf[name] = spark.read.schema(table.schema).parquet(f"{out}/scan/{name}")
     shown = None
     if images:
         shown = P.wanted_images(pdf["pages"])

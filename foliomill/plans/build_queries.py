@@ -101,14 +101,19 @@ def first_pages(spark, sf_dir):
     return T.build_sections(lifted_outline(pages), counts, 7).select("doc", "ord", "id", "level", "start_page", "end_page", "parent_id")
 
 
-@query("with " + PAGES_SQL + """, o as (select ord, level, trim(regexp_replace(title, '\\s+', ' ', 'g')) as title, page from ol where doc = '0'),
-l as (select 3 + row_number() over (order by ord) as line, '  ' || repeat('  ', level - 1) || title || '  (p.' || (page + 1) || ')' as text from o order by ord limit 5)
-select * from l union all select 1, 'Title:    T' union all select 2, 'Pages:    ' || n_pages from np where doc = '0' union all select 3, 'Outline:  ' || count(*) || ' entries' from o
-union all select 9, '  … ' || (count(*) - 5) || ' more (use --limit)' from o having count(*) > 5""")
+@query(r"""
+with o as (select doc_id as ord, 1 + doc_id % 3 as level, regexp_replace(trim(substr(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), 1, 20)), '\s+', ' ', 'g') as title, doc_id as page from documents),
+k as (select *, row_number() over (order by ord) as nth from o where title <> ''),
+n as (select count(*) as n from k)
+select 3 + nth as line, '  ' || repeat('  ', (level - 1)::int) || title || '  (p.' || (page + 1) || ')' as text from k where nth <= 5
+union all select 1, 'Title:    T' union all select 2, 'Pages:    ' || count(*) from documents union all select 3, 'Outline:  ' || n || ' entries' from n
+union all select 9, '  … ' || (n - 5) || ' more (use --limit)' from n where n > 5""")
 def outline_listing(spark, sf_dir):
-    pages = lifted_pages(spark, sf_dir).filter("doc = '0'")
-    outline = T.outline_rows(lifted_outline(pages).withColumn("page", F.col("page") + 1))
-    lines = T.info("T", pages.agg(F.max("page") + 1).first()[0], outline, 5)
+    """All documents as entries of one outline, of which the first five are listed."""
+    docs = table(spark, sf_dir, "documents")
+    title = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""), 1, 20)
+    raw = docs.select(F.col("doc_id").alias("ord"), (1 + F.col("doc_id") % 3).cast("int").alias("level"), title.alias("title"), (F.col("doc_id") + 1).alias("page"))
+    lines = T.info("T", docs.count(), T.outline_rows(raw), 5)
     return spark.createDataFrame(list(enumerate(lines, 1)), "line long, text string")
 
 
@@ -195,22 +200,22 @@ def search_on_disk(spark, sf_dir):
     return S.search_index(spark, path, SEARCH_TERMS)
 
 
-@query("""select c_custkey as key, c_name as title, (c_custkey % 3)::int as n from customer union all select c_custkey, 'again', 7 from customer where c_custkey % 10 = 0""")
+@query("""select c_custkey as key, c_name as title, (c_custkey % 3)::int as n from customer union all select c_custkey, 'again', 7 from customer where c_nationkey < 5""")
 def json_cache(spark, sf_dir):
     """A cache written twice, with a broken line in between, and one that is not there."""
     path, c = sinks.temporary(spark, "cache"), table(spark, sf_dir, "customer")
     append_json_cache(c.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("title"), (F.col("c_custkey") % 3).alias("n")), path)
     spark.range(1).select(F.lit('{"key": 1, "title": ').alias("value")).write.mode("append").text(path)
-    append_json_cache(c.filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("key"), F.lit("again").alias("title"), F.lit(7).alias("n")), path)
+    append_json_cache(c.filter("c_nationkey < 5").select(F.col("c_custkey").alias("key"), F.lit("again").alias("title"), F.lit(7).alias("n")), path)
     schema = "key long, title string, n int"
     return read_json_cache(spark, path, schema).union(read_json_cache(spark, f"{path}-none", schema))
 
 
-@query("select c_custkey, c_nationkey from customer where c_nationkey % 2 = 1")
+@query("select c_custkey, c_nationkey + 1 as c_nationkey from customer")
 def overwritten_table(spark, sf_dir):
     path, c = sinks.temporary(spark, "pages"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    sinks.write_pages(c.filter("c_nationkey % 2 = 0"), path)
-    sinks.write_pages(c.filter("c_nationkey % 2 = 1"), path)
+    sinks.write_pages(c, path)
+    sinks.write_pages(c.withColumn("c_nationkey", F.col("c_nationkey") + 1), path)
     return spark.read.schema(c.schema).parquet(path)
 
 
@@ -242,29 +247,32 @@ def vector_index(spark, sf_dir):
 
 
 # --- state --------------------------------------------------------------------------------------
-@query("""select o_orderkey, case when o_orderkey % 5 = 0 then 'new' else o_orderstatus end as status from orders where o_orderkey % 3 > 0 or o_orderkey % 5 = 0""")
+@query("""select o_orderkey, case when o_orderstatus = 'F' then 'new' else o_orderstatus end as status from orders union all select -o_orderkey, 'more' from orders where o_orderstatus = 'P'""")
 def state_upserts(spark, sf_dir):
+    """Orders, of which the finished ones change and pending ones bring another."""
     o = table(spark, sf_dir, "orders")
-    state = o.filter("o_orderkey % 3 > 0").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    return I.upsert(state, o.filter("o_orderkey % 5 = 0").select("o_orderkey", F.lit("new").alias("status")), ["o_orderkey"])
+    state = o.select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    changes = o.filter("o_orderstatus = 'F'").select("o_orderkey", F.lit("new").alias("status"))
+    more = o.filter("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("more").alias("status"))
+    return I.upsert(state, changes.union(more), ["o_orderkey"])
 
 
-@query("""select 'page-' || lpad(cast(p_partkey as varchar), 6, '0') || '.png' as path from part where p_partkey % 4 < 2 or p_size % 3 = 0""")
+@query("""select 'page-' || lpad(cast(p_partkey as varchar), 6, '0') || '.png' as path from part where p_size < 25 or p_size % 3 = 0""")
 def missing_images(spark, sf_dir):
     """Wanted images of which half are there, a third of them empty."""
     name = F.concat(F.lit("page-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit(".png"))
     part = table(spark, sf_dir, "part").withColumn("path", name)
-    listing = part.filter("p_partkey % 4 >= 2").select("path", F.when(F.col("p_size") % 3 == 0, 0).otherwise(F.col("p_size")).alias("length"))
+    listing = part.filter("p_size >= 25").select("path", F.when(F.col("p_size") % 3 == 0, 0).otherwise(F.col("p_size")).alias("length"))
     return I.missing_files(part.select("path"), listing)
 
 
-@query(r"""with k as (select doc_id, sha1('none||T|' || coalesce(text, '')) as cache_key, length(coalesce(text, '')) as n from documents),
-old as (select distinct cache_key from k where doc_id % 2 = 0)
+@query(r"""with k as (select doc_id, sha1('none||T|' || coalesce(text, '')) as cache_key, length(coalesce(text, '')) as n, lang from documents),
+old as (select distinct cache_key from k where lang = 'en')
 select doc_id, (case when cache_key in (select cache_key from old) then -1 else n end)::bigint as n, (select count(distinct cache_key) from k where cache_key not in (select cache_key from old)) as computed from k""")
 def refreshed_results(spark, sf_dir):
-    """Results of which those of even documents are cached (as -1); the others are computed, once a key."""
+    """Results of which those of English documents are cached (as -1); the others are computed, once a key."""
     key = I.cache_key(F.lit("none"), F.lit(None).cast("string"), F.lit("T"), F.coalesce("text", F.lit("")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", key.alias("cache_key"), F.coalesce("text", F.lit("")).alias("text"))
-    cache = rows.filter("doc_id % 2 = 0").select("cache_key").distinct().withColumn("n", F.lit(-1).cast("long"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", key.alias("cache_key"), F.coalesce("text", F.lit("")).alias("text"), "lang")
+    cache = rows.filter("lang = 'en'").select("cache_key").distinct().withColumn("n", F.lit(-1).cast("long"))
     joined, fresh = I.refresh(rows, cache, lambda new: new.select("cache_key", F.length("text").cast("long").alias("n")))
     return joined.crossJoin(fresh.agg(F.count(F.lit(1)).alias("computed"))).select("doc_id", "n", "computed")
