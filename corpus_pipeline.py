@@ -3,6 +3,10 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the
 columns of ``docs``.  ``run`` applies them to ``documents``, writing each stage's result as Parquet
 and reading it again, so a lost executor costs one stage at most.
+
+Edge cases: every stage takes nulls in any column, repeated rows and an empty table (which gives an
+empty result); further columns are carried through to packing, whatever their names but those that
+begin with two underscores.
 """
 
 from __future__ import annotations
@@ -16,12 +20,15 @@ from foliomill.llm.mixing import mix
 from foliomill.llm.packing import pack, tokenize
 from foliomill.llm.scratch import cut
 
+#: Keys of near-duplicates up to this number (8 MB) are broadcast, so that texts that stay are not shuffled.
+FEW_KEYS = 1_000_000
 #: Documents whose language is less certain than this are rejected.
 LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognisable language."""
+    """Rejects documents without a recognisable language: null texts, texts without a letter, and
+    those whose language is less certain than ``LEAST_SCORE``.  Repeated rows are judged alike."""
     model = LanguageModel.fit(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     scored = model.predict(docs, lang_out="__lang", score_out="__score")
     return scored.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
@@ -29,10 +36,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated line runs and of long lines; a document that held nothing
-    else goes."""
-    out = dedup_lines(docs, long_words=LONG_WORDS).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    else goes.  Null and blank texts stay as they are, rows that share id and text share the outcome,
+    and ``n_chars`` follows the text where something was deleted."""
+    out = dedup_lines(docs, long_words=LONG_WORDS, lines_out="__lines_before", removed_out="__removed")
+    out = out.filter((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -46,17 +55,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named = docs.filter("doc_id is not null").withColumn("__key", F.xxhash64("doc_id", "text"))
     groups = jaccard_components(named, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
     keys = named.groupBy("__key").agg(F.min("doc_id").alias("id"), F.min(F.xxhash64("text")).alias("print"), F.count(F.lit(1)).alias("n"))
-    least = F.min(F.struct("id", "print", "__key", "n")).alias("least")
-    stay = cut(groups.join(keys, "__key").groupBy("component_id").agg(least).select("least.__key", "least.n"), "near-kept")
-    out = named.join(stay.filter("n = 1"), "__key", "left_semi").select(*docs.columns)
-    if not (several := stay.filter("n > 1")).isEmpty():
-        rows = named.join(several, "__key", "left_semi").groupBy("__key")
+    judged = cut(groups.join(keys, "__key"), "near-judged")
+    least = judged.groupBy("component_id").agg(F.min(F.struct("id", "print", "__key")).alias("least")).select(F.col("least.__key").alias("__least"), F.col("component_id").alias("__of"))
+    judged = judged.join(least, F.col("component_id") == F.col("__of")).select("__key", "n", (F.col("__key") == F.col("__least")).alias("stays"))
+    odd = cut(judged.filter("not stays or n > 1"), "near-odd")  # all other texts stay where they are
+    few = odd.count() <= FEW_KEYS
+    met = lambda some: F.broadcast(some) if few else some.hint("merge")
+    out = named.join(met(odd.select("__key")), "__key", "left_anti").select(*docs.columns)
+    several = odd.filter("stays")
+    if not several.isEmpty():
+        rows = named.join(met(several.select("__key")), "__key", "left_semi").groupBy("__key")
         out = out.union(rows.agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
     return out.union(docs.filter("doc_id is null"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or thins out documents so that sources meet their target weights."""
+    """Repeats or thins out documents so that sources meet their target weights; rows without source
+    are a source of their own, repeated rows are drawn together."""
     return mix(docs)
 
 
@@ -65,8 +80,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     paths = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
-    pieces = tokenize(docs.select("doc_id", "source", "text"), *paths)
-    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return pack(tokenize(docs.select("doc_id", "source", "text"), *paths, keep_ids=False))
 
 
 STAGES = [
