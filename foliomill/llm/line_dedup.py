@@ -39,7 +39,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .scratch import cut, only, ranked
+from .scratch import cut, cut_counting, only, ordered, ranked
 
 MIN_LINES = 2
 #: Words from which a line counts as a run by itself.
@@ -56,7 +56,7 @@ def _name(x: Column) -> Column:
 
 
 def line_names(docs: DataFrame, min_lines: int, long_words: int | None, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: ``d`` (its place), ``id, print, n``, and by line ``names``, ``filled``
+    """One row per document: ``d`` (a number in their order), ``id, print, n``, and by line ``names``, ``filled``
     (one of ``min_lines`` lines from here is not blank) and ``long``."""
     text = F.col(text_col)
     rows = docs.filter(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), F.split(text, "\n").alias("lines"))
@@ -66,20 +66,19 @@ def line_names(docs: DataFrame, min_lines: int, long_words: int | None, id_col:
         "id", "print", F.transform("lines", _name).alias("names"),
         F.transform("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("filled"), F.transform("lines", long).alias("long"),
     )
-    rows = ranked(cut(rows, "line-names"), [F.col("id"), F.col("print")], "d", "line-documents", distinct=["id", "print"])
+    rows = ordered(cut(rows, "line-names"), [F.col("id"), F.col("print")], "d", "line-documents", distinct=["id", "print"])
     some = F.transform("filled", lambda x, i: F.exists(F.slice("filled", i + 1, F.lit(min_lines)), lambda y: y))
     return rows.select("d", "id", "print", F.size("names").alias("n"), "names", some.alias("filled"), "long")
 
 
-def _doubled(rows: DataFrame, by: list[str], path: Column, name: str) -> DataFrame:
+def _doubled(rows: DataFrame, by: list[str], path: Column) -> tuple[DataFrame, int]:
     """A round: ``rows`` with the place of (``by``, ``s``) appended to the path, whether it is
-    shared (``kept``), and whether it has to be refined (``live``)."""
+    shared (``kept``), and whether it has to be refined (``live``); and whether any has."""
     pairs = rows.groupBy(*by, "s").agg((F.count(F.lit(1)) > 1).alias("kept"))
-    pairs = ranked(pairs, [F.col(c) for c in (*by, "s")], "place", "rank-pairs")
-    joined = rows.drop("kept").join(pairs, [*by, "s"])
-    return cut(
-        joined.select("d", "n", "pos", "filled", F.concat(path, F.array("place")).alias("path"), "kept", (F.col("kept") & (F.size("s") > 0)).alias("live")), name
-    )
+    pairs = ordered(pairs, [F.col(c) for c in (*by, "s")], "place", "rank-pairs")
+    live = F.col("kept") & (F.size("s") > 0)
+    joined = rows.join(pairs, [*by, "s"]).select("d", "n", "pos", "filled", F.concat(path, F.array("place")).alias("path"), "kept", live.alias("live"))
+    return cut_counting(joined, "ranks", F.col("live"))
 
 
 def suffixes(places: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,9 +87,10 @@ def suffixes(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     path``."""
     no_line = F.expr(_NO_LINE)
     rows = places.withColumn("s", F.when(F.col("na").isNull(), no_line).otherwise(F.array("na", "nb"))).drop("na", "nb")
-    now, done, k = _doubled(rows, ["a", "b"], no_line, "ranks"), [], 2
+    (now, left), done, k = _doubled(rows, ["a", "b"], no_line), [], 2
     alone = now.filter("not kept")
-    while not (live := now.filter("live")).isEmpty():
+    while left:
+        live = now.filter("live")
         done.append(now.filter("not live"))
         every = reduce(DataFrame.union, [*done, live])
         ahead = every.select(F.col("d").alias("of"), (F.col("pos") - k).alias("before"), F.col("path").alias("after"))
@@ -99,7 +99,7 @@ def suffixes(places: DataFrame) -> tuple[DataFrame, DataFrame]:
         later = later.otherwise(F.coalesce("after", F.array(-1 - F.col("d"), F.col("pos").cast("long"))))
         rows = live.join(ahead, (F.col("d") == F.col("of")) & (F.col("pos") == F.col("before")), "left")
         rows = cut(rows.select("d", "n", "pos", "filled", "path", F.element_at("path", -1).alias("g"), later.alias("s")), "later-ranks")
-        now, k = _doubled(rows, ["g"], F.col("path"), "ranks"), 2 * k
+        (now, left), k = _doubled(rows, ["g"], F.col("path")), 2 * k
     columns = ["d", "n", "pos", "filled", "path"]
     # Of those done in the first round only the shared ones are wanted; later ones shared two lines before.
     first, rest = (done or [now])[0], [*done[1:], *([now] if done else [])]

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _written: list[str] = []
 
@@ -100,19 +100,33 @@ def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
 
 
-def ranked(df: DataFrame, order: list[Column], rank: str, name: str, distinct: list[str] | None = None) -> DataFrame:
-    """``df`` with ``rank``: 0, 1, 2, ... in the total order ``order``.
+def cut_counting(df: DataFrame, name: str, which: Column) -> tuple[DataFrame, int]:
+    """As ``cut``, with the number of rows for which ``which`` holds, counted while they are written
+    (a task that is run again may count again, so only whether there are any is sure)."""
+    seen = Observation()
+    table = cut(df.observe(seen, F.count_if(which).alias("n")), name)
+    return table, seen.get["n"]
+
+
+def ordered(df: DataFrame, order: list[Column], place: str, name: str, distinct: list[str] | None = None) -> DataFrame:
+    """``df`` as a table with ``place``: numbers, not without gaps, in the total order ``order``.
 
-    Rows are dealt into key ranges and sorted there; only the row counts of the ranges, one
-    number each, go to the driver.  No task sees more than its range.  Of rows that agree in the
-    columns ``distinct``, which must be those of ``order``, one is kept.
+    Rows are dealt into key ranges and sorted there, so no task sees more than its range.  Of rows
+    that agree in the columns ``distinct``, which must be those of ``order``, one is kept.
     """
-    spark = df.sparkSession
     split = df.repartitionByRange(*order)
     if distinct:
         split = split.dropDuplicates(distinct)
-    split = split.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    table = cut(split, name)
+    return cut(split.sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id()), name)
+
+
+def ranked(df: DataFrame, order: list[Column], rank: str, name: str) -> DataFrame:
+    """``df`` with ``rank``: 0, 1, 2, ... in the total order ``order``.
+
+    Only the row counts of the ranges of ``ordered``, one number each, go to the driver.
+    """
+    spark = df.sparkSession
+    table = ordered(df, order, "__at", name)
     shift = F.shiftright("__at", 33)
     counts = table.groupBy(shift.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
     starts, total = [], 0
