@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .components import components
 from .scratch import batches_of, cut, only
-from .words import Words, mixed, slices, windows
+from .words import Words, give_back, mixed, slices, windows
 
 GRAM = 5
 THRESHOLD = 80  # per cent
@@ -226,6 +226,9 @@ def _packer(buckets: int, threshold: int, width: int):
                         x.clear()
         if docs:
             yield from flush()
+        for x in (docs, doc_sets, doc_sizes, fine, spares, sigs, sets, sizes, sketches, seen):
+            x.clear()
+        give_back()
 
     return pack
 
@@ -320,6 +323,8 @@ def _grouper(threshold: int):
                 yield from _members(out)
                 out, waiting = {1: [], 3: []}, 0
         yield from _members(out)
+        del entries, kept, owners, sigs, ids, sizes, drawing, drawn, order, new, seen, out
+        give_back()
 
     return group
 
@@ -431,6 +436,7 @@ def _verifier(threshold: int, width: int):
                         out[0].append(centres[k])
                         out[1].append(ids[k])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["u", "v"])
+        give_back()
 
     return verify
 
