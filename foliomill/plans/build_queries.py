@@ -247,13 +247,13 @@ def vector_index(spark, sf_dir):
 
 
 # --- state --------------------------------------------------------------------------------------
-@query("""select o_orderkey, case when o_orderstatus = 'F' then 'new' else o_orderstatus end as status from orders union all select -o_orderkey, 'more' from orders where o_orderstatus = 'P'""")
+@query("""select o_orderkey, case when o_orderstatus = 'F' then 'new' else o_orderstatus end as status from orders union all select -1 - o_orderkey, 'more' from orders where o_orderstatus = 'P'""")
 def state_upserts(spark, sf_dir):
     """Orders, of which the finished ones change and pending ones bring another."""
     o = table(spark, sf_dir, "orders")
     state = o.select("o_orderkey", F.col("o_orderstatus").alias("status"))
     changes = o.filter("o_orderstatus = 'F'").select("o_orderkey", F.lit("new").alias("status"))
-    more = o.filter("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("more").alias("status"))
+    more = o.filter("o_orderstatus = 'P'").select((-1 - F.col("o_orderkey")).alias("o_orderkey"), F.lit("more").alias("status"))
     return I.upsert(state, changes.union(more), ["o_orderkey"])
 
 
