@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .anchors import covered, runs
-from .scratch import cut, only
+from .scratch import batches_of, cut, only
 from .substring_dedup import _RUN
 from .suffix_array import repeated_starts
-from .words import _BYTE, mixed, slices
+from .words import _BYTE, give_back, mixed, slices
 
 WIDTH = 400
 #: Different stretches (of less than two windows each) that a group may hold in a shard.
@@ -117,6 +117,8 @@ def _shards(width: int):
                 last = row[0]
         if held:
             yield solve(held)
+        held = []
+        give_back()
 
     return sort
 
@@ -125,19 +127,21 @@ def _divider(width: int, gram: int):
     """The runs of each stretch by its group and its least sub-window of length ``gram``."""
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [x.as_py() for x in batch.column(4)]
-            owner, start, n, anchor, stretch = runs(_symbols(raw, 1), np.cumsum([0, *map(len, raw)]), width, gram)
-            groups = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)[owner]
-            pieces = [raw[k][a : a + b + width - 1] for k, a, b in zip(owner, start, n)]
-            places = (batch.column(3).to_numpy()[owner] + start).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(mixed(anchor + mixed(groups)).view(np.int64)), pa.array(stretch.view(np.int64)), *(batch.column(c).take(pa.array(owner)) for c in (1, 2)),
-                    pa.array(places), pa.array(n.astype(np.int32)), pa.array(pieces, pa.binary()),
-                ],
-                names=["g", "s", "doc_id", "tag", "p", "n", "bytes"],
-            )
+        for whole in batches:
+            for at, raw in slices(whole.column(4), 1 << 18):
+                batch = whole.slice(at, len(raw))
+                owner, start, n, anchor, stretch = runs(_symbols(raw, 1), np.cumsum([0, *map(len, raw)]), width, gram)
+                groups = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)[owner]
+                pieces = [raw[k][a : a + b + width - 1] for k, a, b in zip(owner, start, n)]
+                places = (batch.column(3).to_numpy()[owner] + start).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(mixed(anchor + mixed(groups)).view(np.int64)), pa.array(stretch.view(np.int64)), *(batch.column(c).take(pa.array(owner)) for c in (1, 2)),
+                        pa.array(places), pa.array(n.astype(np.int32)), pa.array(pieces, pa.binary()),
+                    ],
+                    names=["g", "s", "doc_id", "tag", "p", "n", "bytes"],
+                )
+        give_back()
 
     return divide
 
@@ -216,7 +220,8 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     cut_out = lambda large: need.mapInArrow(_stretches(width, large), "g long, doc_id long, tag long, p int, bytes binary")
     pieces, more = cut_out(False), []
     if not hot.isEmpty():
-        light, more = _divided(cut_out(True), width, gram)
+        with batches_of(docs.sparkSession):
+            light, more = _divided(cut(cut_out(True), "large-stretches"), width, gram)  # a table, so that no task runs both Python steps
         pieces = pieces.union(light)
     found = pieces.repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(_shards(width), "doc_id long, tag long, p int, n int")
     found = reduce(DataFrame.union, more, found)
