@@ -3,15 +3,22 @@
 Of the ``gram``-long sub-windows of a window the one with the least Rabin-Karp hash, leftmost of
 several, is its anchor.  Equal windows have equal anchors at equal offsets, so a window whose anchor
 occurs once in the corpus occurs once.  Neighbouring windows mostly share their anchor; such a run
-of windows is one record, with a hash of the whole stretch that its windows cover.  Two windows of
+of windows is one record, with a digest of the whole stretch that its windows cover.  Two windows of
 one record are never equal.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
+
+from .words import windows
 
-from .words import _BASE, mixed, powers, windows
+#: A run of windows: anchor, digest of the stretch (128 bits), first place, number of windows.
+RUN = "m: long, s: long, t: long, p: int, n: int"
+_RUN = pa.struct([("m", pa.int64()), ("s", pa.int64()), ("t", pa.int64()), ("p", pa.int32()), ("n", pa.int32())])
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -27,21 +34,27 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def stretch_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
-    """Hashes of ``symbols[start:end]``."""
-    base = _BASE[1 - family]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * powers(base, len(symbols)), dtype=np.uint64)])
-    down = powers(pow(base, -1, 1 << 64), len(symbols) + 1)
-    return mixed((sums[ends] - sums[starts]) * down[starts] + mixed((ends - starts).astype(np.uint64)))
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of ``data[start:end]``, in each row two halves of the first 128 bits of SHA-256."""
+    view = memoryview(data)
+    raw = b"".join([hashlib.sha256(view[a:b]).digest()[:16] for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(raw, "<i8").reshape(-1, 2)
+
+
+def run_lists(texts: int, owner: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray, digest: np.ndarray) -> pa.Array:
+    """The runs of each of so many texts."""
+    columns = [anchor.view(np.int64), digest[:, 0], digest[:, 1], start.astype(np.int32), n.astype(np.int32)]
+    flat = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], fields=list(_RUN))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(texts + 1)).astype(np.int32)), flat)
 
 
 def runs(symbols: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: ``text, start, windows, anchor, stretch``.
+    """Runs of windows with one anchor: ``text, start, windows, anchor``.
 
     ``symbols`` are the hashed symbols of several texts in a row, ``bounds`` where each begins (and
     the last ends); starts count from the text's own first symbol.
     """
-    nothing = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    nothing = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     n = len(symbols) - width + 1
     if n <= 0:
         return nothing
@@ -56,9 +69,8 @@ def runs(symbols: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> tupl
     if not len(first):
         return nothing
     ends = np.flatnonzero(inside & ~np.concatenate([before[1:] & inside[1:], [False]])) + 1
-    stretch = stretch_hashes(symbols, first, ends - 1 + width)
     owner = text[first]
-    return owner, first - bounds[owner], ends - first, grams[place[first].astype(np.int64)], stretch
+    return owner, first - bounds[owner], ends - first, grams[place[first].astype(np.int64)]
 
 
 def covered(intervals: list[tuple[int, int]], size: int) -> np.ndarray:

@@ -24,7 +24,7 @@ component are held, in blocks and by their fine sketches, against the others; on
 bound leaves possible become rows, a number for each member that grows by the round.  Rounds end
 when no group holds two components with an unchecked possible pair.
 
-Sets and grams are identified by 64-bit hashes.
+Grams are compared by their hashes modulo 2**61 - 1, sets by 64 bits of the SHA-256 of those hashes.
 
 Edge cases: a text with fewer words than a gram is one gram; null, empty or blank texts have no
 gram and are linked with nothing; rows without id take no part; repeated ids are separate rows;
@@ -33,6 +33,7 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .components import components
 from .scratch import batches_of, cut, only
-from .words import Words, give_back, mixed, slices, windows
+from .words import Words, give_back, mixed, residue_windows, slices
 
 GRAM = 5
 THRESHOLD = 80  # per cent
@@ -60,14 +61,14 @@ SKETCH_WORDS = 4
 def gram_sets(texts: list[bytes], width: int = GRAM) -> list[np.ndarray]:
     """Sorted distinct gram hashes of each text, after lower-casing A-Z."""
     words = Words(texts, lower=True)
-    h = words.hashes()
-    grams = windows(h, width) if len(h) >= width else np.zeros(0, np.uint64)
+    h = words.residues()
+    grams = residue_windows(h, width) if len(h) >= width else np.zeros(0, np.uint64)
     out = []
     for a, b in zip(words.bounds, words.bounds[1:]):
         if b - a >= width:
             out.append(np.unique(grams[a : b - width + 1]))
         elif b > a:
-            out.append(mixed(windows(h[a:b], int(b - a)) + np.uint64(b - a)))
+            out.append(mixed(residue_windows(h[a:b], int(b - a)) + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -118,8 +119,8 @@ def signatures(grams: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarra
 
 
 def set_id(grams: np.ndarray) -> np.int64:
-    """One number for equal sets."""
-    return mixed(np.add.reduce(mixed(grams + np.uint64(5)), keepdims=True)).view(np.int64)[0]
+    """One number for equal sets, of sorted distinct grams."""
+    return np.frombuffer(hashlib.sha256(np.ascontiguousarray(grams, "<u8")).digest()[:8], "<i8")[0]
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:

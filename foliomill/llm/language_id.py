@@ -3,13 +3,14 @@
 Code points of the lower-cased text form 1- to 3-grams, hashed to ``DIM`` features.  A document's
 value for a feature is its share of the document's n-grams times the feature's inverse document
 frequency, counted over every training document.  Weights come from follow-the-regularised-leader
-(proximal, per coordinate) with L1 and L2 penalties over a bounded sample of labelled rows; a
+(proximal, per coordinate) with L1 and L2 penalties over a bounded sample of labelled rows, of the most
+frequent ``most_languages`` values of the label; a
 temperature fitted on a fifth of that sample, kept out of training, calibrates the probabilities.
 
 Because values are linear in the counts, a text is scored by one pass that adds up its n-grams'
 weights; texts are taken in slices, so memory does not depend on their length.
 
-Edge cases: a null text, or one without any letter, is ``und`` with score 0; NUL characters take
+Edge cases: a null text, or one without any letter (a code point of category L), is ``und`` with score 0; NUL characters take
 part in no n-gram; without training rows every text is ``und``; repeated rows count as often as
 they come; an empty table gives an empty result; other columns are carried along, and columns named
 like the two added ones are replaced.
@@ -17,7 +18,6 @@ like the two added ones are replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +32,6 @@ DIM = 1 << 16
 ORDERS = (1, 2, 3)
 SLICE = 1 << 19
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def codes(text: str) -> np.ndarray:
@@ -106,15 +105,18 @@ def document_frequencies(texts: DataFrame, text_col: str) -> tuple[np.ndarray, i
     return df, next((n for f, n in found if f < 0), 0)
 
 
-def sample_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int) -> list:
-    """At most ``rows_per_language`` labelled rows of each language, least hash of id first.
+def sample_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_language: int, most_languages: int, most_rows: int) -> list:
+    """At most ``rows_per_language`` labelled rows of each of the ``most_languages`` most frequent
+    languages (ties by name), fewer where that would be over ``most_rows`` in all; least hash of id first.
 
     Rows are thinned where they are read, by a hash and the counts of the languages, so that a frequent
     language does not gather in a task.  Returns (language, features, counts).
     """
     unit = F.shiftrightunsigned(F.xxhash64(id_col), 11) / F.lit(float(1 << 53))
     rows = labelled.select(id_col, lang_col, unit.alias("__unit"))
-    sizes = cut(rows.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__size")), "languages")  # its size is known
+    sizes = rows.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = cut(sizes.orderBy(F.desc("__size"), "__lang").limit(most_languages), "languages")  # a known size
+    rows_per_language = max(1, min(rows_per_language, most_rows // max(1, sizes.count())))
     # Four times as many as are wanted, by hash, so that few of a frequent language are shuffled.
     likely = rows.join(sizes, F.col(lang_col) == F.col("__lang")).filter(F.col("__unit") * F.col("__size") < 4 * rows_per_language)
     order = Window.partitionBy(lang_col).orderBy("__unit", id_col)
@@ -157,14 +159,15 @@ class LanguageModel:
     @classmethod
     def fit(
         cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        rows_per_language: int = 1000, epochs: int = 3, alpha: float = 1.0, beta: float = 0.01,
+        rows_per_language: int = 1000, most_languages: int = 200, most_rows: int = 20_000, epochs: int = 3, alpha: float = 1.0, beta: float = 0.01,
         l1: float = 1e-3, l2: float = 1e-3,
     ) -> LanguageModel:
         """Learns from ``docs``; document frequencies count all of them, weights come from at most
-        ``rows_per_language`` rows of each language."""
+        ``rows_per_language`` rows of each language, ``most_languages`` languages and ``most_rows`` rows:
+        the model has ``DIM`` weights a language, the driver holds the sample."""
         df, n = document_frequencies(docs, text_col)
         idf = np.log((1 + n) / (1 + df)) + 1
-        rows = sample_rows(docs.filter(F.col(lang_col).isNotNull()), id_col, text_col, lang_col, rows_per_language)
+        rows = sample_rows(docs.filter(F.col(lang_col).isNotNull()), id_col, text_col, lang_col, rows_per_language, most_languages, most_rows)
         languages = sorted({r[0] for r in rows})
         examples = [(languages.index(lang), f, idf[f] * k / k.sum()) for lang, f, k in rows if len(f)]
         check, train = examples[::5], [x for k, x in enumerate(examples) if k % 5]
@@ -228,7 +231,7 @@ class LanguageModel:
                     np.add.at(total[:, k], rows, np.add.reduceat(table[:, k][f], starts, dtype=np.float64))
 
         for row, text in enumerate(texts):
-            if text and width and LETTER.search(text):
+            if text and width and any(map(str.isalpha, text)):
                 for part in slices(text):
                     held.append(part)
                     rows.append(row)

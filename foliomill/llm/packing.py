@@ -35,7 +35,8 @@ class Encoder:
     """Ids as the ``tokenizers`` file gives them.
 
     Plain text goes through the same vocabulary's rank file, which is several times as fast; text
-    with the special token's string or other characters goes through ``tokenizers`` itself.
+    with the special token's string or other characters, or with a run of white space longer than
+    that library takes, goes through ``tokenizers`` itself.
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None):
@@ -60,7 +61,10 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast and SPECIAL not in text and (text.isascii() or self.plain.fullmatch(text)):
-            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+            except ValueError:  # the pattern goes back over a run of white space once too often
+                pass
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
 
 

@@ -8,7 +8,8 @@ anchor recurs with other stretches are opened into their windows, whose hashes
 are grouped for the earliest document.  Windows with an anchor seen once need not move.  All
 groupings are partial aggregates followed by joins whose hot keys Spark splits.
 
-A window is identified by 128 bits (anchor and stretch, or two independent window hashes).
+A stretch is identified by its anchor and 128 bits of its SHA-256, an opened window by two independent
+hashes modulo 2**61 - 1.
 
 Edge cases: a null text has no words; texts shorter than a window lose nothing; within one document
 a repeat stays; rows without id take no part; rows that share an id are told apart by a checksum of
@@ -26,12 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .anchors import covered, runs
+from .anchors import RUN, covered, digests, run_lists, runs
 from .scratch import cut, only
-from .words import Words, slices, windows
+from .words import Words, residue_windows, slices
 
 WINDOW = 50
-_RUN = pa.struct([("m", pa.int64()), ("s", pa.int64()), ("p", pa.int32()), ("n", pa.int32())])
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -43,20 +43,18 @@ def _scanner(window: int, gram: int):
         for batch in batches:
             for at, texts in slices(batch.column(1), 1 << 19):
                 w = Words(texts)
-                owner, start, n, anchor, stretch = runs(w.hashes(), w.bounds, window, gram)
-                flat = pa.StructArray.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    fields=list(_RUN),
-                )
-                offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+                owner, start, n, anchor = runs(w.hashes(), w.bounds, window, gram)
                 split = [t.split() for t in texts]
+                edges = np.cumsum([0, *(w.ends - w.starts + 1)])  # of the words joined by one space
+                first = w.bounds[owner] + start
+                stretch = digests(b" ".join([x for words in split for x in words]), edges[first], edges[first + n - 1 + window] - 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
                         pa.array([zlib.crc32(t) for t in texts], pa.int64()),
                         pa.array([len(x) for x in split], pa.int64()),
                         pa.array([_digest(x) for x in split], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), flat),
+                        run_lists(len(texts), owner, start, n, anchor, stretch),
                     ],
                     names=["doc_id", "tag", "n_words", "digest", "runs"],
                 )
@@ -70,7 +68,7 @@ def _opener(window: int):
             ids, tags, texts, opened = (batch.column(k) for k in range(4))
             for k in range(batch.num_rows):
                 w = Words([texts[k].as_py().encode()])
-                first, second = (windows(w.hashes(f), window, f) for f in (0, 1))
+                first, second = (residue_windows(w.residues(f), window, f) for f in (0, 1))
                 places = np.unique(np.concatenate([np.arange(r["p"], r["p"] + r["n"]) for r in opened[k].as_py()]))
                 size = len(places)
                 yield pa.RecordBatch.from_arrays(
@@ -108,16 +106,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     gram = max(1, window // 3)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scanned = cut(
-        rows.mapInArrow(_scanner(window, gram), "doc_id long, tag long, n_words long, digest binary, runs array<struct<m: long, s: long, p: int, n: int>>"),
+        rows.mapInArrow(_scanner(window, gram), f"doc_id long, tag long, n_words long, digest binary, runs array<struct<{RUN}>>"),
         "runs",
     )
     records = scanned.select("doc_id", "tag", "n_words", F.explode("runs").alias("r")).select("doc_id", "tag", "n_words", "r.*")
-    anchors = records.groupBy("m").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("s").alias("s0"), F.max("s").alias("s1"))
-    anchors = anchors.filter("d0 < d1").select("m", (F.col("s0") < F.col("s1")).alias("varied"))
+    anchors = records.groupBy("m").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), *(f(c).alias(f"{c}{k}") for c in "st" for k, f in enumerate((F.min, F.max))))
+    anchors = anchors.filter("d0 < d1").select("m", F.expr("s0 < s1 or t0 < t1").alias("varied"))
     anchors = cut(anchors, "anchors")  # a table of its own, so that the join's hot keys can be split
     shared = cut(records.join(anchors, "m"), "shared-runs")
-    first = cut(shared.groupBy("m", "s").agg(F.min("doc_id").alias("first")), "first-runs")
-    judged = shared.join(first, ["m", "s"])
+    first = cut(shared.groupBy("m", "s", "t").agg(F.min("doc_id").alias("first")), "first-runs")
+    judged = shared.join(first, ["m", "s", "t"])
     settled = F.col("first") < F.col("doc_id")
     run = F.struct("p", "n")
     per_doc = judged.groupBy("doc_id", "tag").agg(

@@ -1,7 +1,7 @@
 """Suffix-array dedup: every byte covered by a 400-byte string that also starts elsewhere goes.
 
 Texts are read once as bytes; their 400-byte windows travel as runs with a common anchor (see
-``anchors``).  A run whose whole stretch occurs twice is settled.  Where an anchor recurs with
+``anchors``).  A run whose whole stretch occurs twice (by 128 bits of SHA-256) is settled.  Where an anchor recurs with
 different stretches, one copy of each stretch goes to the anchor's shard; a shard sorts its suffixes
 by induced sorting (see ``suffix_array``) and the permuted common prefixes tell which of its windows
 recur.  A group always lies whole in one shard, so no match is lost between shards.
@@ -30,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .anchors import covered, runs
+from .anchors import RUN, covered, digests, run_lists, runs
 from .scratch import batches_of, cut, only
-from .substring_dedup import _RUN
 from .suffix_array import repeated_starts
 from .words import _BYTE, give_back, mixed, slices
 
@@ -53,19 +52,16 @@ def _scanner(width: int, gram: int):
         for batch in batches:
             for at, texts in slices(batch.column(1), 1 << 18):
                 bounds = np.cumsum([0, *map(len, texts)])
-                owner, start, n, anchor, stretch = runs(_symbols(texts), bounds, width, gram)
-                flat = pa.StructArray.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    fields=list(_RUN),
-                )
-                offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+                owner, start, n, anchor = runs(_symbols(texts), bounds, width, gram)
+                first = bounds[owner] + start
+                stretch = digests(b"".join(texts), first, first + n - 1 + width)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
                         pa.array([zlib.crc32(t) for t in texts], pa.int64()),
                         pa.array([len(t) for t in texts], pa.int64()),
                         pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), flat),
+                        run_lists(len(texts), owner, start, n, anchor, stretch),
                     ],
                     names=["doc_id", "tag", "n_bytes", "digest", "runs"],
                 )
@@ -130,16 +126,18 @@ def _divider(width: int, gram: int):
         for whole in batches:
             for at, raw in slices(whole.column(4), 1 << 18):
                 batch = whole.slice(at, len(raw))
-                owner, start, n, anchor, stretch = runs(_symbols(raw, 1), np.cumsum([0, *map(len, raw)]), width, gram)
+                bounds = np.cumsum([0, *map(len, raw)])
+                owner, start, n, anchor = runs(_symbols(raw, 1), bounds, width, gram)
+                stretch = digests(b"".join(raw), bounds[owner] + start, bounds[owner] + start + n - 1 + width)
                 groups = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)[owner]
                 pieces = [raw[k][a : a + b + width - 1] for k, a, b in zip(owner, start, n)]
                 places = (batch.column(3).to_numpy()[owner] + start).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(mixed(anchor + mixed(groups)).view(np.int64)), pa.array(stretch.view(np.int64)), *(batch.column(c).take(pa.array(owner)) for c in (1, 2)),
+                        pa.array(mixed(anchor + mixed(groups)).view(np.int64)), *(pa.array(np.ascontiguousarray(stretch[:, k])) for k in (0, 1)), *(batch.column(c).take(pa.array(owner)) for c in (1, 2)),
                         pa.array(places), pa.array(n.astype(np.int32)), pa.array(pieces, pa.binary()),
                     ],
-                    names=["g", "s", "doc_id", "tag", "p", "n", "bytes"],
+                    names=["g", "s", "t", "doc_id", "tag", "p", "n", "bytes"],
                 )
         give_back()
 
@@ -152,13 +150,13 @@ def _divided(pieces: DataFrame, width: int, gram: int) -> tuple[DataFrame, list[
     light, settled, step = [], [], 1
     while True:
         step = min(step + 1, -(-width // gram))
-        parts = cut(pieces.mapInArrow(_divider(width, min(width, gram * step)), "g long, s long, doc_id long, tag long, p int, n int, bytes binary"), "divided")
+        parts = cut(pieces.mapInArrow(_divider(width, min(width, gram * step)), "g long, s long, t long, doc_id long, tag long, p int, n int, bytes binary"), "divided")
         here = F.struct("doc_id", "tag", "p")
-        kinds = cut(parts.groupBy("g", "s").agg(F.count(F.lit(1)).alias("copies"), F.min(here).alias("chosen")), "kinds")
+        kinds = cut(parts.groupBy("g", "s", "t").agg(F.count(F.lit(1)).alias("copies"), F.min(here).alias("chosen")), "kinds")
         groups = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"))
         groups = cut(groups.filter("kinds > 1").select("g", (F.col("kinds") > HOT).alias("large")), "large-groups")
-        settled.append(parts.join(kinds.filter("copies > 1"), ["g", "s"]).select("doc_id", "tag", "p", "n"))
-        open_ = parts.join(kinds, ["g", "s"]).filter(here == F.col("chosen")).join(groups, "g").select("g", "doc_id", "tag", "p", "bytes", "large")
+        settled.append(parts.join(kinds.filter("copies > 1"), ["g", "s", "t"]).select("doc_id", "tag", "p", "n"))
+        open_ = parts.join(kinds, ["g", "s", "t"]).filter(here == F.col("chosen")).join(groups, "g").select("g", "doc_id", "tag", "p", "bytes", "large")
         light.append(open_.filter("not large").drop("large"))
         if groups.filter("large").isEmpty():
             return reduce(DataFrame.union, light), settled
@@ -191,19 +189,19 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     gram = max(1, width // 4)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     scanned = cut(
-        rows.mapInArrow(_scanner(width, gram), "doc_id long, tag long, n_bytes long, digest binary, runs array<struct<m: long, s: long, p: int, n: int>>"),
+        rows.mapInArrow(_scanner(width, gram), f"doc_id long, tag long, n_bytes long, digest binary, runs array<struct<{RUN}>>"),
         "byte-runs",
     )
     records = scanned.select("doc_id", "tag", "n_bytes", F.explode("runs").alias("r")).select("doc_id", "tag", "n_bytes", "r.*")
-    anchors = records.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1"))
-    anchors = anchors.filter("c > 1").select("m", (F.col("s0") < F.col("s1")).alias("varied"))
+    anchors = records.groupBy("m").agg(F.count(F.lit(1)).alias("c"), *(f(c).alias(f"{c}{k}") for c in "st" for k, f in enumerate((F.min, F.max))))
+    anchors = anchors.filter("c > 1").select("m", F.expr("s0 < s1 or t0 < t1").alias("varied"))
     anchors = cut(anchors, "byte-anchors")  # a table of its own, so that the join's hot keys can be split
     shared = cut(records.join(anchors, "m"), "shared-byte-runs")
     here = F.struct("doc_id", "tag", "p")
-    kinds = shared.groupBy("m", "s").agg(F.count(F.lit(1)).alias("copies"), F.min(here).alias("chosen"))
+    kinds = shared.groupBy("m", "s", "t").agg(F.count(F.lit(1)).alias("copies"), F.min(here).alias("chosen"))
     kinds = cut(kinds, "stretches")
     hot = cut(kinds.groupBy("m").agg((F.count(F.lit(1)) > HOT).alias("hot")).filter("hot"), "hot-anchors")
-    judged = shared.join(kinds, ["m", "s"]).join(hot, "m", "left")
+    judged = shared.join(kinds, ["m", "s", "t"]).join(hot, "m", "left")
     settled = F.col("copies") > 1
     opened = F.col("varied") & (here == F.col("chosen"))
     per_doc = judged.groupBy("doc_id", "tag").agg(
