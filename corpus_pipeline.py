@@ -11,7 +11,7 @@ begin with two underscores.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from foliomill.llm.jaccard_join import jaccard_components
 from foliomill.llm.language_id import UNKNOWN, LanguageModel, held_out
@@ -45,16 +45,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def _in_order(field: T.StructField) -> Column:
+    """A column, as JSON text if it holds maps or variants, which have no order."""
+    kind = field.dataType.simpleString()
+    return F.to_json(F.struct(F.col(f"`{field.name}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{field.name}`")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near-duplicates: the least by id, then text fingerprint.
 
     Rows without id take no part and are kept.  A document is an id with a text (a 64-bit hash of
-    both): rows that share both count once, the least of their other columns; of an id's several
-    texts each is judged in its own group.
+    both; where documents clash in it, which another hash tells, all of them stay): rows that share
+    both count once, the least of their other columns (of columns that have no order, by their JSON
+    text); of an id's several texts each is judged in its own group.
     """
     named = docs.filter("doc_id is not null").withColumn("__key", F.xxhash64("doc_id", "text"))
     groups = jaccard_components(named, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
-    keys = named.groupBy("__key").agg(F.min("doc_id").alias("id"), F.min(F.xxhash64("text")).alias("print"), F.count(F.lit(1)).alias("n"))
+    other = F.xxhash64(F.lit(1), "text", "doc_id")
+    keys = named.groupBy("__key").agg(F.min("doc_id").alias("id"), F.min(F.xxhash64("text")).alias("print"), F.count(F.lit(1)).alias("n"), (F.min(other) < F.max(other)).alias("clash"))
+    keys = keys.filter("not clash").drop("clash")
     judged = cut(groups.join(keys, "__key"), "near-judged")
     least = judged.groupBy("component_id").agg(F.min(F.struct("id", "print", "__key")).alias("least")).select(F.col("least.__key").alias("__least"), F.col("component_id").alias("__of"))
     judged = judged.join(least, F.col("component_id") == F.col("__of")).select("__key", "n", (F.col("__key") == F.col("__least")).alias("stays"))
@@ -65,7 +74,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     several = odd.filter("stays")
     if not several.isEmpty():
         rows = named.join(met(several.select("__key")), "__key", "left_semi").groupBy("__key")
-        out = out.union(rows.agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+        order = F.struct(*[_in_order(f) for f in docs.schema])
+        out = out.union(rows.agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*"))
     return out.union(docs.filter("doc_id is null"))
 
 
