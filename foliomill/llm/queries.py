@@ -165,5 +165,71 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op8_line_dedup": op8_line_dedup, "op6_jaccard_join": op6_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op2_quality": op2_quality, "op4_topk_search": op4_topk_search}
-SQL = {"op1_substring_dedup": OP1_SQL, "op4_topk_search": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .scratch import folder, only
+    from .token_store import read_tokens, write_tokens
+
+    paths = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
+
+    def written_and_read() -> DataFrame:
+        store = folder(spark, "token-store")
+        write_tokens(documents(spark, sf_dir), store, *paths)
+        return read_tokens(spark, store, keep_ids=False)
+
+    return only(written_and_read, "token-ids")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(documents(spark, sf_dir))
+
+
+OP13_SQL = r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+o as (select r, lang, source, unnest(ts) as term from d),
+t as (select lang, term, count(*) as n from o group by lang, term having count(distinct r) >= 3),
+c as (select o.lang, o.source, o.term, count(*) as n from o join t on o.lang = t.lang and o.term = t.term group by all),
+l as (select lang, count(*) as v, sum(n) as words from t group by lang),
+g as (select lang, source, coalesce(sum(n), 0) as size from (select distinct lang, source from d) left join c using (lang, source) group by lang, source),
+p as (select g.lang, g.source, t.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (g.size + l.v)::hugeint as p,
+             1 + (1000000000::hugeint * (t.n + 1)) // (l.words + l.v)::hugeint as q
+      from g join t on g.lang = t.lang join l on g.lang = l.lang left join c on c.lang = g.lang and c.source = g.source and c.term = t.term),
+pairs as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+          from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (select a.lang, a.source, b.source as item, coalesce(value, 0)::bigint as value
+          from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select lang, source, term as item, (((p - q) * (p - q)) // q)::bigint as value from p where n > 0 and p > q),
+ranked as (select *, 'pair' as part, row_number() over (partition by lang, source order by value desc, item) as rank from every
+           union all select *, 'term', row_number() over (partition by lang, source order by value desc, item) from terms)
+select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 200
+"""
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, label)
+
+
+OP11_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x : floor(256 * x::double)) as v
+           from embeddings where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x : x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as own, list_dot_product(a.v, c.v)::bigint as score
+      from v a join v c on a.vec_id % 50 = 0 and a.vec_id <> c.vec_id and len(a.v) = len(c.v)),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where own
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+             row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as rank
+      from p join s on p.anchor_id = s.anchor_id and not own and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+
+QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op8_line_dedup": op8_line_dedup, "op6_jaccard_join": op6_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op2_quality": op2_quality, "op4_topk_search": op4_topk_search,
+    "op11_hard_negatives": op11_hard_negatives, "op12_token_ids": op12_token_ids, "op13_source_divergence": op13_source_divergence}
+SQL = {"op1_substring_dedup": OP1_SQL, "op4_topk_search": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_mixing": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_source_divergence": OP13_SQL}

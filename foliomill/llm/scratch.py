@@ -50,11 +50,16 @@ def _clean() -> None:
             return
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path for scratch tables, deleted at the end or as ``only`` says."""
+    _written.append(f"{root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def put(df: DataFrame, name: str) -> str:
     """Writes ``df`` as a scratch table and returns its path."""
-    path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     return path
 
 
@@ -125,9 +130,14 @@ def ranked(df: DataFrame, order: list[Column], rank: str, name: str) -> DataFram
 
     Only the row counts of the ranges of ``ordered``, one number each, go to the driver.
     """
-    spark = df.sparkSession
-    table = ordered(df, order, "__at", name)
-    shift = F.shiftright("__at", 33)
+    return numbered(ordered(df, order, "__at", name), "__at", rank)
+
+
+def numbered(table: DataFrame, at: str, rank: str) -> DataFrame:
+    """``table`` with ``rank``, 0, 1, 2, ... in the order of ``at``, a ``monotonically_increasing_id``
+    that has been written and is left out."""
+    spark = table.sparkSession
+    shift = F.shiftright(at, 33)
     counts = table.groupBy(shift.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
     starts, total = [], 0
     for part, n in sorted((r["part"], r["n"]) for r in counts):
@@ -136,6 +146,6 @@ def ranked(df: DataFrame, order: list[Column], rank: str, name: str) -> DataFram
     first = small(spark, starts or [(-1, 0)], "__part long, __first long")
     return (
         table.join(F.broadcast(first), shift == F.col("__part"))
-        .withColumn(rank, F.col("__first") + F.col("__at").bitwiseAND((1 << 33) - 1))
-        .drop("__at", "__part", "__first")
+        .withColumn(rank, F.col("__first") + F.col(at).bitwiseAND((1 << 33) - 1))
+        .drop(at, "__part", "__first")
     )
