@@ -66,11 +66,10 @@ def _every_second(places: np.ndarray) -> np.ndarray:
     return (np.arange(len(places)) - np.maximum.accumulate(np.where(start, np.arange(len(places)), 0))) % 2 == 0
 
 
-def _gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """``flat[first:first + size]`` for each row, in a row."""
+def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``first, ..., first + size - 1`` for each row, in a row."""
     ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(first - (ends - size), size) + np.arange(total)]
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 @dataclass
@@ -88,6 +87,8 @@ class Grammar:
     def of(cls, ids: np.ndarray) -> Grammar:
         sequence = np.array(ids, _U32)
         base = new = int(sequence.max()) + 1 if len(sequence) else 0
+        if base > 1 << 31:
+            raise ValueError("ids must leave room for symbols: they are below 2**31")
         rules = [np.zeros(0, np.uint64)]
         while len(sequence) > 1:
             pairs, n, at, keys = _frequent(sequence[:-1], sequence[1:])
@@ -136,13 +137,20 @@ class Grammar:
 
     def ids(self) -> np.ndarray:
         """The whole sequence of ids: each rule is expanded once, then copied."""
-        first = self.base + np.cumsum(self.lengths) - self.lengths
-        flat = np.concatenate([np.arange(self.base, dtype=_U32), np.zeros(int(self.lengths.sum()), _U32)])
-        place = lambda s: np.where(s < self.base, s, np.append(first, 0)[np.maximum(s.astype(np.int64) - self.base, -1)])
+        first = np.cumsum(self.lengths) - self.lengths
+        flat = np.zeros(int(self.lengths.sum()), _U32)
+
+        def copied(symbols: np.ndarray) -> np.ndarray:
+            sizes = self.sizes(symbols)
+            at, own = np.cumsum(sizes) - sizes, symbols >= self.base
+            out = np.empty(int(sizes.sum()), _U32)
+            out[at[~own]] = symbols[~own]
+            out[_places(at[own], sizes[own])] = flat[_places(first[symbols[own] - self.base], sizes[own])]
+            return out
+
         for a, b in self._rounds():
-            both = np.stack([self.left[a:b], self.right[a:b]], axis=1).ravel()
-            flat[first[a] : first[b - 1] + self.lengths[b - 1]] = _gathered(flat, place(both), self.sizes(both))
-        return _gathered(flat, place(self.sequence), self.sizes(self.sequence))
+            flat[first[a] : first[b - 1] + self.lengths[b - 1]] = copied(np.stack([self.left[a:b], self.right[a:b]], axis=1).ravel())
+        return copied(self.sequence)
 
     def slice(self, start: int, size: int, ends: np.ndarray | None = None) -> np.ndarray:
         """``size`` ids from ``start`` on (fewer at the end): only the symbols that cover them are
@@ -152,7 +160,10 @@ class Grammar:
             return np.zeros(0, _U32)
         a, b = np.searchsorted(ends, [start, start + size - 1], side="right")
         skip = start - (int(ends[a - 1]) if a else 0)
-        symbols = self.sequence[a : b + 1]
+        return self.expand(self.sequence[a : b + 1])[skip : skip + size]
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that some symbols stand for, one level of rules after another."""
         while (own := symbols >= self.base).any():
             place = np.cumsum(own + 1) - own - 1
             wide = np.empty(len(symbols) + int(own.sum()), _U32)
@@ -160,7 +171,7 @@ class Grammar:
             rule = symbols[own] - self.base
             wide[place[own]], wide[place[own] + 1] = self.left[rule], self.right[rule]
             symbols = wide
-        return symbols[skip : skip + size]
+        return symbols
 
     def tobytes(self) -> bytes:
         """Little-endian: magic, ``base``, numbers of rules and of symbols, then left and right symbols
@@ -170,7 +181,7 @@ class Grammar:
 
     @classmethod
     def frombytes(cls, raw: bytes) -> Grammar:
-        base, rules, n = struct.unpack_from("<III", raw, 4) if raw[:4] == MAGIC else (0, 0, -1)
+        base, rules, n = struct.unpack_from("<III", raw, 4) if raw[:4] == MAGIC and len(raw) >= 16 else (0, 0, -1)
         if len(raw) != 16 + 4 * (3 * rules + n):
             raise ValueError("not a grammar, or not a whole one")
         left, right, lengths, sequence = np.split(np.frombuffer(raw, "<u4", offset=16), [rules, 2 * rules, 3 * rules])

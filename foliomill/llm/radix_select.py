@@ -71,13 +71,13 @@ def top_rows(rows: DataFrame, groups: list[str], value: str, name: str, k: int)
             (F.col("open") & (F.col("here") > F.col("need") - F.col("fewer"))).alias("open"),
         )
     # ``known`` is now the least value that is taken; open groups have more rows of it than they need.
-    state = cut(state.withColumn("prefix", F.lit(b"").cast("binary")), "radix-state")
-    limits, same = _same(groups, state.drop("need", "prefix"))
+    state = cut(state.withColumns({"prefix": F.lit(b"").cast("binary"), "whole": F.lit(False)}), "radix-state")
+    limits, same = _same(groups, state.drop("need", "prefix", "whole"))
     tied = rows.join(limits.filter("open"), same & (F.col(value) == F.col("known"))).select(*groups, item.alias("item"))
     tied = cut(tied, "radix-ties")
-    bounds = state.filter("open").select(*groups, "need", "prefix", F.lit(True).alias("open"))
+    bounds = state.filter("open").select(*groups, "need", "prefix", "whole", "open")
     while not bounds.filter("open").isEmpty():
-        going, same = _same(groups, bounds.filter("open").drop("open"))
+        going, same = _same(groups, bounds.filter("open").drop("open", "whole"))
         inside = F.substring("item", F.lit(1), F.length("prefix")) == F.col("prefix")
         met = cut(tied.join(going, same & inside).select(*groups, "item", "need"), "radix-met")
         ends = met.groupBy(*groups).agg(F.min("item").alias("a"), F.max("item").alias("b"))
@@ -87,10 +87,14 @@ def top_rows(rows: DataFrame, groups: list[str], value: str, name: str, k: int)
         histogram = met.join(ends, same).groupBy(*groups, "need", "prefix", at.alias("digit")).agg(F.count(F.lit(1)).alias("n"))
         found = _narrowed(histogram, groups, F.asc("digit"))
         before, same = _same(groups, histogram.select(*groups, "need", "prefix").distinct())
-        fresh = found.join(before, same).select(*groups, (F.col("need") - F.col("fewer")).alias("need"), F.concat("prefix", "digit").alias("prefix"), (F.col("here") > F.col("need") - F.col("fewer")).alias("open"))
+        left = F.col("need") - F.col("fewer")
+        fresh = found.join(before, same).select(
+            *groups, left.alias("need"), F.concat("prefix", "digit").alias("prefix"), (F.length("digit") < 2).alias("whole"), (F.col("here") > left).alias("open")
+        )
         bounds = cut(bounds.filter("not open").unionByName(fresh), "radix-bounds")
-    last, same_last = _same(groups, bounds.select(*groups, F.col("prefix").alias("bound")))
+    last, same_last = _same(groups, bounds.select(*groups, F.col("prefix").alias("bound"), F.col("whole").alias("exact")))
     limits, same = _same(groups, state.select(*groups, "known"))
     taken = rows.join(limits, same & (F.col(value) >= F.col("known"))).select(*rows.columns, "known").join(last, same_last, "left")
-    within = F.col("bound").isNull() | (F.substring(item, F.lit(1), F.length("bound")) <= F.col("bound"))
+    starts = ~F.col("exact") & (F.substring(item, F.lit(1), F.length("bound")) == F.col("bound"))
+    within = F.col("bound").isNull() | (item <= F.col("bound")) | starts
     return taken.filter((F.col(value) > F.col("known")) | within).select(*rows.columns)
