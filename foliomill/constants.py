@@ -104,3 +104,23 @@ HEADER_WARNING = (
 SVD_WARNING = "Heuristic — verify against the datasheet."
 SVD_DEVICE = '<device schemaVersion="1.3" xmlns:xs="http://www.w3.org/2001/XMLSchema-instance" xs:noNamespaceSchemaLocation="CMSIS-SVD.xsd">'
 # ------------------------------------------------------------------------------------------------
+
+# What a language model is told and asked.  Fixed by the prompt's format: its parts around title and text, and the mark of a cut.
+PROMPT = ("Datasheet section title: ", '\n\nSection text:\n"""\n', '\n"""\n\n')
+PROMPT_CUT = "\n...[truncated]..."
+PROMPT_CHARS = 8000
+# Our own wording.
+SYSTEM = (
+    "You explain one section of a device's documentation to developers, briefly and only by what the section says. "
+    "Names of registers and bits, and addresses, are taken from the section; none are made up."
+)
+ANSWER_SHAPE = """{"summary": "what the section is about, two to four sentences of at most 80 words in all",
+ "keywords": ["a few words to search by"],
+ "registers": [{"name": "as written", "description": "one line", "address": "such as 0x25, or empty",
+                "fields": [{"bits": "such as 7 or 3:0", "name": "as written", "access": "such as R/W, or empty", "description": "one line"}]}],
+ "code_examples": [{"title": "a few words", "language": "c, asm or python", "code": "the program text"}]}"""
+INSTRUCTIONS = (
+    "Answer with one JSON object and nothing around it. All four keys are there, in this shape:\n" + ANSWER_SHAPE + "\n"
+    "List registers and fields only where the section describes them, else an empty list. Give one short program "
+    "where the section is about something that a developer programs, else an empty list."
+)

@@ -245,13 +245,15 @@ def highlight(text: Column, terms: list[str]) -> Column:
     return text
 
 
-INSTRUCTIONS = "Answer with one JSON object with the keys summary, keywords, registers and code_examples."
+INSTRUCTIONS = K.INSTRUCTIONS
 
 
-def prompt(title: Column, text: Column, limit: int = 8000) -> Column:
+def prompt(title: Column, text: Column, limit: int = K.PROMPT_CHARS) -> Column:
+    """What a language model is asked about a section."""
     body = strip(text)
-    body = F.when(F.length(body) > limit, F.concat(F.substring(body, 1, limit), F.lit("\n...[truncated]..."))).otherwise(body)
-    return F.concat(F.lit("Datasheet section title: "), title, F.lit('\n\nSection text:\n"""\n'), body, F.lit('\n"""\n\n' + INSTRUCTIONS))
+    body = F.when(F.length(body) > limit, F.concat(F.substring(body, 1, limit), F.lit(K.PROMPT_CUT))).otherwise(body)
+    before, between, after = K.PROMPT
+    return F.concat(F.lit(before), title, F.lit(between), body, F.lit(after + K.INSTRUCTIONS))
 
 
 def chunks(c: Column, limit: int = 1200) -> Column:

@@ -3,21 +3,34 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .. import constants as K
 from ..functions.text import code_examples, registers, strip, summary
+from .calls import Policy, answers
 from .clients import cloud_available, cloud_client, local_available, local_client
 
-ENRICHMENT = (
-    "summary string, keywords array<string>, registers array<struct<name:string,description:string,address:string,"
-    "fields:array<struct<bits:string,name:string,access:string,description:string>>>>, "
-    "code_examples array<struct<title:string,language:string,code:string>>, backend string"
-)
+
+
+def _texts(*names: str) -> StructType:
+    return StructType([StructField(n, StringType()) for n in names])
+
+
+#: What a model is asked for; workers derive a JSON schema from it, without a session.
+ANSWERED = StructType([
+    StructField("summary", StringType()),
+    StructField("keywords", ArrayType(StringType())),
+    StructField("registers", ArrayType(StructType([*_texts("name", "description", "address"), StructField("fields", ArrayType(_texts("bits", "name", "access", "description")))]))),
+    StructField("code_examples", ArrayType(_texts("title", "language", "code"))),
+])
+#: An enrichment: that and where it came from.
+ENRICHMENT = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ANSWERED) + ", backend string"
 
 
 def keywords(df: DataFrame, key: str, text: str, top: int = 12) -> DataFrame:
@@ -41,27 +54,22 @@ def baseline(sections: DataFrame, key: str = "section_id", text: str = "text", b
     return out.select(key, "summary", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "registers", "code_examples", F.lit(backend).alias("backend"))
 
 
+#: A brace, or a string from its quote to the closing one (or to the end).
+_BRACE = re.compile(r'[{}]|"(?:[^"\\]|\\.)*+(?:"|\\?\Z)', re.DOTALL)
+
+
 @F.pandas_udf(StringType())
 def first_json_object(raw: pd.Series) -> pd.Series:
     """The first balanced object in a text, minding strings and escapes; null if none closes."""
 
     def find(s: str | None) -> str | None:
         at = (s or "").find("{")
-        if at < 0:
-            return None
-        depth, quoted, k = 0, False, at
-        while k < len(s):
-            c = s[k]
-            if quoted:
-                k += c == "\\"
-                quoted = c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "{}":
+        depth = 0
+        for found in _BRACE.finditer(s, at) if at >= 0 else ():
+            if (c := found[0]) in "{}":
                 depth += 1 if c == "{" else -1
                 if not depth:
-                    return s[at : k + 1]
-            k += 1
+                    return s[at : found.end()]
         return None
 
     return raw.map(find)
@@ -149,27 +157,35 @@ def available(name: str) -> bool:
     return name == "none" or (name in BACKENDS and PROBES.get(BACKENDS[name], lambda: True)())
 
 
-def enrich(sections: DataFrame, backend: str = "none", model: str | None = None, key: str = "section_id") -> DataFrame:
-    """Baseline, with a backend's answers merged on top; a failing call keeps the baseline."""
+def enrich(
+    sections: DataFrame, backend: str = "none", model: str | None = None, key: str = "section_id", policy: Policy = Policy(), partitions: int | None = None,
+) -> DataFrame:
+    """Baseline, with a backend's answers merged on top; a section whose call fails keeps its baseline.
+
+    The model is asked last, after everything is shuffled: what a task has been told goes into its
+    output at once.  With ``partitions`` rows are dealt by ``key`` into so many tasks; each makes its
+    calls as ``policy`` says.
+    """
     name = get_backend(backend)
     base = baseline(sections, key)
-    if name == "none" or name not in BACKENDS:
-        return base
+    asked = name != "none" and name in BACKENDS
+    if not asked:
+        return base if partitions is None else base.repartition(partitions, key)
     factory = BACKENDS[name]
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = factory(model)
-        for frame in frames:
-            answers = []
-            for title, text in zip(frame["title"], frame["text"]):
-                try:
-                    answers.append(client(title, text))
-                except Exception:  # the section keeps its baseline
-                    answers.append(None)
-            yield pd.DataFrame({key: frame[key], "raw": answers})
-
-    kind = dict(sections.dtypes)[key]
-    raw = sections.select(key, "title", "text").mapInPandas(ask, f"{key} {kind}, raw string")
+        for whole in batches:
+            for at in range(0, whole.num_rows, policy.ahead):
+                batch = whole.slice(at, policy.ahead)
+                titles, texts = (batch.column(c).to_pylist() for c in (1, 2))
+                told = [answer for answer, _ in answers(client, [(t or "", x or "") for t, x in zip(titles, texts)], policy)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(told, pa.string())], names=[key, "base", "raw"])
+
     packed = base.select(F.col(key).alias("__key"), F.struct(*[c for c in base.columns if c != key]).alias("base"))
-    out = raw.join(packed, raw[key] == packed["__key"]).select(key, merge_answer(F.col("raw"), F.col("base"), F.lit(name)).alias("e"))
-    return out.select(key, "e.*")
+    rows = sections.select(key, "title", "text").join(packed, F.col(key).eqNullSafe(F.col("__key"))).select(key, "title", "text", "base")
+    if partitions is not None:
+        rows = rows.repartition(partitions, key)
+    kinds = dict(rows.dtypes)
+    told = rows.mapInArrow(ask, f"`{key}` {kinds[key]}, base {kinds['base']}, raw string")
+    return told.select(key, merge_answer(F.col("raw"), F.col("base"), F.lit(name)).alias("e")).select(key, "e.*")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import sinks
 from ..functions.html import render_blocks, render_body
 from ..functions.registers import c_header, svd_document
 from ..operators import enrich as E, search as S, structure as T
+from ..operators.calls import Policy
+from ..operators.incremental import cache_key
 from ..operators.layout import page_blocks, table_note_images
 from ..operators.vectors import embed, section_chunks
+from ..sources.cache import AnswerCache
 
 
 @dataclass(frozen=True)
@@ -26,6 +31,8 @@ class Settings:
     chunk_chars: int = 1200
     max_pages: int = 0
     page_text_chars: int = 2500
+    resume: bool = True
+    calls: Policy = Policy()
 
     @classmethod
     def of(cls, tier: str, **overrides) -> Settings:
@@ -96,12 +103,38 @@ def rendered_sections(sections: DataFrame, blocks: DataFrame | None = None) -> D
     return rows.join(own, ["doc", "id"], "left").select("doc", "id", F.coalesce(F.nullif(body, F.lit("")), render_body(F.col("text"), F.col("numbers"), F.col("pages"))).alias("html"))
 
 
+def answer_cache(spark: SparkSession, path: str, buckets: int = 32) -> AnswerCache:
+    """The cache of a build's enrichments below ``path``."""
+    return AnswerCache(spark, path, E.ENRICHMENT, buckets=buckets)
+
+
+def enriched(sections: DataFrame, settings: Settings, cache: AnswerCache) -> DataFrame:
+    """Enrichments of ``sections`` (``section_id, title, text``) by way of ``cache``, keyed by backend,
+    model, title and text: only what it lacks is made, once a key, and added as it is made; all of it
+    where ``settings`` say not to resume."""
+    spark = sections.sparkSession
+    backend = E.get_backend(settings.backend)
+    if not E.available(backend):
+        warnings.warn(f"the backend {backend} can't be reached: sections that the cache lacks keep their heuristic enrichment", stacklevel=3)
+    key = cache_key(F.lit(backend), F.lit(settings.model), F.col("title"), F.col("text"))
+    keyed = sections.select("section_id", "title", "text", key.alias("cache_key"))
+    lacking = cache.lacking(keyed) if settings.resume else keyed.dropDuplicates(["cache_key"])
+    path = sinks.temporary(spark, "lacking")
+    sinks.write_table(lacking.select("cache_key", "title", "text"), path)
+    lacking = spark.read.schema("cache_key string, title string, text string").parquet(path)
+    if n := lacking.count():
+        cache.add(E.enrich(lacking, backend, settings.model, "cache_key", settings.calls, cache.tasks(n)))
+    return keyed.select("section_id", "cache_key").join(cache.read(), "cache_key").drop("cache_key")
+
+
 def build(
     outline: DataFrame, pages: DataFrame, spans: DataFrame | None = None, images: DataFrame | None = None, settings: Settings = Settings(),
-    svd: DataFrame | None = None, embedder: Callable | None = None, figures: DataFrame | None = None,
+    svd: DataFrame | None = None, embedder: Callable | None = None, figures: DataFrame | None = None, cache: AnswerCache | None = None,
 ) -> dict[str, DataFrame]:
     """All tables of a build by name; nothing runs before they are written or read, but that ``svd``
-    (register groups, see ``sources.svd``) is looked at for rows.  ``semantic`` settings add
+    (register groups, see ``sources.svd``) is looked at for rows, and that sections are enriched at once
+    where a ``cache`` (see ``answer_cache``) is given or a model is asked; the latter without a cache
+    keeps its answers for the session.  ``semantic`` settings add
     ``chunks``, and with an ``embedder`` (the factory of ``vectors.embed``) their ``vectors``.
     ``figures`` (``layout.figure_blocks``) lie among the blocks of pages that are no tables."""
     if settings.max_pages:
@@ -109,7 +142,10 @@ def build(
     counts = pages.groupBy("doc").agg((F.max("page") + 1).cast("int").alias("n_pages"))
     sections = T.attach_text(T.build_sections(outline, counts, settings.max_pages), pages)
     sections = sections.withColumn("section_id", F.concat_ws("/", "doc", "id"))
-    enrichments = E.enrich(sections.select("section_id", "title", "text"), settings.backend, settings.model)
+    if cache is None and E.get_backend(settings.backend) != "none":
+        cache = answer_cache(pages.sparkSession, sinks.temporary(pages.sparkSession, "answers"))
+    named = sections.select("section_id", "title", "text")
+    enrichments = E.enrich(named) if cache is None else enriched(named, settings, cache)
     crumbs = T.breadcrumbs(sections)
     searched = sections.join(crumbs, ["doc", "id"], "left").join(enrichments.select("section_id", "summary"), "section_id", "left")
     out = {

@@ -211,6 +211,20 @@ def json_cache(spark, sf_dir):
     return read_json_cache(spark, path, schema).union(read_json_cache(spark, f"{path}-none", schema))
 
 
+@query("""select p_partkey as section_id, (p_size % 5)::int as n, case when p_size % 5 > 0 then 'REG1_' || p_partkey end as first, case when p_size % 5 > 0 then '1:F1' end as field,
+  (p_size % 2)::int as code, 'none' as backend from part""")
+def cached_answers(spark, sf_dir):
+    """Enrichments by way of a bucketed cache, half of them from an earlier build."""
+    sections = lifted_devices(spark, sf_dir).select(F.col("section_id").cast("string"), "title", "text")
+    cache = B.answer_cache(spark, sinks.temporary(spark, "answers"), buckets=8)
+    B.enriched(sections.filter("cast(section_id as int) % 2 = 0"), B.Settings(), cache)
+    e = B.enriched(sections, B.Settings(), cache)
+    first = F.get("registers", F.lit(0))
+    field = F.get(first["fields"], F.lit(0))
+    shown = F.when(field.isNotNull(), F.concat_ws(":", field["bits"], field["name"]))
+    return e.select(F.col("section_id").cast("long").alias("section_id"), F.size("registers").alias("n"), first["name"].alias("first"), shown.alias("field"), F.size("code_examples").alias("code"), "backend")
+
+
 @query("select c_custkey, c_nationkey + 1 as c_nationkey from customer")
 def overwritten_table(spark, sf_dir):
     path, c = sinks.temporary(spark, "pages"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
