@@ -65,17 +65,38 @@ def write_vectors(vectors: DataFrame, docs: DataFrame, path: str, model: str, ke
     return n
 
 
+#: Parts of a table of page images.
+IMAGE_PARTS = 64
+
+
 def write_page_images(wanted: DataFrame, path: str, dpi: int = 120, resume: bool = True) -> None:
     """Renders what ``wanted`` (``sources.pdf.wanted_images``) names into a table of images at
-    ``path``.  With ``resume`` pages whose image is there and not empty are left as they are."""
+    ``path``.  With ``resume`` pages whose image is there and not empty are left as they are.
+
+    Images lie in ``IMAGE_PARTS`` parts by page; a part that holds empty images is written again
+    without them, in place of the old one, so that no page has two rows."""
     spark = wanted.sparkSession
-    if resume:
-        try:
-            there = spark.read.parquet(path).select(F.concat_ws("#", "doc", "image").alias("path"), F.length("bytes").alias("length"))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-        else:
-            named = wanted.withColumn("path", F.concat_ws("#", "doc", "image"))
-            wanted = missing_files(named, there).drop("path")
-    render_pages(wanted, dpi).write.mode("append" if resume else "overwrite").parquet(path)
+    in_part = F.pmod(F.xxhash64("doc", "page"), F.lit(IMAGE_PARTS)).cast("int").alias("part")
+    wanted = wanted.select("doc", "page", "image", in_part)
+    rendered = lambda rows: render_pages(rows, dpi).select("*", in_part)
+    if not resume:
+        rendered(wanted).write.mode("overwrite").partitionBy("part").parquet(path)
+        return
+    try:
+        there = spark.read.parquet(path).select("doc", "page", "image", "bytes", in_part)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        rendered(wanted).write.mode("append").partitionBy("part").parquet(path)
+        return
+    size = F.coalesce(F.length("bytes"), F.lit(0)).alias("length")
+    named = wanted.withColumn("path", F.concat_ws("#", "doc", "image"))
+    missing = missing_files(named, there.select(F.concat_ws("#", "doc", "image").alias("path"), size)).drop("path")
+    kept = temporary(spark, "missing-images")
+    write_table(missing, kept)
+    missing = spark.read.schema("doc string, page int, image string, part int").parquet(kept)
+    broken = [r["part"] for r in there.filter(size == 0).select("part").distinct().collect()]  # at most IMAGE_PARTS numbers
+    if broken:
+        whole = there.filter(F.col("part").isin(broken) & (size > 0)).unionByName(rendered(missing.filter(F.col("part").isin(broken))))
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    rendered(missing.filter(~F.col("part").isin(broken))).write.mode("append").partitionBy("part").parquet(path)

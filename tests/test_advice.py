@@ -23,3 +23,29 @@ def test_build_makes_chunks_vectors_and_svd_groups(spark):
     assert {tuple(round(x, 3) for x in r.vec) for r in out["vectors"].collect()} == {(0.6, 0.8)} and out["vectors"].count() == len(chunks)
     small = build(o, p)
     assert "chunks" not in small and "vectors" not in small
+
+
+def test_an_empty_image_is_replaced(spark, tmp_path, monkeypatch):
+    """Its row goes, and no other image is rendered again."""
+    from pyspark.sql import functions as F
+
+    from foliomill import sinks
+
+    path, calls = str(tmp_path / "images"), spark.sparkContext.accumulator(0)
+
+    def drawn(frames):
+        for f in frames:
+            calls.add(len(f))
+            yield f.assign(bytes=[b"" if p == 7 and not again.exists() else b"png" for p in f["page"]])
+
+    again = tmp_path / "again"
+    monkeypatch.setattr(sinks, "render_pages", lambda rows, dpi: rows.select("doc", "page", "image").mapInPandas(drawn, "doc string, page int, image string, bytes binary"))
+    wanted = spark.range(200).select(F.lit("d").alias("doc"), F.col("id").cast("int").alias("page"), F.concat(F.lit("page-"), "id").alias("image"))
+    sinks.write_page_images(wanted.filter("page < 150"), path)
+    assert calls.value == 150
+    again.touch()
+    sinks.write_page_images(wanted, path)
+    rows = spark.read.parquet(path).select("page", "bytes").collect()
+    assert sorted(r.page for r in rows) == list(range(200)) and {bytes(r.bytes) for r in rows} == {b"png"} and calls.value == 150 + 51
+    sinks.write_page_images(wanted, path)
+    assert spark.read.parquet(path).count() == 200 and calls.value == 201
