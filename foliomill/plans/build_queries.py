@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 
 from .. import sinks
 from ..functions import html as H, text as X
-from ..operators import enrich as E, incremental as I, layout as L, search as S, structure as T, vectors
+from ..operators import dictionary as D, enrich as E, incremental as I, layout as L, search as S, structure as T, vectors
 from ..sources.cache import append_json_cache, read_json_cache
 from . import build as B
 from .queries import _SPAN_SQL, PAGES_SQL, SEARCH_TERMS, SQL, lifted_outline, lifted_pages, lifted_registers, lifted_spans, query, table
@@ -200,6 +200,22 @@ def search_on_disk(spark, sf_dir):
     return S.search_index(spark, path, SEARCH_TERMS)
 
 
+_SEARCHED = SQL["tfidf_search"][: SQL["tfidf_search"].index("q as (select")]
+
+
+@query(_SEARCHED + """b as (select item_id as query_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[:3], ' ')), '[a-z0-9_]+')) as q from benchmark),
+sc as (select query_id, doc_id as doc, round(sum(tf * case when p.term = q then 1 else 0.5 end * ln(1 + (select count(*) from documents) / df::double)), 6) as score
+       from b join post p on length(q) > 1 and starts_with(p.term, q) join df on df.term = p.term group by 1, 2),
+r as (select *, row_number() over (partition by query_id order by score desc, doc) as rank from sc)
+select query_id, rank::int as rank, doc, score from r where rank <= 40""")
+def searched_passages(spark, sf_dir):
+    """The first words of every benchmark passage as a query, by a dictionary and blocks that are skipped."""
+    docs, path = table(spark, sf_dir, "documents"), sinks.temporary(spark, "index")
+    sinks.write_index(S.postings(docs, "doc_id", (("text", 1),)), docs.select("doc_id"), path)
+    words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    return D.search_table(spark, path, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("query")))
+
+
 @query("""select c_custkey as key, c_name as title, (c_custkey % 3)::int as n from customer union all select c_custkey, 'again', 7 from customer where c_nationkey < 5""")
 def json_cache(spark, sf_dir):
     """A cache written twice, with a broken line in between, and one that is not there."""

@@ -7,7 +7,9 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from .operators.dictionary import dictionary, posting_blocks
 from .operators.incremental import missing_files
 from .sources.pdf import render_pages
 
@@ -40,9 +42,19 @@ def write_table(df: DataFrame, path: str, sort: str | None = None) -> None:
 
 
 def write_index(postings: DataFrame, docs: DataFrame, path: str) -> None:
-    """Index as two tables, postings sorted by term so that prefix filters skip row groups."""
+    """Index as tables: ``postings`` sorted by term so that prefix filters skip row groups, ``docs``, and
+    for tables of queries (see ``operators.dictionary``) ``terms``, ``blocks`` and ``about``."""
+    spark = postings.sparkSession
     write_table(postings, f"{path}/postings", "term")
     write_table(docs, f"{path}/docs")
+    blocks = posting_blocks(spark.read.schema(postings.schema).parquet(f"{path}/postings"))
+    blocks = blocks.repartitionByRange("part", "term", "no").sortWithinPartitions("part", "term", "no")
+    blocks.write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks")
+    kind = StructType([*(f for f in blocks.schema if f.name != "part"), StructField("part", IntegerType())])
+    terms = dictionary(spark.read.schema(kind).parquet(f"{path}/blocks"))
+    terms.repartitionByRange("key", "term").sortWithinPartitions("key", "term").write.mode("overwrite").parquet(f"{path}/terms")
+    n = spark.read.schema(docs.schema).parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("n_docs"))
+    write_table(n, f"{path}/about")
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
