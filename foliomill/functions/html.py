@@ -1,13 +1,14 @@
 """Rendering of blocks and cross references to HTML, as column expressions.
 
-``numbers`` maps section numbers to section ids and ``pages`` 0-based pages to section ids."""
+``numbers`` maps section numbers to section ids and ``pages`` 0-based pages to section ids; where there
+are many, ``operators.links`` resolves references by joins instead."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 from .. import constants as K
-from .text import escape, lines, strip
+from .text import escape, lines, paragraphs, strip
 
 
 def number_target(numbers: Column, number: Column) -> Column:
@@ -17,15 +18,18 @@ def number_target(numbers: Column, number: Column) -> Column:
     return F.get(F.filter(F.transform(prefixes, lambda p: F.try_element_at(numbers, p)), lambda x: x.isNotNull()), F.lit(0))
 
 
+def link(target: Column, label: Column, root: str = "") -> Column:
+    """A link to a section; null without one."""
+    return F.concat(F.lit(f'<a class="xref" href="{root}sections/'), escape(target), F.lit('.html">'), label, F.lit("</a>"))
+
+
 def _substitute(text: Column, pattern: str, target, root: str) -> Column:
     gaps = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
     def piece(label: Column, i: Column) -> Column:
-        to = target(F.get(inner, i))
-        link = F.concat(F.lit(f'<a class="xref" href="{root}sections/'), escape(to), F.lit('.html">'), label, F.lit("</a>"))
-        return F.concat(F.coalesce(link, label), F.get(gaps, i + 1))
+        return F.concat(F.coalesce(link(target(F.get(inner, i)), label, root), label), F.get(gaps, i + 1))
 
     return F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(whole, piece), ""))
 
@@ -36,10 +40,12 @@ def linkify(text: Column, numbers: Column, pages: Column, root: str = "") -> Col
     return _substitute(out, K.PAGE_REF, lambda n: F.try_element_at(pages, n.try_cast("int") - 1), root)
 
 
+def bold(html: Column) -> Column:
+    return F.replace(F.replace(html, F.lit(K.BOLD_START), F.lit("<strong>")), F.lit(K.BOLD_END), F.lit("</strong>"))
+
+
 def inline(text: Column, numbers: Column, pages: Column, root: str = "") -> Column:
-    out = linkify(text, numbers, pages, root)
-    out = F.replace(out, F.lit(K.BOLD_START), F.lit("<strong>"))
-    return F.replace(out, F.lit(K.BOLD_END), F.lit("</strong>"))
+    return bold(linkify(text, numbers, pages, root))
 
 
 def codefold(text: Column, summary: Column, kind: str) -> Column:
@@ -58,36 +64,38 @@ def codefold(text: Column, summary: Column, kind: str) -> Column:
     return F.when(body == "", "").otherwise(made)
 
 
-def render_blocks(blocks: Column, numbers: Column, pages: Column, root: str = "") -> Column:
-    """HTML of an array of ``kind, text, level, items, image_rel, summary, page``."""
+def block_html(b: Column, text: Column, items: Column, root: str = "") -> Column:
+    """HTML of a block ``kind, text, level, image_rel, summary, page``, with its text and items as linked."""
+    tag = F.when(b["level"] == 2, "h4").when(b["level"] == 4, "h6").otherwise("h5")
+    text = bold(text)
+    items = F.array_join(F.transform(items, lambda i: F.concat(F.lit("<li>"), bold(i), F.lit("</li>"))), "")
+    page = (b["page"] + 1).cast("string")
+    image = F.coalesce(b["image_rel"], F.lit(""))
+    picture = F.concat(F.lit(f'<figure class="dsfig"><img loading="lazy" src="{root}'), escape(image), F.lit('" alt="Figure from page '), page, F.lit('"></figure>'))
+    fold = codefold(b["text"], F.lit("Text in figure"), "fig")
+    named = F.concat(F.lit("image of page "), page)
+    note = F.when(image != "", F.concat(F.lit(f'<a href="{root}'), escape(image), F.lit('" target="_blank" rel="noopener">'), named, F.lit("</a>"))).otherwise(named)
+    return (
+        F.when(b["kind"] == "heading", F.concat(F.lit("<"), tag, F.lit(' class="fmt-h">'), text, F.lit("</"), tag, F.lit(">")))
+        .when(b["kind"] == "list", F.concat(F.lit('<ul class="fmt-list">'), items, F.lit("</ul>")))
+        .when(b["kind"] == "figure", F.when(fold == "", picture).otherwise(F.concat(picture, F.lit("\n"), fold)))
+        .when(b["kind"] == "codefold", codefold(b["text"], b["summary"], "table"))
+        .when(b["kind"] == "table_note", F.concat(F.lit('<p class="tablenote">Detected table — see '), note, F.lit(".</p>")))
+        .when(strip(text) != "", F.concat(F.lit("<p>"), text, F.lit("</p>")))
+        .otherwise("")
+    )
 
-    def one(b: Column) -> Column:
-        tag = F.when(b["level"] == 2, "h4").when(b["level"] == 4, "h6").otherwise("h5")
-        text = inline(b["text"], numbers, pages, root)
-        items = F.array_join(F.transform(b["items"], lambda i: F.concat(F.lit("<li>"), inline(i, numbers, pages, root), F.lit("</li>"))), "")
-        page = (b["page"] + 1).cast("string")
-        image = F.coalesce(b["image_rel"], F.lit(""))
-        picture = F.concat(F.lit(f'<figure class="dsfig"><img loading="lazy" src="{root}'), escape(image), F.lit('" alt="Figure from page '), page, F.lit('"></figure>'))
-        fold = codefold(b["text"], F.lit("Text in figure"), "fig")
-        named = F.concat(F.lit("image of page "), page)
-        note = F.when(image != "", F.concat(F.lit(f'<a href="{root}'), escape(image), F.lit('" target="_blank" rel="noopener">'), named, F.lit("</a>"))).otherwise(named)
-        return (
-            F.when(b["kind"] == "heading", F.concat(F.lit("<"), tag, F.lit(' class="fmt-h">'), text, F.lit("</"), tag, F.lit(">")))
-            .when(b["kind"] == "list", F.concat(F.lit('<ul class="fmt-list">'), items, F.lit("</ul>")))
-            .when(b["kind"] == "figure", F.when(fold == "", picture).otherwise(F.concat(picture, F.lit("\n"), fold)))
-            .when(b["kind"] == "codefold", codefold(b["text"], b["summary"], "table"))
-            .when(b["kind"] == "table_note", F.concat(F.lit('<p class="tablenote">Detected table — see '), note, F.lit(".</p>")))
-            .when(strip(text) != "", F.concat(F.lit("<p>"), text, F.lit("</p>")))
-            .otherwise("")
-        )
 
+def render_blocks(blocks: Column, numbers: Column, pages: Column, root: str = "") -> Column:
+    """HTML of an array of ``kind, text, level, items, image_rel, summary, page``."""
+    linked = lambda text: linkify(text, numbers, pages, root)
+    one = lambda b: block_html(b, linked(b["text"]), F.transform(b["items"], linked), root)
     return F.array_join(F.filter(F.transform(blocks, one), lambda x: x != ""), "\n")
 
 
 def render_body(text: Column, numbers: Column, pages: Column, root: str = "") -> Column:
     """Paragraphs of raw section text."""
-    parts = F.filter(F.transform(F.split(text, K.BLANK_LINE), strip), lambda x: x != "")
-    made = F.transform(parts, lambda p: F.concat(F.lit("<p>"), F.replace(linkify(p, numbers, pages, root), F.lit("\n"), F.lit("<br>")), F.lit("</p>")))
+    made = F.transform(paragraphs(text), lambda p: F.concat(F.lit("<p>"), F.replace(linkify(p, numbers, pages, root), F.lit("\n"), F.lit("<br>")), F.lit("</p>")))
     return F.when(strip(text) == "", K.EMPTY_BODY).otherwise(F.array_join(made, "\n"))
 
 

@@ -245,6 +245,11 @@ def highlight(text: Column, terms: list[str]) -> Column:
     return text
 
 
+def paragraphs(text: Column) -> Column:
+    """Parts of a text between blank lines, those that aren't blank."""
+    return F.filter(F.transform(F.split(text, K.BLANK_LINE), strip), lambda x: x != "")
+
+
 INSTRUCTIONS = K.INSTRUCTIONS
 
 

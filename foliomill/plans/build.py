@@ -9,9 +9,8 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import sinks
-from ..functions.html import render_blocks, render_body
 from ..functions.registers import c_header, svd_document
-from ..operators import enrich as E, search as S, structure as T
+from ..operators import enrich as E, links as L, search as S, structure as T
 from ..operators.calls import Policy
 from ..operators.incremental import cache_key
 from ..operators.layout import page_blocks, table_note_images
@@ -93,14 +92,11 @@ def exports(groups: DataFrame, device: str | Column, source: str | Column, by: s
 
 def rendered_sections(sections: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """``doc, id, html``: blocks where there are some, else the raw text as paragraphs."""
-    maps = T.lookup_maps(sections)
-    rows = sections.join(maps, "doc")
+    raw = L.bodies(sections)
     if blocks is None:
-        return rows.select("doc", "id", render_body(F.col("text"), F.col("numbers"), F.col("pages")).alias("html"))
-    spans = T.section_pages(sections, ["id"]).join(blocks, ["doc", "page"])
-    own = spans.groupBy("doc", "id").agg(F.array_sort(F.collect_list(F.struct("page", "at", "kind", "text", "level", "items", "image_rel", "summary"))).alias("blocks"))
-    body = render_blocks(F.col("blocks"), F.col("numbers"), F.col("pages"))
-    return rows.join(own, ["doc", "id"], "left").select("doc", "id", F.coalesce(F.nullif(body, F.lit("")), render_body(F.col("text"), F.col("numbers"), F.col("pages"))).alias("html"))
+        return raw
+    own = L.block_bodies(sections, blocks).select("doc", "id", F.col("html").alias("own"))
+    return raw.join(own, ["doc", "id"], "left").select("doc", "id", F.coalesce("own", "html").alias("html"))
 
 
 def answer_cache(spark: SparkSession, path: str, buckets: int = 32) -> AnswerCache:

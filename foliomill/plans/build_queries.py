@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 
 from .. import sinks
 from ..functions import html as H, text as X
-from ..operators import dictionary as D, enrich as E, incremental as I, layout as L, search as S, structure as T, vectors
+from ..operators import dictionary as D, enrich as E, incremental as I, layout as L, links as K, search as S, structure as T, vectors
 from ..sources.cache import append_json_cache, read_json_cache
 from . import build as B
 from .queries import _SPAN_SQL, PAGES_SQL, SEARCH_TERMS, SQL, lifted_outline, lifted_pages, lifted_registers, lifted_spans, query, table
@@ -165,6 +165,33 @@ def rendered_blocks(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", H.render_blocks(F.array(block), numbers, pages).alias("html"))
 
 
+_ESC = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(f"""
+with t as (select doc_id, doc_id % 9 as doc, unnest(string_split(coalesce(text, ''), ' ')) as w, generate_subscripts(string_split(coalesce(text, ''), ' '), 1) as k from documents),
+u as (select *, case length(w) % 7 when 1 then 'section' when 2 then 'page' end as kind,
+             case length(w) % 7 when 1 then (doc + k % 4) || '.' || (k % 5) when 2 then cast(1 + k % 30 as varchar) end as ref from t),
+s as (select doc_id % 9 as d, doc_id // 9 as nth, 'S' || doc_id as sid, case when doc_id // 9 < 3 then (doc_id % 9 + 1) || '.' || (doc_id // 9) else cast(doc_id % 9 + 2 as varchar) end as num from documents where doc_id // 9 < 4),
+v as (select u.*, case kind when 'section' then coalesce(a.sid, b.sid) when 'page' then c.sid end as target from u
+      left join s a on kind = 'section' and a.d = doc and a.num = ref
+      left join s b on kind = 'section' and b.d = doc and b.num = split_part(ref, '.', 1)
+      left join s c on kind = 'page' and c.d = doc and c.nth = (k % 30) // 6)
+select doc_id, string_agg({_ESC('w')} || case when kind is null then '' else ' ' ||
+    case when target is null then '' else '<a class="xref" href="sections/' || target || '.html">' end || case kind when 'section' then 'see Section ' else 'pages ' end || ref || case when target is null then '' else '</a>' end || '!' end, ' ' order by k) as html
+from v group by doc_id""")
+def linked_documents(spark, sf_dir):
+    """Whole documents with references strewn in by the length of each word; a ninth of the documents share
+    sections, of which the first three have numbers of two parts and the fourth a number of one, with six
+    pages each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 9).alias("doc"), F.expr("doc_id div 9").alias("nth"), F.coalesce("text", F.lit("")).alias("text"))
+    number = F.expr("if(nth < 3, concat(doc + 1, '.', nth), cast(doc + 2 as string))").alias("number")
+    sections = docs.filter("nth < 4").select("doc", F.concat(F.lit("S"), "doc_id").alias("id"), F.col("nth").alias("ord"), F.lit(1).alias("level"), number, (F.col("nth") * 6).alias("start_page"), (F.col("nth") * 6 + 5).alias("end_page"))
+    word = "concat(w, case length(w) % 7 when 1 then concat(' see Section ', doc + (k + 1) % 4, '.', (k + 1) % 5, '!') when 2 then concat(' pages ', 1 + (k + 1) % 30, '!') else '' end)"
+    texts = docs.select("doc_id", "doc", F.expr(f"array_join(transform(split(text, ' ', -1), (w, k) -> {word}), ' ')").alias("text"))
+    return K.linked(texts, sections, ["doc", "doc_id"]).select("doc_id", "html")
+
+
 @query("""select p_brand as doc, p_partkey::int as page, 10.0::double as gap_top, (100 + p_size)::double as gap_bottom from part where not (p_size % 4 = 0) and 90 + p_size >= 96""")
 def gaps_beside_images(spark, sf_dir):
     """Gaps of pages with 800 units of height, of which every fourth has an image in the gap."""
