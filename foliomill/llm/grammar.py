@@ -23,6 +23,8 @@ LEAST = 8
 SHARE, GAIN = 32, 50
 #: Bits of the table of hashed counts.
 TABLE_BITS = 18
+#: Up to so many symbols a table tells which ones rules have.
+MARKED = 1 << 22
 MAGIC = b"FMG1"
 
 _U32, _HALF = np.uint32, np.uint64(0xFFFFFFFF)
@@ -66,12 +68,6 @@ def _every_second(places: np.ndarray) -> np.ndarray:
     return (np.arange(len(places)) - np.maximum.accumulate(np.where(start, np.arange(len(places)), 0))) % 2 == 0
 
 
-def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """``first, ..., first + size - 1`` for each row, in a row."""
-    ends = np.cumsum(size)
-    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 @dataclass
 class Grammar:
     """``sequence`` of symbols; symbol ``base + k`` stands for ``left[k], right[k]`` and expands to
@@ -95,6 +91,11 @@ class Grammar:
             if not len(pairs):
                 break
             chosen = _compatible(pairs[np.argsort(-n, kind="stable")].tolist())
+            if new <= MARKED:  # only where both symbols are those of rules is a rule looked for
+                sides = np.zeros((2, new), bool)
+                sides[0, (chosen >> np.uint64(32)).astype(_U32)] = sides[1, (chosen & _HALF).astype(_U32)] = True
+                likely = np.flatnonzero(sides[0][sequence[at]] & sides[1][sequence[at + 1]])
+                at, keys = at[likely], keys[likely]
             rule = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
             hit = chosen[rule] == keys
             at, rule = at[hit], rule[hit]
@@ -141,12 +142,12 @@ class Grammar:
         flat = np.zeros(int(self.lengths.sum()), _U32)
 
         def copied(symbols: np.ndarray) -> np.ndarray:
-            sizes = self.sizes(symbols)
-            at, own = np.cumsum(sizes) - sizes, symbols >= self.base
-            out = np.empty(int(sizes.sum()), _U32)
-            out[at[~own]] = symbols[~own]
-            out[_places(at[own], sizes[own])] = flat[_places(first[symbols[own] - self.base], sizes[own])]
-            return out
+            own = np.flatnonzero(symbols >= self.base)
+            rule = symbols[own] - self.base
+            source, sizes = np.arange(len(flat), len(flat) + len(symbols)), np.ones(len(symbols), np.int64)
+            source[own], sizes[own] = first[rule], self.lengths[rule]
+            ends = np.cumsum(sizes)
+            return np.concatenate([flat, symbols])[np.repeat(source - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
         for a, b in self._rounds():
             flat[first[a] : first[b - 1] + self.lengths[b - 1]] = copied(np.stack([self.left[a:b], self.right[a:b]], axis=1).ravel())
