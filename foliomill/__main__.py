@@ -19,9 +19,7 @@ from .sources.svd import read_svd
 
 def tables(spark: SparkSession, path: str, max_pages: int = 0) -> dict[str, DataFrame]:
     """The tables of some PDF files."""
-    spark.dataSource.register(P.PdfSource)
-    reader = spark.read.format("folio_pdf").option("max_pages", max_pages)
-    return {name: reader.option("table", name).load(path) for name in P.TABLES}
+    return {name: P.read_pdf(spark, path, name, max_pages) for name in P.TABLES}
 
 
 def info(spark: SparkSession, path: str, limit: int = 60) -> list[str]:
@@ -43,10 +41,10 @@ def build_all(
     shown = None
     if images:
         shown = P.wanted_images(pdf["pages"])
-        sinks.write_page_images(shown, f"{out}/images", settings.dpi, settings.resume)
+        sinks.write_page_images(shown, f"{out}/images", settings.dpi, settings.resume, path)
     gaps = L.vertical_gaps(L.text_blocks(pdf["spans"]), pdf["pages"], pdf["figures"])
     single = L.single_column(L.text_blocks(pdf["spans"])).filter("single_column").select("doc", "page")
-    crops = P.crop_gaps(gaps.join(single, ["doc", "page"], "left_semi"))
+    crops = P.crop_gaps(gaps.join(single, ["doc", "page"], "left_semi"), path=path)
     sinks.write_table(crops, f"{out}/scan/crops")  # each gap is rendered once
     crops = spark.read.schema(crops.schema).parquet(f"{out}/scan/crops")
     large = L.large_images(pdf["figures"])

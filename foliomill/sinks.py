@@ -81,16 +81,17 @@ def write_vectors(vectors: DataFrame, docs: DataFrame, path: str, model: str, ke
 IMAGE_PARTS = 64
 
 
-def write_page_images(wanted: DataFrame, path: str, dpi: int = 120, resume: bool = True) -> None:
+def write_page_images(wanted: DataFrame, path: str, dpi: int = 120, resume: bool = True, source: str | None = None) -> None:
     """Renders what ``wanted`` (``sources.pdf.wanted_images``) names into a table of images at
     ``path``.  With ``resume`` pages whose image is there and not empty are left as they are.
 
     Images lie in ``IMAGE_PARTS`` parts by page; a part that holds empty images is written again
-    without them, in place of the old one, so that no page has two rows."""
+    without them, in place of the old one, so that no page has two rows.  ``source`` is where Spark finds
+    the files; without it executors open them."""
     spark = wanted.sparkSession
     in_part = F.pmod(F.xxhash64("doc", "page"), F.lit(IMAGE_PARTS)).cast("int").alias("part")
     wanted = wanted.select("doc", "page", "image", in_part)
-    rendered = lambda rows: render_pages(rows, dpi).select("*", in_part)
+    rendered = lambda rows: render_pages(rows, dpi, source).select("*", in_part)
     if not resume:
         rendered(wanted).write.mode("overwrite").partitionBy("part").parquet(path)
         return

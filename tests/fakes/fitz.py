@@ -1,6 +1,8 @@
 """A stand-in for the decoder: documents are JSON files."""
 
 import json
+import uuid
+from pathlib import Path
 
 
 class Rect:
@@ -45,9 +47,12 @@ class Page:
 
 
 class open:  # noqa: A001
-    def __init__(self, path):
-        with __builtins__["open"](path) if isinstance(__builtins__, dict) else __builtins__.open(path) as f:
-            self.raw = json.load(f)
+    def __init__(self, path=None, stream=None, filetype=None):
+        if stream is not None:
+            self.raw = json.loads(bytes(stream))
+        else:
+            with __builtins__["open"](path) if isinstance(__builtins__, dict) else __builtins__.open(path) as f:
+                self.raw = json.load(f)
         self.metadata = self.raw.get("metadata")
 
     def __enter__(self):
@@ -60,6 +65,8 @@ class open:  # noqa: A001
         return len(self.raw["pages"])
 
     def __getitem__(self, n):
+        if "seen" in self.raw:  # pages that were decoded leave a file
+            Path(self.raw["seen"], f"{n}-{uuid.uuid4().hex}").touch()
         return Page(self.raw["pages"][n])
 
     def get_toc(self, simple):

@@ -39,7 +39,7 @@ def test_an_empty_image_is_replaced(spark, tmp_path, monkeypatch):
             yield f.assign(bytes=[b"" if p == 7 and not again.exists() else b"png" for p in f["page"]])
 
     again = tmp_path / "again"
-    monkeypatch.setattr(sinks, "render_pages", lambda rows, dpi: rows.select("doc", "page", "image").mapInPandas(drawn, "doc string, page int, image string, bytes binary"))
+    monkeypatch.setattr(sinks, "render_pages", lambda rows, dpi, source: rows.select("doc", "page", "image").mapInPandas(drawn, "doc string, page int, image string, bytes binary"))
     wanted = spark.range(200).select(F.lit("d").alias("doc"), F.col("id").cast("int").alias("page"), F.concat(F.lit("page-"), "id").alias("image"))
     sinks.write_page_images(wanted.filter("page < 150"), path)
     assert calls.value == 150

@@ -177,3 +177,53 @@ def test_commands(spark, folder, capsys):
     assert {(r.image_rel, bytes(r.bytes)) for r in read("figures").collect()} == {("figures/fig-p0001-4.jpeg", b"JPEG")}
     with pytest.raises(SystemExit):
         main(["nothing"])
+
+
+def long_file(folder, n=40):
+    (folder / "seen").mkdir()
+    raw = {"metadata": {"title": "Long"}, "toc": [[1, "One", 1]], "seen": str(folder / "seen"), "pages": [{"text": f"page {k}", "blocks": [block(20, f"text {k}")]} for k in range(n)]}
+    (folder / "long.pdf").write_text(json.dumps(raw))
+    return lambda: sorted(int(p.name.split("-")[0]) for p in (folder / "seen").iterdir())
+
+
+def test_filters_reach_the_decoder(spark, folder):
+    seen = long_file(folder)
+    load = lambda: P.source_reader(spark).option("table", "pages").load(f"{folder}/*.pdf")
+    assert sorted((r.page, r.text) for r in load().filter("page < 3 and doc = '" + f"{folder}/long.pdf'").collect()) == [(k, f"page {k}") for k in range(3)]
+    assert seen() == [0, 1, 2]
+    assert {r.text for r in load().filter("page >= 38").union(load().filter("page = 2")).collect()} == {"page 38", "page 39", "third", "page 2"}
+    assert seen() == [0, 1, 2, 2, 38, 39]
+    assert load().filter(F.col("doc").startswith(f"{folder}/o") & (F.col("text") != "first")).count() == 2 and load().filter("page > 5 and page <= 5").count() == 0 and len(seen()) == 6
+    links = lambda: P.source_reader(spark).option("table", "links").load(f"{folder}/one.pdf")
+    assert links().filter("src_page = 0 and dest_page = 2").count() == 1 and links().filter("src_page > 0").count() == 0
+
+
+def test_a_long_file_spreads_over_tasks(spark, folder):
+    seen = long_file(folder)
+    size = (folder / "long.pdf").stat().st_size
+    for df in (
+        P.source_reader(spark).option("table", "spans").option("split_bytes", size // 4).load(f"{folder}/long.pdf"),
+        P.read_pdf(spark, f"{folder}/long.pdf", "spans", split_bytes=size // 4),
+    ):
+        rows = df.withColumn("task", F.spark_partition_id()).collect()
+        assert sorted(r.page for r in rows) == list(range(40)) and len({r.task for r in rows}) > 1
+    assert seen() == sorted([*range(40)] * 2)
+    assert P.read_pdf(spark, f"{folder}/long.pdf", "pages", 7, size // 4).count() == 7
+    assert P.PdfReader({"path": f"{folder}/long.pdf", "table": "docs", "split_bytes": "10"}).partitions()[0].parts == 1
+
+
+def test_files_on_any_file_system(spark, folder):
+    """By a path that only Spark's readers can open."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.pdfs.link./in", f"file://{folder}")
+    where = "viewfs://pdfs/in/*.pdf"
+    docs = {Path(r.doc).name: (r.title, r.n_pages) for r in P.read_pdf(spark, where, "docs").collect()}
+    assert docs == {"one.pdf": ("The Title", 3), "two.pdf": ("two", 1)}
+    for name in P.TABLES:
+        mine = sorted(map(str, P.read_pdf(spark, where, name).drop("doc").collect()))
+        assert mine == sorted(map(str, read(spark, folder, name).drop("doc").collect())), name
+    wanted = P.wanted_images(P.read_pdf(spark, where, "pages"))
+    sinks.write_page_images(wanted, str(folder / "images"), 72, source=where)
+    shown = {(Path(r.doc).name, r.image, bytes(r.bytes)) for r in spark.read.parquet(str(folder / "images")).collect()}
+    assert shown == {("one.pdf", f"page-000{k + 1}.png", b"png:%s@1.00" % t) for k, t in enumerate((b"first", b"second", b"third"))} | {("two.pdf", "page-0001.png", b"png:only@1.00")}
+    gap = spark.createDataFrame([(f"viewfs://pdfs/in/one.pdf", 0, 110.0, 500.0)], "doc string, page int, gap_top double, gap_bottom double")
+    assert P.crop_gaps(gap, path=where).first().bytes.startswith(b"png:first")
