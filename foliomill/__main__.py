@@ -56,7 +56,7 @@ def build_all(
     postings, docs = made.pop("postings"), made.pop("search_docs")
     sinks.write_index(postings, docs, f"{out}/index")
     for name, table in made.items():
-        sinks.write_table(table, f"{out}/{name}")
+        (sinks.write_exports if name.startswith("export_") else sinks.write_table)(table, f"{out}/{name}")
     return [*made, "index", "figures", *["images"] * images]
 
 

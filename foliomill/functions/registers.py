@@ -98,8 +98,8 @@ def header_lines(reg: Column) -> Column:
     return F.concat(F.array(title), at, F.flatten(F.transform(known, field)), F.array(F.lit("")))
 
 
-def c_header(groups: Column, device: Column, source: Column) -> Column:
-    """C header of an array of ``title, registers``; empty if there is no register."""
+def header_frame(device: Column, source: Column) -> tuple[Column, Column]:
+    """Lines of a C header before and after its groups."""
     guard = F.concat(ident(device), F.lit("_H"))
     head = F.array(
         F.concat(F.lit("/* "), device, F.lit(" register definitions, generated from "), source, F.lit(".")),
@@ -107,11 +107,17 @@ def c_header(groups: Column, device: Column, source: Column) -> Column:
         F.concat(F.lit("#ifndef "), guard), F.concat(F.lit("#define "), guard),
         F.lit(""), F.lit("#include <stdint.h>"), F.lit(""),
     )
-    body = F.flatten(F.transform(groups, lambda g: F.concat(
-        F.array(F.concat(F.lit("/* ===== "), F.coalesce(g["title"], F.lit("")), F.lit(" ===== */"))),
-        F.flatten(F.transform(g["registers"], header_lines)),
-    )))
-    tail = F.array(F.concat(F.lit("#endif /* "), guard, F.lit(" */")))
+    return head, F.array(F.concat(F.lit("#endif /* "), guard, F.lit(" */")))
+
+
+def header_title(title: Column) -> Column:
+    return F.concat(F.lit("/* ===== "), F.coalesce(title, F.lit("")), F.lit(" ===== */"))
+
+
+def c_header(groups: Column, device: Column, source: Column) -> Column:
+    """C header of an array of ``title, registers``; empty if there is no register."""
+    head, tail = header_frame(device, source)
+    body = F.flatten(F.transform(groups, lambda g: F.concat(F.array(header_title(g["title"])), F.flatten(F.transform(g["registers"], header_lines)))))
     some = F.exists(groups, lambda g: F.size(g["registers"]) > 0)
     return F.when(some, F.concat(F.array_join(F.concat(head, body, tail), "\n"), F.lit("\n"))).otherwise("")
 
@@ -173,21 +179,34 @@ def svd_register_xml(r: Column) -> Column:
     ))
 
 
+def svd_frame(device: Column, source: Column) -> tuple[Column, Column]:
+    """A CMSIS-SVD document before and after its peripherals, without the newlines between."""
+    name = escape(ident(device, upper=False))
+    head = F.concat(
+        F.lit('<?xml version="1.0" encoding="utf-8"?>\n<!-- Generated from '), escape(source),
+        F.lit(f". {K.SVD_WARNING} -->\n{K.SVD_DEVICE}\n  <name>"),
+        name, F.lit("</name>\n  <version>1.0</version>\n  <description>"), name,
+        F.lit(" (generated)</description>\n  <addressUnitBits>8</addressUnitBits>\n  <width>32</width>\n  <size>32</size>\n  <peripherals>"),
+    )
+    return head, F.lit("  </peripherals>\n</device>")
+
+
+PERIPHERAL_TAIL = "      </registers>\n    </peripheral>"
+
+
+def peripheral_head(title: Column) -> Column:
+    return F.concat(
+        F.lit("    <peripheral>\n      <name>"), escape(ident(F.coalesce(F.nullif(title, F.lit("")), F.lit("PERIPH")), upper=False)),
+        F.lit("</name>\n      <baseAddress>0x0</baseAddress>\n      <registers>"),
+    )
+
+
 def svd_document(groups: Column, device: Column, source: Column) -> Column:
     """CMSIS-SVD of an array of ``title, registers``; null without any addressed register."""
     def peripheral(g: Column) -> Column:
         regs = F.filter(F.transform(g["registers"], svd_register_xml), lambda x: x.isNotNull())
-        return F.when(F.size(regs) > 0, F.concat(
-            F.lit("    <peripheral>\n      <name>"), escape(ident(F.coalesce(F.nullif(g["title"], F.lit("")), F.lit("PERIPH")), upper=False)),
-            F.lit("</name>\n      <baseAddress>0x0</baseAddress>\n      <registers>\n"), F.array_join(regs, "\n"), F.lit("\n      </registers>\n    </peripheral>"),
-        ))
+        return F.when(F.size(regs) > 0, F.concat_ws("\n", peripheral_head(g["title"]), F.array_join(regs, "\n"), F.lit(PERIPHERAL_TAIL)))
 
     made = F.filter(F.transform(groups, peripheral), lambda x: x.isNotNull())
-    name = escape(ident(device, upper=False))
-    return F.when(F.size(made) > 0, F.concat(
-        F.lit('<?xml version="1.0" encoding="utf-8"?>\n<!-- Generated from '), escape(source),
-        F.lit(f". {K.SVD_WARNING} -->\n{K.SVD_DEVICE}\n  <name>"),
-        name, F.lit("</name>\n  <version>1.0</version>\n  <description>"), name,
-        F.lit(" (generated)</description>\n  <addressUnitBits>8</addressUnitBits>\n  <width>32</width>\n  <size>32</size>\n  <peripherals>\n"),
-        F.array_join(made, "\n"), F.lit("\n  </peripherals>\n</device>\n"),
-    ))
+    head, tail = svd_frame(device, source)
+    return F.when(F.size(made) > 0, F.concat(head, F.lit("\n"), F.array_join(made, "\n"), F.lit("\n"), tail, F.lit("\n")))

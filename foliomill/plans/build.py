@@ -9,6 +9,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import sinks
+from ..functions import registers as R
 from ..functions.registers import c_header, svd_document
 from ..operators import enrich as E, links as L, search as S, structure as T
 from ..operators.calls import Policy
@@ -62,10 +63,10 @@ def register_map(sections: DataFrame, enrichments: DataFrame, svd: DataFrame | N
     if svd is not None and not svd.isEmpty():
         from ..functions.text import slug
 
-        return svd.select(slug("title").alias("id"), "title", F.lit("").alias("number"), F.lit("").alias("url"), "registers", F.lit("svd").alias("register_source"))
+        return svd.select(F.lit("device").alias("doc"), slug("title").alias("id"), "title", F.lit("").alias("number"), F.lit("").alias("url"), "registers", F.lit("svd").alias("register_source"))
     rows = sections.join(enrichments, "section_id").filter("size(registers) > 0")
     return rows.select(
-        F.col("id"), T.short_title(F.col("title"), F.col("number")).alias("title"), "number",
+        "doc", F.col("id"), T.short_title(F.col("title"), F.col("number")).alias("title"), "number",
         F.concat(F.lit("sections/"), "id", F.lit(".html")).alias("url"), "registers", F.lit("heuristic").alias("register_source"),
     )
 
@@ -90,6 +91,38 @@ def exports(groups: DataFrame, device: str | Column, source: str | Column, by: s
     return packed.select(*[by] * bool(by), c_header(items, *of).alias("c_header"), svd_document(items, *of).alias("svd"))
 
 
+def export_pieces(groups: DataFrame, kind: str, device: str | Column, source: str | Column, by: str = "doc") -> DataFrame:
+    """``by, place, text``: C headers (``kind`` "c") or CMSIS-SVD documents ("svd") of the devices of column
+    ``by``, in pieces: a device's file is its texts in order of ``place``, each with a newline at the end.
+
+    One piece for each register, so that no row holds a device's; a device without registers (with an
+    address, in SVD) has none.  ``sinks.write_exports`` makes files of them.
+    """
+    of = [x if isinstance(x, Column) else F.lit(x) for x in (device, source)]
+    element = R.header_lines if kind == "c" else R.svd_register_xml
+    place = lambda part, at: F.struct(F.lit(part).alias("part"), *([F.col("id"), F.col("title")] if part == 1 else [F.lit("").alias("id"), F.lit("").alias("title")]), F.lit(at).alias("at") if isinstance(at, int) else at.alias("at"))
+    rows = groups.select(by, "id", "title", of[0].alias("device"), of[1].alias("source"), "registers")
+    made = rows.select(by, "id", "title", F.posexplode("registers").alias("at", "r")).withColumn("x", element(F.col("r"))).filter("x is not null")
+    body = made.select(by, place(1, F.col("at") + 1).alias("place"), (F.array_join("x", "\n") if kind == "c" else F.col("x")).alias("text"))
+    some = F.size("registers") > 0 if kind == "c" else F.exists("registers", lambda r: element(r).isNotNull())
+    named = rows.withColumn("some", some)
+    devices = named.groupBy(by).agg(F.max("some").alias("some"), F.min("device").alias("device"), F.min("source").alias("source")).filter("some")
+    head, tail = (R.header_frame if kind == "c" else R.svd_frame)(F.col("device"), F.col("source"))
+    if kind == "c":
+        head, tail = F.array_join(head, "\n"), F.array_join(tail, "\n")
+        frames = [named.join(devices.select(by), by, "left_semi").select(by, place(1, 0).alias("place"), R.header_title(F.col("title")).alias("text"))]
+    else:
+        shown = named.filter("some")
+        frames = [
+            shown.select(by, place(1, 0).alias("place"), R.peripheral_head(F.col("title")).alias("text")),
+            shown.select(by, place(1, 1 << 30).alias("place"), F.lit(R.PERIPHERAL_TAIL).alias("text")),
+        ]
+    frames += [devices.select(by, place(0, 0).alias("place"), head.alias("text")), devices.select(by, place(2, 0).alias("place"), tail.alias("text"))]
+    for frame in frames:
+        body = body.unionByName(frame)
+    return body
+
+
 def rendered_sections(sections: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """``doc, id, html``: blocks where there are some, else the raw text as paragraphs."""
     raw = L.bodies(sections)
@@ -151,6 +184,9 @@ def build(
         "xrefs": T.xrefs(sections.select("doc", F.col("id").alias("src"), "text"), sections),
         "stats": site_stats(sections, enrichments, counts), "register_map": register_map(sections, enrichments, svd),
     }
+    device = F.regexp_extract("doc", r"([^/]*?)(?:\.[^./]*)?/*$", 1)
+    for kind in ("c", "svd"):
+        out[f"export_{kind}"] = export_pieces(out["register_map"], kind, device, F.col("doc"))
     if settings.semantic:
         out["chunks"] = section_chunks(sections, "section_id", limit=settings.chunk_chars)
         if embedder is not None:

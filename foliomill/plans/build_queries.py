@@ -83,6 +83,15 @@ def device_headers(spark, sf_dir):
     return B.exports(groups, F.col("p_brand"), "parts", "p_brand").select("p_brand", "c_header")
 
 
+@query(SQL["device_headers"])
+def device_header_files(spark, sf_dir):
+    """The headers as files, one for each device, written in pieces."""
+    path = sinks.temporary(spark, "headers")
+    groups = lifted_registers(spark, sf_dir).select("p_brand", F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("g"), "p_partkey").alias("title"), F.array("r").alias("registers"))
+    sinks.write_exports(B.export_pieces(groups, "c", F.col("p_brand"), "parts", "p_brand"), path, "p_brand")
+    return spark.read.text(path, wholetext=True).select("p_brand", F.col("value").alias("c_header"))
+
+
 @query("""select p_partkey, least(p_size, 30)::int as n_registers, 'R' || least(p_size, 30) || '_X' as last, least(p_size, 16)::int as n_fields,
   string_agg from (select p_partkey, p_size, (select string_agg((i % 32) || '=F' || i, ',' order by i) from range(1, least(p_size, 16)::bigint + 1) r(i)) as string_agg from part)""".replace("string_agg from (", "fields from (").replace("as string_agg from part", "as fields from part"))
 def register_caps(spark, sf_dir):

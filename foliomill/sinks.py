@@ -61,6 +61,13 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_exports(pieces: DataFrame, path: str, by: str = "doc") -> None:
+    """One text file for each device of ``pieces`` (``plans.build.export_pieces``), replacing earlier ones:
+    a task sorts a device's pieces and writes them one after another."""
+    rows = pieces.repartition(by).sortWithinPartitions(by, "place")
+    rows.select(by, "text").write.mode("overwrite").partitionBy(by).text(path)
+
+
 def write_pages(sections_html: DataFrame, path: str) -> None:
     """Rendered sections, replacing the earlier ones, stale ones too."""
     write_table(sections_html, path)

@@ -177,3 +177,29 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("t", "one"), ("t", "three")], "title string, text string").write.mode("append").parquet(source)
     run()
     assert sorted(r.n for r in spark.read.parquet(cache).collect()) == [3, 3, 5]
+
+
+def test_exports_in_pieces(spark, tmp_path):
+    """Files per device equal the documents of one row, and a written SVD file reads back."""
+    from foliomill import sinks
+    from foliomill.plans.build import export_pieces
+
+    kind = "doc string, id string, title string, registers array<struct<name:string,description:string,address:string,fields:array<struct<bits:string,name:string,access:string,description:string>>>>"
+    reg = lambda n, address, *fields: (n, f"about {n}", address, list(fields))
+    rows = [
+        ("one", "b", "Port B", [reg("DDRB", "0x24", ("7:0", "DDB", "R/W", "")), reg("PINB", "", ("1", "X", "", ""))]),
+        ("one", "a", "Port <A>", [reg("DDRA", "0x20", ("3:2", "A&B", "R", ""), ("x", "NO", "", "")), reg("PORTA", "0x21")]),
+        ("one", "c", "None", []), ("two", "a", "Bare", [reg("NOWHERE", None)]), ("three", "a", "Empty", []),
+    ]
+    groups = spark.createDataFrame(rows, kind)
+    whole = {r.doc: r for r in exports(groups, F.col("doc"), "x.pdf", "doc").collect()}
+    for name, column in (("c", "c_header"), ("svd", "svd")):
+        path = str(tmp_path / name)
+        pieces = export_pieces(groups, name, F.col("doc"), "x.pdf")
+        assert "collect_list" not in pieces._jdf.queryExecution().optimizedPlan().toString()
+        sinks.write_exports(pieces, path)
+        got = {r.doc: r.value for r in spark.read.text(path, wholetext=True).collect()}
+        assert got == {d: r[column] for d, r in whole.items() if r[column]} and len(got) == (2 if name == "c" else 1)
+    (tmp_path / "one.svd").write_text(whole["one"].svd)
+    back = {r.title: [(x.name, x.address, [(f.bits, f.name, f.access) for f in x.fields]) for x in r.registers] for r in read_svd(spark, str(tmp_path / "svd")).collect()}
+    assert back == {"Port_A": [("DDRA", "0x20", [("3:2", "A_B", "R")]), ("PORTA", "0x21", [])], "Port_B": [("DDRB", "0x24", [("7:0", "DDB", "R/W")])]}
