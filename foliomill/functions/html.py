@@ -23,15 +23,20 @@ def link(target: Column, label: Column, root: str = "") -> Column:
     return F.concat(F.lit(f'<a class="xref" href="{root}sections/'), escape(target), F.lit('.html">'), label, F.lit("</a>"))
 
 
-def _substitute(text: Column, pattern: str, target, root: str) -> Column:
+def found_in(text: Column, pattern: str) -> tuple[Column, Column]:
+    """What precedes the first match of a pattern in a text, and an array of its matches: ``label``, ``ref``
+    (group 1) and what comes ``after``.  The text is cut once, not once for each match."""
     gaps = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    whole, inner = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, 1))
+    both = F.zip_with(whole, inner, lambda a, b: F.struct(a.alias("label"), b.alias("ref")))
+    rest = F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
+    return F.get(gaps, F.lit(0)), F.zip_with(both, rest, lambda x, a: F.struct(x["label"].alias("label"), x["ref"].alias("ref"), a.alias("after")))
 
-    def piece(label: Column, i: Column) -> Column:
-        return F.concat(F.coalesce(link(target(F.get(inner, i)), label, root), label), F.get(gaps, i + 1))
 
-    return F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(whole, piece), ""))
+def _substitute(text: Column, pattern: str, target, root: str) -> Column:
+    head, found = found_in(text, pattern)
+    piece = lambda x: F.concat(F.coalesce(link(target(x["ref"]), x["label"], root), x["label"]), x["after"])
+    return F.concat(head, F.array_join(F.transform(found, piece), ""))
 
 
 def linkify(text: Column, numbers: Column, pages: Column, root: str = "") -> Column:

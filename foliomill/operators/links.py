@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
-from ..functions.html import block_html, link
+from ..functions.html import block_html, found_in, link
 from ..functions.text import escape, paragraphs
 from .structure import page_owners, section_pages
 
@@ -23,26 +23,25 @@ def _page_pieces(gap: Column, after_section: Column) -> tuple[Column, Column]:
 
     A page reference right behind a section's number is one only if that becomes a link, whose end
     then parts them: it is ``tight``."""
-    between, labels, refs = F.split(gap, K.PAGE_REF, -1), *(F.regexp_extract_all(gap, F.lit(K.PAGE_REF), F.lit(g)) for g in (0, 1))
-    head = F.get(between, F.lit(0))
-    made = F.transform(labels, lambda label, i: F.struct(
-        label.alias("label"), F.lit("page").alias("kind"), F.get(refs, i).alias("ref"),
-        (after_section & (i == 0) & (head == "")).alias("tight"), F.get(between, i + 1).alias("after"),
+    head, found = found_in(gap, K.PAGE_REF)
+    made = F.transform(found, lambda x, i: F.struct(
+        x["label"].alias("label"), F.lit("page").alias("kind"), x["ref"].alias("ref"),
+        (after_section & (i == 0) & gap.startswith(x["label"])).alias("tight"), x["after"].alias("after"),
     ))
     return head, made
 
 
 def cut_at_references(text: Column) -> Column:
     """``head`` and ``pieces`` of a text."""
-    gaps, labels, refs = F.split(text, K.SECTION_REF, -1), *(F.regexp_extract_all(text, F.lit(K.SECTION_REF), F.lit(g)) for g in (0, 1))
+    before, found = found_in(text, K.SECTION_REF)
 
-    def section(label: Column, i: Column) -> Column:
-        after, pages = _page_pieces(F.get(gaps, i + 1), F.lit(True))
-        own = F.struct(label.alias("label"), F.lit("section").alias("kind"), F.get(refs, i).alias("ref"), F.lit(False).alias("tight"), after.alias("after"))
+    def section(x: Column) -> Column:
+        after, pages = _page_pieces(x["after"], F.lit(True))
+        own = F.struct(x["label"].alias("label"), F.lit("section").alias("kind"), x["ref"].alias("ref"), F.lit(False).alias("tight"), after.alias("after"))
         return F.concat(F.array(own), pages)
 
-    head, first = _page_pieces(F.get(gaps, F.lit(0)), F.lit(False))
-    return F.struct(head.alias("head"), F.concat(first, F.flatten(F.transform(labels, section))).cast(f"array<{_PIECE}>").alias("pieces"))
+    head, first = _page_pieces(before, F.lit(False))
+    return F.struct(head.alias("head"), F.concat(first, F.flatten(F.transform(found, section))).cast(f"array<{_PIECE}>").alias("pieces"))
 
 
 def spliced(cut: Column, targets: Column, root: str = "") -> Column:

@@ -18,8 +18,12 @@ _temporary: list[str] = []
 
 
 def temporary(spark: SparkSession, name: str) -> str:
-    """A folder for this session's use below ``spark.checkpoint.dir`` (or else the warehouse), deleted at the end."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A folder for this session's use below ``spark.checkpoint.dir``, deleted at the end; in local mode below
+    the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     _temporary.append(f"{base.rstrip('/')}/foliomill-library-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
     return _temporary[-1]
 
