@@ -48,9 +48,9 @@ def posting_blocks(postings: DataFrame) -> DataFrame:
     """
     order = [F.col("term"), F.desc("tf"), F.col("doc")]
     lying = postings.select("term", "doc", "tf").repartitionByRange(*order).sortWithinPartitions(*order)
-    no = F.floor(F.monotonically_increasing_id() / BLOCK).alias("no")
+    lying = lying.withColumn("no", F.monotonically_increasing_id()).withColumn("no", F.expr(f"no div {BLOCK}"))
     entry = F.struct((-F.col("tf")).alias("less"), "doc", "tf")
-    runs = lying.select("term", "doc", "tf", no).groupBy("term", "no").agg(F.max("tf").alias("top"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    runs = lying.groupBy("term", "no").agg(F.max("tf").alias("top"), F.array_sort(F.collect_list(entry)).alias("entries"))
     return runs.select(part(F.col("term")).alias("part"), "term", "no", "top", F.transform("entries", lambda e: F.struct(e["doc"].alias("doc"), e["tf"].alias("tf"))).alias("entries"))
 
 
