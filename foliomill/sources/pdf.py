@@ -217,7 +217,7 @@ def read_pdf(spark: SparkSession, path: str, table: str = "pages", max_pages: in
 
 def wanted_images(pages: DataFrame, ext: str = "png") -> DataFrame:
     """``doc, page, image``: the name of every page's image."""
-    return pages.select("doc", "page", F.concat(F.lit("page-"), F.lpad((F.col("page") + 1).cast("string"), 4, "0"), F.lit(f".{ext}")).alias("image"))
+    return pages.select("doc", "page", F.format_string(f"page-%04d.{ext}", F.col("page") + 1).alias("image"))
 
 
 def _drawn(wanted: DataFrame, columns: str, matrix: float, clip=None, path: str | None = None) -> DataFrame:
