@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import constants as K
-from .text import escape, lines, paragraphs, strip
+from .text import bound, escape, lines, paragraphs, strip
 
 
 def number_target(numbers: Column, number: Column) -> Column:
@@ -25,12 +25,11 @@ def link(target: Column, label: Column, root: str = "") -> Column:
 
 def found_in(text: Column, pattern: str) -> tuple[Column, Column]:
     """What precedes the first match of a pattern in a text, and an array of its matches: ``label``, ``ref``
-    (group 1) and what comes ``after``.  The text is cut once, not once for each match."""
-    gaps = F.split(text, pattern, -1)
-    whole, inner = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, 1))
-    both = F.zip_with(whole, inner, lambda a, b: F.struct(a.alias("label"), b.alias("ref")))
-    rest = F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
-    return F.get(gaps, F.lit(0)), F.zip_with(both, rest, lambda x, a: F.struct(x["label"].alias("label"), x["ref"].alias("ref"), a.alias("after")))
+    (group 1) and what comes ``after``.  The text is searched once for each of these, not once for each match."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rest = lambda gaps: F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
+    piece = lambda label, after: F.struct(label.alias("label"), F.regexp_extract(label, pattern, 1).alias("ref"), after.alias("after"))
+    return F.get(F.split(text, pattern, 2), F.lit(0)), F.zip_with(whole, bound(F.split(text, pattern, -1), rest), piece)
 
 
 def _substitute(text: Column, pattern: str, target, root: str) -> Column:

@@ -57,21 +57,22 @@ def spliced(cut: Column, targets: Column, root: str = "") -> Column:
 def resolved(refs: DataFrame, sections: DataFrame) -> DataFrame:
     """``doc, kind, ref, target`` of the different references ``doc, kind, ref`` that lead somewhere: a
     section number or its longest known prefix of whole parts, a page's deepest section."""
-    refs = refs.select("doc", "kind", "ref").distinct()
-    numbers = sections.filter("number <> ''").groupBy("doc", "number").agg(F.min_by("id", "ord").alias("target"))
+    numbers = sections.filter("number <> ''").groupBy("doc", F.lit("section").alias("kind"), F.col("number").alias("place")).agg(F.min_by("id", "ord").alias("target"))
+    pages = page_owners(sections).select("doc", F.lit("page").alias("kind"), (F.col("page") + 1).cast("string").alias("place"), F.col("id").alias("target"))
     parts = F.split("ref", r"\.")
-    tries = refs.filter("kind = 'section'").select("*", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))).alias("k", "number"))
-    by_number = tries.join(numbers, ["doc", "number"]).groupBy("doc", "kind", "ref").agg(F.max_by("target", "k").alias("target"))
-    owners = page_owners(sections).select("doc", F.col("page").cast("long").alias("page"), F.col("id").alias("target"))
-    pages = refs.filter("kind = 'page'").withColumn("page", F.col("ref").try_cast("long") - 1)
-    return by_number.unionByName(pages.join(owners, ["doc", "page"]).select("doc", "kind", "ref", "target"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    places = F.when(F.col("kind") == "section", prefixes).otherwise(F.array(F.col("ref").try_cast("long").cast("string")))
+    tries = refs.select("doc", "kind", "ref").distinct().select("doc", "kind", "ref", F.posexplode(places).alias("k", "place"))
+    met = tries.join(numbers.unionByName(pages), ["doc", "kind", "place"])
+    return met.groupBy("doc", "kind", "ref").agg(F.max_by("target", "k").alias("target"))
 
 
 def linked(rows: DataFrame, sections: DataFrame, keys: list[str], text: str = "text", out: str = "html", root: str = "") -> DataFrame:
     """``rows`` with ``out``: their text, escaped and with links.  ``keys``, of which ``doc`` is one and
     none is null, tell rows apart.  A null text stays null."""
     rows = rows.withColumn("__cut", cut_at_references(F.col(text)))
-    refs = rows.select(*keys, F.posexplode("__cut.pieces").alias("__at", "p")).select(*keys, "__at", "p.kind", "p.ref")
+    # outer: else the plan looks for pieces before it explodes them, and texts are cut twice
+    refs = rows.select(*keys, F.posexplode_outer("__cut.pieces").alias("__at", "p")).select(*keys, "__at", "p.kind", "p.ref").filter("__at is not null")
     met = refs.join(resolved(refs, sections), ["doc", "kind", "ref"], "left")
     targets = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", "target"))).alias("__t"))
     targets = targets.select(*keys, F.transform("__t", lambda t: t["target"]).alias("__targets"))
