@@ -5,35 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import constants as K
-from .text import escape, strip
+from .text import bound, escape, strip
 
 
 def ident(c: Column, upper: bool = True) -> Column:
     """A C identifier."""
     s = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), "[^A-Za-z0-9_]", "_")
     s = F.regexp_replace(F.regexp_replace(s, "_+", "_"), "^_+|_+$", "")
-    s = F.when(s == "", "X").otherwise(s)
-    s = F.when(s.rlike("^[0-9]"), F.concat(F.lit("_"), s)).otherwise(s)
+    s = bound(s, lambda s: F.when(s == "", "X").when(s.rlike("^[0-9]"), F.concat(F.lit("_"), s)).otherwise(s))
     return F.upper(s) if upper else s
 
 
 def bits(c: Column) -> Column:
     """``lo, width`` of '7', '7:0' or '5-3'; null otherwise."""
-    s = F.replace(F.coalesce(c, F.lit("")), F.lit(" "), F.lit(""))
     pair = r"^(\d+)[:\-–](\d+)$"
-    a, b = (F.regexp_extract(s, pair, k).try_cast("long") for k in (1, 2))
     made = lambda lo, width: F.struct(lo.cast("long").alias("lo"), width.cast("long").alias("width"))
-    return F.when(s.rlike(pair), made(F.least(a, b), F.abs(a - b) + 1)).when(s.rlike(r"^\d+$"), made(s.try_cast("long"), F.lit(1)))
+
+    def read(s: Column) -> Column:
+        a, b = (F.regexp_extract(s, pair, k).try_cast("long") for k in (1, 2))
+        return F.when(s.rlike(pair), made(F.least(a, b), F.abs(a - b) + 1)).when(s.rlike(r"^\d+$"), made(s.try_cast("long"), F.lit(1)))
+
+    return bound(F.replace(F.coalesce(c, F.lit("")), F.lit(" "), F.lit("")), read)
 
 
 def address(c: Column) -> Column:
     """0x... in upper case from 0x..., ...h or decimal, tried in that order; null otherwise."""
-    s = strip(F.coalesce(c, F.lit("")))
-    return (
+    read = lambda s: (
         F.when(s.rlike("^0[xX][0-9A-Fa-f]+$"), F.concat(F.lit("0x"), F.upper(F.regexp_replace(s, "^0[xX]", ""))))
         .when(s.rlike("^[0-9A-Fa-f]+[hH]$"), F.concat(F.lit("0x"), F.upper(F.regexp_replace(s, "[hH]$", ""))))
         .when(s.rlike("^[0-9]+$"), F.concat(F.lit("0x"), F.hex(s.try_cast("long"))))
     )
+    return bound(strip(F.coalesce(c, F.lit(""))), read)
 
 
 def mask(width: Column) -> Column:
@@ -75,8 +77,11 @@ def binary_text(value: Column, width: Column) -> Column:
 
 def header_lines(reg: Column) -> Column:
     """Lines of a C header for a register."""
-    name, addr = ident(reg["name"]), address(reg["address"])
-    about = strip(F.coalesce(reg["description"], F.lit("")))
+    said = F.struct(ident(reg["name"]).alias("name"), address(reg["address"]).alias("addr"), strip(F.coalesce(reg["description"], F.lit(""))).alias("about"))
+    return bound(said, lambda x: _header_lines(reg["fields"], x["name"], x["addr"], x["about"]))
+
+
+def _header_lines(fields: Column, name: Column, addr: Column, about: Column) -> Column:
     title = F.concat(F.lit("/* "), name, F.when(about == "", "").otherwise(F.concat(F.lit(" — "), about)), F.lit(" */"))
     at = F.when(
         addr.isNotNull(),
@@ -87,14 +92,15 @@ def header_lines(reg: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
     def field(f: Column) -> Column:
-        b = bits(f["bits"])
-        full = F.concat(name, F.lit("_"), ident(f["name"]))
+        b, full = f["b"], f["full"]
         return F.array(
             F.concat(F.lit("#define "), full, F.lit("_Pos    ("), b["lo"].cast("string"), F.lit("u)")),
             F.concat(F.lit("#define "), full, F.lit("_Msk    ("), mask(b["width"]), F.lit("u << "), full, F.lit("_Pos)")),
         )
 
-    known = F.filter(F.coalesce(reg["fields"], F.array().cast("array<struct<bits:string,name:string,access:string,description:string>>")), lambda f: bits(f["bits"]).isNotNull())
+    fields = F.coalesce(fields, F.array().cast("array<struct<bits:string,name:string,access:string,description:string>>"))
+    placed = F.transform(fields, lambda f: F.struct(bits(f["bits"]).alias("b"), F.concat(name, F.lit("_"), ident(f["name"])).alias("full")))
+    known = F.filter(placed, lambda f: f["b"].isNotNull())
     return F.concat(F.array(title), at, F.flatten(F.transform(known, field)), F.array(F.lit("")))
 
 
@@ -124,8 +130,7 @@ def c_header(groups: Column, device: Column, source: Column) -> Column:
 
 def access_out(c: Column) -> Column:
     """Access as CMSIS-SVD writes it."""
-    a = F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit(""))
-    return F.when(a.contains("r/w") | a.contains("rw"), "read-write").when(a.isin("r", "ro", "read"), "read-only").when(a.isin("w", "wo", "write"), "write-only").otherwise("")
+    return bound(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit("")), lambda a: F.when(a.contains("r/w") | a.contains("rw"), "read-write").when(a.isin("r", "ro", "read"), "read-only").when(a.isin("w", "wo", "write"), "write-only").otherwise(""))
 
 
 def access_in(c: Column) -> Column:
@@ -161,22 +166,21 @@ def svd_bits(f: Column) -> Column:
 
 def svd_register_xml(r: Column) -> Column:
     """A register element; null without an address."""
-    addr = address(r["address"])
-
     def field(f: Column) -> Column:
-        b, acc = bits(f["bits"]), access_out(f["access"])
+        b, acc = f["b"], f["acc"]
         return F.concat(
-            F.lit("          <field><name>"), escape(ident(f["name"], upper=False)), F.lit("</name><bitOffset>"), b["lo"].cast("string"),
+            F.lit("          <field><name>"), f["name"], F.lit("</name><bitOffset>"), b["lo"].cast("string"),
             F.lit("</bitOffset><bitWidth>"), b["width"].cast("string"), F.lit("</bitWidth>"),
             F.when(acc == "", "").otherwise(F.concat(F.lit("<access>"), acc, F.lit("</access>"))), F.lit("</field>"),
         )
 
-    fields = F.transform(F.filter(r["fields"], lambda f: bits(f["bits"]).isNotNull()), field)
-    inner = F.when(F.size(fields) > 0, F.concat(F.lit("\n        <fields>\n"), F.array_join(fields, "\n"), F.lit("\n        </fields>\n      "))).otherwise("")
-    return F.when(addr.isNotNull(), F.concat(
+    placed = F.transform(r["fields"], lambda f: F.struct(bits(f["bits"]).alias("b"), escape(ident(f["name"], upper=False)).alias("name"), access_out(f["access"]).alias("acc")))
+    fields = F.transform(F.filter(placed, lambda f: f["b"].isNotNull()), field)
+    several = lambda x: F.when(F.size(x) > 0, F.concat(F.lit("\n        <fields>\n"), F.array_join(x, "\n"), F.lit("\n        </fields>\n      "))).otherwise("")
+    return bound(address(r["address"]), lambda addr: F.when(addr.isNotNull(), F.concat(
         F.lit("        <register><name>"), escape(ident(r["name"], upper=False)), F.lit("</name><addressOffset>"), addr,
-        F.lit("</addressOffset><size>32</size>"), inner, F.lit("</register>"),
-    ))
+        F.lit("</addressOffset><size>32</size>"), bound(fields, several), F.lit("</register>"),
+    )))
 
 
 def svd_frame(device: Column, source: Column) -> tuple[Column, Column]:
