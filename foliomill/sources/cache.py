@@ -59,7 +59,7 @@ class AnswerCache:
 
     def tasks(self, rows: int, each: int = 16) -> int:
         """Partitions for so many rows, about ``each`` in one: a multiple of the buckets, so that rows dealt
-        by the key lie in one bucket."""
+        by the key lie in one bucket.  Every task reports to the driver, so few rows in one are for slow services."""
         return self.buckets * max(1, -(-rows // (self.buckets * each)))
 
     def add(self, rows: DataFrame) -> None:
