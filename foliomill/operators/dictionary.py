@@ -40,14 +40,20 @@ def part(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
-def posting_blocks(postings: DataFrame) -> DataFrame:
-    """``part, term, no, top, entries`` of ``postings`` (``term, doc, tf``).
+def in_order(postings: DataFrame) -> DataFrame:
+    """Postings dealt into ranges by term and falling frequency, so that a frequent term is spread over tasks."""
+    order = [F.col("term"), F.desc("tf"), F.col("doc")]
+    return postings.repartitionByRange(*order).sortWithinPartitions(*order)
+
 
-    Postings are dealt into ranges by term and falling frequency and numbered there, so a frequent
-    term is spread over tasks; a block is a run of numbers, gathered where it lies.
+def posting_blocks(postings: DataFrame, lying: bool = False) -> DataFrame:
+    """``part, term, no, top, entries`` of ``postings`` (``term, doc, tf``), put ``in_order`` first unless they
+    are read as they were written so (``lying``).
+
+    They are numbered where they are; a block is a run of numbers.  Any numbers do: a run that is broken
+    where a file is cut makes two blocks.
     """
-    order = [F.col("term"), F.desc("tf"), F.col("doc")]
-    lying = postings.select("term", "doc", "tf").repartitionByRange(*order).sortWithinPartitions(*order)
+    lying = (postings if lying else in_order(postings)).select("term", "doc", "tf")
     lying = lying.withColumn("no", F.monotonically_increasing_id()).withColumn("no", F.expr(f"no div {BLOCK}"))
     entry = F.struct((-F.col("tf")).alias("less"), "doc", "tf")
     runs = lying.groupBy("term", "no").agg(F.max("tf").alias("top"), F.array_sort(F.collect_list(entry)).alias("entries"))

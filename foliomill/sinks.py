@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .operators.dictionary import dictionary, posting_blocks
+from .operators.dictionary import dictionary, in_order, posting_blocks
 from .operators.incremental import missing_files
 from .sources.pdf import render_pages
 
@@ -49,10 +49,10 @@ def write_index(postings: DataFrame, docs: DataFrame, path: str) -> None:
     """Index as tables: ``postings`` sorted by term so that prefix filters skip row groups, ``docs``, and
     for tables of queries (see ``operators.dictionary``) ``terms``, ``blocks`` and ``about``."""
     spark = postings.sparkSession
-    write_table(postings, f"{path}/postings", "term")
+    in_order(postings).write.mode("overwrite").parquet(f"{path}/postings")
     write_table(docs, f"{path}/docs")
-    blocks = posting_blocks(spark.read.schema(postings.schema).parquet(f"{path}/postings"))
-    blocks = blocks.repartitionByRange("part", "term", "no").sortWithinPartitions("part", "term", "no")
+    blocks = posting_blocks(spark.read.schema(postings.schema).parquet(f"{path}/postings"), lying=True)
+    blocks = blocks.repartition("part").sortWithinPartitions("part", "term", "no")  # ranges would make the blocks twice, to sample them
     blocks.write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks")
     kind = StructType([*(f for f in blocks.schema if f.name != "part"), StructField("part", IntegerType())])
     terms = dictionary(spark.read.schema(kind).parquet(f"{path}/blocks"))
