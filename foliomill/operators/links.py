@@ -16,6 +16,15 @@ from ..functions.text import escape, paragraphs
 from .structure import page_owners, section_pages
 
 _PIECE = "struct<label:string,kind:string,ref:string,tight:boolean,after:string>"
+#: Letters that every reference holds, in any case; texts without them are not searched for references.
+_LETTERS = "[SsſCcPp](?:[Ee][Cc][Tt]|[Hh][Aa][Pp]|[Aa][Gg][Ee])"
+#: Between paragraphs, which hold no blank line; no reference reaches across it.
+_BREAK = "\n\n\x01"
+
+
+def may_refer(text: Column) -> Column:
+    """Whether a text can hold a reference: one quick search instead of six."""
+    return text.rlike(_LETTERS)
 
 
 def _page_pieces(gap: Column, after_section: Column) -> tuple[Column, Column]:
@@ -41,7 +50,8 @@ def cut_at_references(text: Column) -> Column:
         return F.concat(F.array(own), pages)
 
     head, first = _page_pieces(before, F.lit(False))
-    return F.struct(head.alias("head"), F.concat(first, F.flatten(F.transform(found, section))).cast(f"array<{_PIECE}>").alias("pieces"))
+    cut = F.struct(head.alias("head"), F.concat(first, F.flatten(F.transform(found, section))).cast(f"array<{_PIECE}>").alias("pieces"))
+    return F.when(may_refer(text), cut).otherwise(F.struct(text.alias("head"), F.array().cast(f"array<{_PIECE}>").alias("pieces")))
 
 
 def spliced(cut: Column, targets: Column, root: str = "") -> Column:
@@ -67,25 +77,38 @@ def resolved(refs: DataFrame, sections: DataFrame) -> DataFrame:
     return met.groupBy("doc", "kind", "ref").agg(F.max_by("target", "k").alias("target"))
 
 
-def linked(rows: DataFrame, sections: DataFrame, keys: list[str], text: str = "text", out: str = "html", root: str = "") -> DataFrame:
-    """``rows`` with ``out``: their text, escaped and with links.  ``keys``, of which ``doc`` is one and
-    none is null, tell rows apart.  A null text stays null."""
-    rows = rows.withColumn("__cut", cut_at_references(F.col(text)))
+def _targets(rows: DataFrame, sections: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """``keys, __targets`` of the rows with references: what each piece of their text leads to."""
+    rows = rows.select(*keys, cut_at_references(text).alias("__cut"))
     # outer: else the plan looks for pieces before it explodes them, and texts are cut twice
     refs = rows.select(*keys, F.posexplode_outer("__cut.pieces").alias("__at", "p")).select(*keys, "__at", "p.kind", "p.ref").filter("__at is not null")
     met = refs.join(resolved(refs, sections), ["doc", "kind", "ref"], "left")
     targets = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", "target"))).alias("__t"))
-    targets = targets.select(*keys, F.transform("__t", lambda t: t["target"]).alias("__targets"))
+    return targets.select(*keys, F.transform("__t", lambda t: t["target"]).alias("__targets"))
+
+
+def _spliced(rows: DataFrame, targets: DataFrame, keys: list[str], text: Column, out: str, root: str) -> DataFrame:
+    rows = rows.withColumn("__cut", cut_at_references(text))
     return rows.join(targets, keys, "left").withColumn(out, spliced(F.col("__cut"), F.col("__targets"), root)).drop("__cut", "__targets")
 
 
+def linked(rows: DataFrame, sections: DataFrame, keys: list[str], text: str = "text", out: str = "html", root: str = "") -> DataFrame:
+    """``rows`` with ``out``: their text, escaped and with links.  ``keys``, of which ``doc`` is one and
+    none is null, tell rows apart.  A null text stays null."""
+    found = rows.filter(may_refer(F.col(text)))
+    return _spliced(rows, _targets(found, sections, keys, F.col(text)), keys, F.col(text), out, root)
+
+
 def bodies(sections: DataFrame, root: str = "") -> DataFrame:
-    """``doc, id, html``: the paragraphs of raw section text."""
-    rows = sections.select("doc", "id", F.posexplode(paragraphs(F.col("text"))).alias("n", "text"))
-    html = linked(rows, sections, ["doc", "id", "n"], root=root).select("doc", "id", "n", F.concat(F.lit("<p>"), F.replace("html", F.lit("\n"), F.lit("<br>")), F.lit("</p>")).alias("html"))
-    whole = html.groupBy("doc", "id").agg(F.array_sort(F.collect_list(F.struct("n", "html"))).alias("p"))
-    whole = whole.select("doc", "id", F.array_join(F.transform("p", lambda p: p["html"]), "\n").alias("html"))
-    return sections.select("doc", "id").join(whole, ["doc", "id"], "left").withColumn("html", F.coalesce("html", F.lit(K.EMPTY_BODY)))
+    """``doc, id, html``: the paragraphs of raw section text.
+
+    A section stays one row, its paragraphs one text with breaks, and rows meet by ``doc, ord``, by which
+    ``attach_text`` has left them: no text is shuffled here."""
+    keys, text = ["doc", "ord"], F.array_join(paragraphs(F.col("text")), _BREAK)
+    rows = sections.select(*keys, "id", "text")
+    html = _spliced(rows, _targets(rows.filter(may_refer(F.col("text"))), sections, keys, text), keys, text, "html", root)
+    shown = F.replace(F.replace("html", F.lit("\n"), F.lit("<br>")), F.lit(_BREAK.replace("\n", "<br>")), F.lit("</p>\n<p>"))
+    return html.select("doc", "id", F.when(F.col("html") != "", F.concat(F.lit("<p>"), shown, F.lit("</p>"))).otherwise(K.EMPTY_BODY).alias("html"))
 
 
 def block_bodies(sections: DataFrame, blocks: DataFrame, root: str = "") -> DataFrame:
