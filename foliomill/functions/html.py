@@ -20,7 +20,12 @@ def number_target(numbers: Column, number: Column) -> Column:
 
 def link(target: Column, label: Column, root: str = "") -> Column:
     """A link to a section; null without one."""
-    return F.concat(F.lit(f'<a class="xref" href="{root}sections/'), escape(target), F.lit('.html">'), label, F.lit("</a>"))
+    return anchor(escape(target), label, root)
+
+
+def anchor(target: Column, label: Column, root: str = "") -> Column:
+    """A link to a section whose id is escaped; null without one."""
+    return F.concat(F.lit(f'<a class="xref" href="{root}sections/'), target, F.lit('.html">'), label, F.lit("</a>"))
 
 
 def found_in(text: Column, pattern: str) -> tuple[Column, Column]:

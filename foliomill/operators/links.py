@@ -1,9 +1,9 @@
 """Cross references in texts become links: found with their places, resolved by joins, spliced.
 
-A text is cut at its references into a head and pieces (``label, kind, ref, tight, after``).  The
-references of all texts, each one once, meet section numbers and page owners by equi-joins; what they
-lead to comes back to a text as an array in the order of its pieces.  So a row carries its own references
-only, whatever the number of sections and pages of its document.
+References are marked in the escaped text, which is then split at its marks.  The references of all
+texts, each one once, meet section numbers and page owners by equi-joins; what they lead to comes back to
+a text as an array in the order of its references.  So a row carries its own references only, whatever
+the number of sections and pages of its document.
 """
 
 from __future__ import annotations
@@ -11,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
-from ..functions.html import block_html, found_in, link
-from ..functions.text import escape, paragraphs
+from ..functions.html import anchor, block_html
+from ..functions.text import bound, escape, paragraphs
 from .structure import page_owners, section_pages
 
-_PIECE = "struct<label:string,kind:string,ref:string,tight:boolean,after:string>"
 #: Letters that every reference holds, in any case; texts without them are not searched for references.
 _LETTERS = "[SsſCcPp](?:[Ee][Cc][Tt]|[Hh][Aa][Pp]|[Aa][Gg][Ee])"
 #: Between paragraphs, which hold no blank line; no reference reaches across it.
@@ -23,45 +22,38 @@ _BREAK = "\n\n\x01"
 
 
 def may_refer(text: Column) -> Column:
-    """Whether a text can hold a reference: one quick search instead of six."""
+    """Whether a text can hold a reference: one quick search instead of two."""
     return text.rlike(_LETTERS)
 
 
-def _page_pieces(gap: Column, after_section: Column) -> tuple[Column, Column]:
-    """What precedes the first page reference of a gap between section references, and its pieces.
+def marked(plain: Column) -> Column:
+    """Escaped text, in which no ``<`` is left, with ``<s1.2<see Section 1.2<`` for a section reference and
+    ``<p3<page 3<`` for a page reference: split at ``<``, each is three parts, what comes after included.
 
-    A page reference right behind a section's number is one only if that becomes a link, whose end
-    then parts them: it is ``tight``."""
-    head, found = found_in(gap, K.PAGE_REF)
-    made = F.transform(found, lambda x, i: F.struct(
-        x["label"].alias("label"), F.lit("page").alias("kind"), x["ref"].alias("ref"),
-        (after_section & (i == 0) & gap.startswith(x["label"])).alias("tight"), x["after"].alias("after"),
-    ))
-    return head, made
+    Escapes neither make nor hide references.  A page reference right behind a section's number, with
+    which it would be one word, is found as the mark parts them; ``spliced`` looks whether a link does."""
+    sections = F.regexp_replace(plain, K.SECTION_REF, "<s$1<$0<")
+    return F.when(may_refer(plain), F.regexp_replace(sections, K.PAGE_REF, "<p$1<$0<")).otherwise(plain)
 
 
-def cut_at_references(text: Column) -> Column:
-    """``head`` and ``pieces`` of a text."""
-    before, found = found_in(text, K.SECTION_REF)
+def references(marks: Column) -> Column:
+    """The references of a ``marked`` text in order: ``s`` or ``p`` and a number."""
+    return F.regexp_extract_all(marks, F.lit("<([sp][^<]*+)<[^<]*+<"), F.lit(1))
 
-    def section(x: Column) -> Column:
-        after, pages = _page_pieces(x["after"], F.lit(True))
-        own = F.struct(x["label"].alias("label"), F.lit("section").alias("kind"), x["ref"].alias("ref"), F.lit(False).alias("tight"), after.alias("after"))
-        return F.concat(F.array(own), pages)
 
-    head, first = _page_pieces(before, F.lit(False))
-    cut = F.struct(head.alias("head"), F.concat(first, F.flatten(F.transform(found, section))).cast(f"array<{_PIECE}>").alias("pieces"))
-    return F.when(may_refer(text), cut).otherwise(F.struct(text.alias("head"), F.array().cast(f"array<{_PIECE}>").alias("pieces")))
+def spliced(marks: Column, targets: Column, root: str = "") -> Column:
+    """HTML of a ``marked`` text with links to ``targets``, escaped section ids or nulls by reference; null
+    ``targets`` of a text without references."""
+    def whole(parts: Column) -> Column:
+        def piece(target: Column, i: Column) -> Column:
+            label = F.get(parts, 3 * i + 2)
+            tight = (i > 0) & (F.get(parts, 3 * i) == "") & F.get(parts, 3 * i + 1).startswith("p")
+            to = F.when(~tight | F.get(targets, i - 1).isNotNull(), target)
+            return F.concat(F.coalesce(anchor(to, label, root), label), F.get(parts, 3 * i + 3))
 
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(targets, piece), ""))
 
-def spliced(cut: Column, targets: Column, root: str = "") -> Column:
-    """Escaped text of ``cut_at_references`` with links to ``targets``, section ids or nulls by piece."""
-    def piece(p: Column, i: Column) -> Column:
-        label = escape(p["label"])
-        to = F.when(~p["tight"] | F.get(targets, i - 1).isNotNull(), F.get(targets, i))
-        return F.concat(F.coalesce(link(to, label, root), label), escape(p["after"]))
-
-    return F.concat(escape(cut["head"]), F.array_join(F.transform(cut["pieces"], piece), ""))
+    return F.when(targets.isNull(), marks).otherwise(bound(F.split(marks, "<"), whole))
 
 
 def resolved(refs: DataFrame, sections: DataFrame) -> DataFrame:
@@ -77,26 +69,52 @@ def resolved(refs: DataFrame, sections: DataFrame) -> DataFrame:
     return met.groupBy("doc", "kind", "ref").agg(F.max_by("target", "k").alias("target"))
 
 
-def _targets(rows: DataFrame, sections: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """``keys, __targets`` of the rows with references: what each piece of their text leads to."""
-    rows = rows.select(*keys, cut_at_references(text).alias("__cut"))
-    # outer: else the plan looks for pieces before it explodes them, and texts are cut twice
-    refs = rows.select(*keys, F.posexplode_outer("__cut.pieces").alias("__at", "p")).select(*keys, "__at", "p.kind", "p.ref").filter("__at is not null")
-    met = refs.join(resolved(refs, sections), ["doc", "kind", "ref"], "left")
-    targets = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", "target"))).alias("__t"))
-    return targets.select(*keys, F.transform("__t", lambda t: t["target"]).alias("__targets"))
+def _with_marks(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with ``__marked``, once for all that is made of it, and its references ``__refs``."""
+    rows = rows.withColumn("__plain", escape(text)).withColumn("__marked", marked(F.col("__plain"))).drop("__plain")
+    return rows.withColumn("__refs", references(F.col("__marked")))
+
+
+def _refs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``doc, keys, __at, mark``: the references ``__refs`` as rows."""
+    # outer: else the plan looks for references before it explodes them, and texts are searched twice
+    return rows.select(*dict.fromkeys(["doc", *keys]), F.posexplode_outer("__refs").alias("__at", "mark")).filter("__at is not null")
+
+
+def _leading(refs: DataFrame, sections: DataFrame) -> DataFrame:
+    """``doc, mark, target``: as ``resolved``, by mark and with escaped ids."""
+    kind = F.when(F.col("mark").startswith("s"), "section").otherwise("page")
+    found = resolved(refs.select("doc", "mark").distinct().select("doc", kind.alias("kind"), F.expr("substr(mark, 2)").alias("ref")), sections)
+    return found.select("doc", F.concat(F.left("kind", F.lit(1)), "ref").alias("mark"), escape(F.col("target")).alias("target"))
 
 
-def _spliced(rows: DataFrame, targets: DataFrame, keys: list[str], text: Column, out: str, root: str) -> DataFrame:
-    rows = rows.withColumn("__cut", cut_at_references(text))
-    return rows.join(targets, keys, "left").withColumn(out, spliced(F.col("__cut"), F.col("__targets"), root)).drop("__cut", "__targets")
+def _targets(refs: DataFrame, leading: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, __targets`` of the rows with references: what each of them leads to, in order."""
+    met = refs.join(leading, ["doc", "mark"], "left")
+    targets = met.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__at", "target"))).alias("__t"))
+    return targets.select(*keys, F.col("__t.target").alias("__targets"))
 
 
 def linked(rows: DataFrame, sections: DataFrame, keys: list[str], text: str = "text", out: str = "html", root: str = "") -> DataFrame:
-    """``rows`` with ``out``: their text, escaped and with links.  ``keys``, of which ``doc`` is one and
-    none is null, tell rows apart.  A null text stays null."""
-    found = rows.filter(may_refer(F.col(text)))
-    return _spliced(rows, _targets(found, sections, keys, F.col(text)), keys, F.col(text), out, root)
+    """``rows`` with ``out`` for ``text``: escaped and with links.  ``doc`` is not null; a null text stays null.
+
+    Texts are marked once and written, and so is what references lead to, as few differ: where that is
+    small, references need not be dealt by document and number to meet it."""
+    from .. import sinks
+
+    path = sinks.temporary(rows.sparkSession, "links")
+
+    def written(df: DataFrame, name: str, by: str) -> DataFrame:
+        df.write.option("compression", by).parquet(f"{path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    made = _with_marks(rows, F.col(text))
+    others = [c for c in rows.columns if c not in (text, out)]
+    texts = written(made.select(*others, "__marked", "__refs", F.monotonically_increasing_id().alias("__row")), "texts", "zstd")
+    refs = _refs(texts, ["__row"])
+    targets = _targets(refs, written(_leading(refs, sections), "targets", "none"), ["__row"])  # plain: its size tells whether it is small
+    html = spliced(F.col("__marked"), F.col("__targets"), root)
+    return texts.drop("__refs").join(targets, "__row", "left").select(*others, html.alias(out))
 
 
 def bodies(sections: DataFrame, root: str = "") -> DataFrame:
@@ -106,7 +124,9 @@ def bodies(sections: DataFrame, root: str = "") -> DataFrame:
     ``attach_text`` has left them: no text is shuffled here."""
     keys, text = ["doc", "ord"], F.array_join(paragraphs(F.col("text")), _BREAK)
     rows = sections.select(*keys, "id", "text")
-    html = _spliced(rows, _targets(rows.filter(may_refer(F.col("text"))), sections, keys, text), keys, text, "html", root)
+    refs = _refs(_with_marks(rows.filter(may_refer(F.col("text"))), text), keys)
+    targets = _targets(refs, _leading(refs, sections), keys)
+    html = _with_marks(rows, text).drop("__refs").join(targets, keys, "left").select("doc", "id", spliced(F.col("__marked"), F.col("__targets"), root).alias("html"))
     shown = F.replace(F.replace("html", F.lit("\n"), F.lit("<br>")), F.lit(_BREAK.replace("\n", "<br>")), F.lit("</p>\n<p>"))
     return html.select("doc", "id", F.when(F.col("html") != "", F.concat(F.lit("<p>"), shown, F.lit("</p>"))).otherwise(K.EMPTY_BODY).alias("html"))
 
