@@ -97,6 +97,7 @@ def _targets(refs: DataFrame, leading: DataFrame, keys: list[str]) -> DataFrame:
 
 def linked(rows: DataFrame, sections: DataFrame, keys: list[str], text: str = "text", out: str = "html", root: str = "") -> DataFrame:
     """``rows`` with ``out`` for ``text``: escaped and with links.  ``doc`` is not null; a null text stays null.
+    ``keys`` need not tell rows apart any more: they are numbered.
 
     Texts are marked once and written, and so is what references lead to, as few differ: where that is
     small, references need not be dealt by document and number to meet it."""
